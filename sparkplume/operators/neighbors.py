@@ -9,7 +9,7 @@ of a crowded tile.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkplume.operators.spatial import Grid, disc_cells, make_grid
@@ -20,51 +20,38 @@ MAX_LEVEL = 12  # 24 bits per axis: 6 cm tiles in an extent of 1,000 km
 SMALL_LEVEL = 4  # up to here a level has at most 16**4 tiles, few enough to broadcast
 
 
-def _tile(level: int, x: Column, y: Column, x0: float, y0: float, side: float) -> Column:
-    """Level and both indices packed into one long."""
+def _tile(level: int, frame: tuple[float, float, float]) -> str:
+    """SQL of the tile that holds (x, y): level and both indices packed into one long."""
+    if level == 0:
+        return "0L"
+    x0, y0, side = frame
     full = 1 << (LEVEL_BITS * MAX_LEVEL)
     shift = LEVEL_BITS * (MAX_LEVEL - level)
-
-    def axis(v: Column, lo: float) -> Column:
-        cell = F.floor((v - F.lit(lo)) / F.lit(side) * F.lit(float(full))).cast("long")
-        return F.shiftright(F.least(cell, F.lit(full - 1).cast("long")), shift)
-
-    if level == 0:
-        return F.lit(0).cast("long")
-    return F.lit(level << 50).cast("long") + F.shiftleft(axis(x, x0), 25) + axis(y, y0)
+    axis = "shiftright(least(cast(floor(({v} - {lo!r}D) / {side!r}D * {full}D) as bigint), {top}L), {shift})"
+    ix, iy = (axis.format(v=v, lo=lo, side=side, full=full, top=full - 1, shift=shift) for v, lo in (("x", x0), ("y", y0)))
+    return f"{level << 50}L + shiftleft({ix}, 25) + {iy}"
 
 
 def _levels(points: DataFrame, first: int, last: int, frame: tuple[float, float, float]) -> DataFrame:
     """Each point once per level with its tile and the tile above."""
-    x, y = F.col("x"), F.col("y")
-    entries = [
-        F.struct(
-            F.lit(level).alias("level"),
-            _tile(level, x, y, *frame).alias("tile"),
-            _tile(level - 1, x, y, *frame).alias("parent"),
-        )
+    entries = ", ".join(
+        f"named_struct('level', {level}, 'tile', {_tile(level, frame)}, 'parent', {_tile(level - 1, frame)})"
         for level in range(first, last + 1)
-    ]
-    return points.withColumn("_t", F.explode(F.array(*entries))).select(*points.columns, "_t.*")
+    )
+    return points.selectExpr("*", f"inline(array({entries}))")
 
 
 def _tiles(points: DataFrame, first: int, last: int, frame: tuple[float, float, float]) -> DataFrame:
     return (
         _levels(points.select("x", "y"), first, last, frame)
         .groupBy("level", "tile", "parent")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("x").alias("ax"),
-            F.max("x").alias("bx"),
-            F.min("y").alias("ay"),
-            F.max("y").alias("by"),
-        )
+        .agg(*map(F.expr, ("count(1) n", "min(x) ax", "max(x) bx", "min(y) ay", "max(y) by")))
     )
 
 
-def _crowded(leaf: int) -> Column:
+def _crowded(leaf: int) -> str:
     """More points than a leaf may hold, and at more than one place."""
-    return (F.col("n") > leaf) & ((F.col("ax") < F.col("bx")) | (F.col("ay") < F.col("by")))
+    return f"n > {leaf} AND (ax < bx OR ay < by)"
 
 
 def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None) -> DataFrame:
@@ -86,13 +73,7 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
         .drop("_rn"),
         "points",
     )
-    box = points.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("ax"),
-        F.min("y").alias("ay"),
-        F.max("x").alias("bx"),
-        F.max("y").alias("by"),
-    ).first()
+    box = points.selectExpr("count(1) n", "min(x) ax", "min(y) ay", "max(x) bx", "max(y) by").first()
     targets = targets.select("target_id", "tx", "ty")
     if box["n"] == 0:
         nothing = F.array().cast("array<struct<d:double,id:bigint,x:double,y:double,z:double>>")
@@ -104,46 +85,45 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
         last += 1
     tiles = materialize(_tiles(points, 1, last, frame), "tiles")
     while last < MAX_LEVEL:
-        full = tiles.where((F.col("level") == last) & _crowded(leaf)).select(F.col("tile").alias("_full"))
+        full = tiles.where(f"level = {last} AND {_crowded(leaf)}").selectExpr("tile AS full_tile")
         if full.isEmpty():
             break
         step = min(2, MAX_LEVEL - last)
-        inside = points.join(full, _tile(last, F.col("x"), F.col("y"), *frame) == F.col("_full"), "left_semi")
+        inside = points.join(full, F.expr(f"{_tile(last, frame)} = full_tile"), "left_semi")
         tiles = materialize(tiles.unionByName(_tiles(inside, last + 1, last + step, frame)), "tiles")
         last += step
 
-    open_tiles = tiles.where(_crowded(leaf) & (F.col("level") < last)).select(F.col("tile").alias("parent"))
-    reach = targets.withColumn("tile", F.lit(0).cast("long"))
-    for level in range(1, last + 1):
-        below = tiles.where(F.col("level") == level)
-        if level > 1:
-            below = below.join(open_tiles, "parent", "left_semi")
-        below = below.select(
-            "parent", F.col("tile").alias("c_tile"), *[F.col(c).alias(f"c_{c}") for c in ("n", "ax", "bx", "ay", "by")]
+    cols = ("tile", "n", "ax", "bx", "ay", "by")
+    top = tiles.where("level = 1").select(*cols).collect()  # at most 16 rows
+    every_top = ", ".join(
+        f"named_struct('tile', {r.tile}L, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in cols[2:]) + ")"
+        for r in top
+    )
+    reach = _within_bound(targets.selectExpr("*", f"inline(array({every_top}))"), k)
+    open_tiles = tiles.where(f"{_crowded(leaf)} AND level < {last}").selectExpr("tile AS parent")
+    for level in range(2, last + 1):
+        below = (
+            tiles.where(f"level = {level}")
+            .join(open_tiles, "parent", "left_semi")
+            .selectExpr("parent", *[f"{c} AS c_{c}" for c in cols])
         )
         if level <= SMALL_LEVEL:  # at most 16**level rows
             below = F.broadcast(below)
-        joined = reach.join(below, reach["tile"] == below["parent"], "inner" if level == 1 else "left")
-        cols = ("tile", "n", "ax", "bx", "ay", "by")
-        opened = joined.select(
-            "target_id",
-            "tx",
-            "ty",
-            *[(F.col(f"c_{c}") if level == 1 else F.coalesce(F.col(f"c_{c}"), reach[c])).alias(c) for c in cols],
+        opened = reach.join(below, F.expr("tile = parent"), "left").selectExpr(
+            "target_id", "tx", "ty", *[f"coalesce(c_{c}, {c}) AS {c}" for c in cols]
         )
         reach = _within_bound(opened, k)
 
     tagged = _levels(points, 1, last, frame).select("system_id", "x", "y", "z", "tile")
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
     found = (
         reach.select("target_id", "tx", "ty", "tile", "bound")
         .join(tagged, "tile")
-        .withColumn("d", F.sqrt(dx * dx + dy * dy))
-        .where(F.col("d") <= F.col("bound"))
+        .withColumn("d", F.expr("sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty))"))
+        .where("d <= bound")
     )
-    entry = F.struct("d", F.col("system_id").alias("id"), "x", "y", "z")
+    entry = "struct(d, system_id AS id, x, y, z)"
     return found.groupBy("target_id", "tx", "ty").agg(
-        F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("neighbors")
+        F.expr(f"slice(sort_array(collect_list({entry})), 1, {k})").alias("neighbors")
     )
 
 
@@ -152,38 +132,31 @@ def _within_bound(tiles: DataFrame, k: int) -> DataFrame:
 
     Taking tiles by their farthest corner until they hold k points gives the bound.
     """
-    tx, ty = F.col("tx"), F.col("ty")
-    near_x = F.greatest(F.col("ax") - tx, tx - F.col("bx"), F.lit(0.0))
-    near_y = F.greatest(F.col("ay") - ty, ty - F.col("by"), F.lit(0.0))
-    far_x = F.greatest(F.abs(F.col("ax") - tx), F.abs(F.col("bx") - tx))
-    far_y = F.greatest(F.abs(F.col("ay") - ty), F.abs(F.col("by") - ty))
-    mine = Window.partitionBy("target_id")
-    upto = mine.orderBy("far", "tile").rowsBetween(Window.unboundedPreceding, 0)
+    near_x, near_y = "greatest(ax - tx, tx - bx, 0D)", "greatest(ay - ty, ty - by, 0D)"
+    far_x, far_y = "greatest(abs(ax - tx), abs(bx - tx))", "greatest(abs(ay - ty), abs(by - ty))"
+    upto = "PARTITION BY target_id ORDER BY far, tile ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    own = ("target_id", "tx", "ty", "tile", "n", "ax", "bx", "ay", "by")
     return (
-        tiles.withColumn("near", F.sqrt(near_x * near_x + near_y * near_y))
-        .withColumn("far", F.sqrt(far_x * far_x + far_y * far_y))
-        .withColumn("_held", F.sum("n").over(upto))
-        .withColumn(
-            "bound",
-            F.coalesce(F.min(F.when(F.col("_held") >= k, F.col("far"))).over(mine), F.lit(float("inf"))),
+        tiles.selectExpr(
+            *own,
+            f"sqrt({near_x} * {near_x} + {near_y} * {near_y}) AS near",
+            f"sqrt({far_x} * {far_x} + {far_y} * {far_y}) AS far",
+        )
+        .selectExpr("*", f"sum(n) OVER ({upto}) AS held")
+        .selectExpr(
+            *own,
+            "near",
+            f"coalesce(min(CASE WHEN held >= {k} THEN far END) OVER (PARTITION BY target_id), double('inf')) AS bound",
         )
-        .where(F.col("near") <= F.col("bound"))
-        .drop("near", "far", "_held")
+        .where("near <= bound")
+        .drop("near")
     )
 
 
 def neighbor_rows(neighbors: DataFrame) -> DataFrame:
     """One row per target and neighbour with its 1-based rank."""
-    return neighbors.select("target_id", "tx", "ty", F.posexplode("neighbors").alias("_pos", "_n")).select(
-        "target_id",
-        "tx",
-        "ty",
-        (F.col("_pos") + 1).cast("long").alias("rank"),
-        F.col("_n.d").alias("d"),
-        F.col("_n.id").alias("id"),
-        F.col("_n.x").alias("x"),
-        F.col("_n.y").alias("y"),
-        F.col("_n.z").alias("z"),
+    return neighbors.selectExpr("target_id", "tx", "ty", "posexplode(neighbors) AS (pos, n)").selectExpr(
+        "target_id", "tx", "ty", "bigint(pos + 1) AS rank", "n.d", "n.id", "n.x", "n.y", "n.z"
     )
 
 

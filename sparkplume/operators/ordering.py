@@ -47,14 +47,18 @@ def running_total(
     weight: str | None = None,
     name: str = "running",
     local_rows: int = LOCAL_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the sum of ``weight`` (default 1) over rows up to and including this one within ``by``.
 
-    ``order`` must be unique within ``by``; ascending, NULLs last. ``by`` must not hold NULLs.
+    ``order`` must be unique within ``by``; ascending, NULLs last. ``by`` must not hold NULLs. ``rows``
+    is the row count of an input that is already written; otherwise the input is written first.
     """
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    df = materialize(df, "ordered")
-    n = df.count()
+    if rows is None:
+        df = materialize(df, "ordered")
+        rows = df.count()
+    n = rows
     sort = [F.col(c).asc_nulls_last() for c in order]
     if n <= local_rows:
         win = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*sort)

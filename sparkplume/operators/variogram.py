@@ -16,11 +16,15 @@ MODELS = ("Spherical", "Circular", "Exponential", "Gaussian", "Linear")
 
 
 def collapse_places(points: DataFrame) -> DataFrame:
-    """One row per location with count, sum and sum of squares of z."""
+    """One row per location with count, mean and sum of squared deviations of z."""
     return (
         points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
         .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg("z").alias("m"),
+            (F.var_pop("z") * F.count(F.lit(1))).alias("q"),
+        )
     )
 
 
@@ -70,18 +74,19 @@ def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS
         .join(tile_pairs, ["ai", "aj"])
         .withColumn("ca", own("na"))
         .withColumn("cb", every("nb"))
-        .select(*unit, *[F.col(c).alias(f"{c}1") for c in ("x", "y", "n", "s", "q")])
+        .select(*unit, *[F.col(c).alias(f"{c}1") for c in ("x", "y", "n", "m", "q")])
     )
     right = (
         places.withColumnsRenamed({"ti": "bi", "tj": "bj"})
         .join(tile_pairs, ["bi", "bj"])
         .withColumn("cb", own("nb"))
         .withColumn("ca", every("na"))
-        .select(*unit, *[F.col(c).alias(f"{c}2") for c in ("x", "y", "n", "s", "q")])
+        .select(*unit, *[F.col(c).alias(f"{c}2") for c in ("x", "y", "n", "m", "q")])
     )
     same_tile = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
     ordered = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
     dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
+    dz = F.col("m1") - F.col("m2")
     pairs = (
         left.join(right, unit)
         .where(~same_tile | ordered)
@@ -90,13 +95,13 @@ def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS
         .select(
             "h",
             (F.col("n1") * F.col("n2")).alias("n"),
-            (F.col("n2") * F.col("q1") + F.col("n1") * F.col("q2") - 2 * F.col("s1") * F.col("s2")).alias("d2"),
+            (F.col("n1") * F.col("n2") * dz * dz + F.col("n2") * F.col("q1") + F.col("n1") * F.col("q2")).alias("d2"),
         )
     )
     within = places.where(F.col("n") > 1).select(
         F.lit(0.0).alias("h"),
         F.expr("n * (n - 1) div 2").alias("n"),
-        (F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("d2"),
+        (F.col("n") * F.col("q")).alias("d2"),
     )
     bins = [F.floor(F.col("h") / F.lit(lag)).cast("int").alias(f"b{i}") for i, lag in enumerate(lags)]
     joint = (

@@ -18,6 +18,7 @@ def local_session(app: str = "sparkplume", cores: int | str = 8, shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
         .getOrCreate()
     )
 
