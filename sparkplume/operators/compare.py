@@ -104,7 +104,7 @@ def rank_sums(df: DataFrame, group: str, value: str, local_rows: int = LOCAL_ROW
     return per_group.withColumn("_k", F.lit(0)).join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k").drop("_k")
 
 
-def chi_square_tail(h: float | None, df: int) -> float | None:
+def chi_square_tail(h: float, df: int) -> float | None:
     """Upper tail of the chi-square distribution for whole degrees of freedom, by its finite series."""
     if h is None or df < 1:
         return None
@@ -123,7 +123,7 @@ def chi_square_tail(h: float | None, df: int) -> float | None:
     return math.erfc(math.sqrt(half)) + math.exp(-half) * total
 
 
-def normal_two_sided(z: float | None) -> float | None:
+def normal_two_sided(z: float) -> float | None:
     return None if z is None else math.erfc(abs(z) / math.sqrt(2))
 
 

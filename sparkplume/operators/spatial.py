@@ -118,17 +118,13 @@ def disc_cells(df: DataFrame, radius: Column | float, grid: Grid, x: str = "x",
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """Closed ring ``(ring, i, x, y)`` to edges. Vertex i joins vertex i+1; the last one joins the first."""
-    if "ring" not in vertices.columns:
-        vertices = vertices.withColumn("ring", F.lit(0))
-    last = vertices.groupBy("ring").agg(F.max("i").alias("last"), F.min("i").alias("first"))
-    ends = vertices.select("ring", F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    starts = vertices.join(last, "ring").select(
-        "ring",
-        F.col("x").alias("x1"),
-        F.col("y").alias("y1"),
-        F.when(F.col("i") == F.col("last"), F.col("first")).otherwise(F.col("i") + 1).alias("j"),
+    ring = ["ring"] if "ring" in vertices.columns else []
+    ends = vertices.select(*ring, (F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    steps = vertices.join(ends, [*ring, "i"]).select(F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    closing = vertices.groupBy(*ring).agg(
+        F.max_by("x", "i").alias("x1"), F.max_by("y", "i").alias("y1"), F.min_by("x", "i").alias("x2"), F.min_by("y", "i").alias("y2")
     )
-    return starts.join(ends, ["ring", "j"]).select("x1", "y1", "x2", "y2")
+    return steps.unionByName(closing.select("x1", "y1", "x2", "y2"))
 
 
 def clip_points(

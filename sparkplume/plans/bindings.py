@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +32,27 @@ def systems(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
+WATER_OF_STATUS = {"F": "GW", "O": "SW"}
+CONTAMINANT_OF_PRIORITY = {"1-URGENT": "PFOA", "2-HIGH": "PFOS"}
+
+
+def samples(
+    spark: SparkSession, sf: str, contaminants: Sequence[str] | None = None, water_types: Sequence[str] | None = None
+) -> DataFrame:
+    """All samples, or those of some datasets; the latter condition is put in the table's own terms,
+    so that the scan can skip row groups."""
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     date = F.col("o_orderdate").cast("date")
+    orders = table(spark, sf, "orders")
+    if water_types is not None:
+        orders = orders.where(status.isin(*[k for k, v in WATER_OF_STATUS.items() if v in water_types]))
+    if contaminants is not None:
+        orders = orders.where(priority.isin(*[k for k, v in CONTAMINANT_OF_PRIORITY.items() if v in contaminants]))
     people = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     return (
-        table(spark, sf, "orders")
-        .join(people, F.col("o_custkey") == F.col("c_custkey"))
+        orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderkey").alias("row_id"),
             F.col("o_custkey").alias("system_id"),
@@ -80,7 +94,8 @@ def bridge_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf: str, contaminant: str = "PFOA", water_type: str = "GW") -> DataFrame:
-    return dataset_points(samples(spark, sf), systems(spark, sf), contaminant, water_type)
+    rows = samples(spark, sf, [contaminant], [water_type])
+    return dataset_points(rows, systems(spark, sf), contaminant, water_type)
 
 
 def train_test(spark: SparkSession, sf: str, contaminant: str = "PFOA", water_type: str = "GW") -> tuple[DataFrame, DataFrame]:

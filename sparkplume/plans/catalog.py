@@ -44,7 +44,11 @@ def rounded(df: DataFrame, digits: int = 12, **own: int) -> DataFrame:
 
 
 def _filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return P.impute_nondetect(P.filter_samples(B.samples(spark, sf)))
+    return P.impute_nondetect(_wanted(spark, sf))
+
+
+def _wanted(spark: SparkSession, sf: str) -> DataFrame:
+    return P.filter_samples(B.samples(spark, sf, P.CONTAMINANTS, P.WATER_TYPES))
 
 
 def _cells(spark: SparkSession) -> DataFrame:
@@ -122,13 +126,13 @@ def max_row_per_system(spark, sf):
 
 @query
 def max_by_zip(spark, sf):
-    joined = P.join_zips(P.filter_samples(B.samples(spark, sf)), P.padded_zips(B.zips(spark, sf)))
+    joined = P.join_zips(_wanted(spark, sf), P.padded_zips(B.zips(spark, sf)))
     return rounded(P.max_by_zip(joined, "PFOA", "GW"))
 
 
 @query
 def join_zips(spark, sf):
-    joined = P.join_zips(P.filter_samples(B.samples(spark, sf)), P.padded_zips(B.zips(spark, sf)))
+    joined = P.join_zips(_wanted(spark, sf), P.padded_zips(B.zips(spark, sf)))
     return joined.select("row_id", "system_id", "zip")
 
 
@@ -149,12 +153,12 @@ def zip_set_sizes(spark, sf):
 
 @query
 def key_overlap(spark, sf):
-    return P.key_overlap(P.filter_samples(B.samples(spark, sf)), B.systems(spark, sf))
+    return P.key_overlap(_wanted(spark, sf), B.systems(spark, sf))
 
 
 @query
 def unmatched(spark, sf):
-    sampled = P.filter_samples(B.samples(spark, sf))
+    sampled = _wanted(spark, sf)
     return (
         P.unmatched_count(sampled, B.systems(spark, sf))
         .withColumn("against", F.lit("systems"))
@@ -338,7 +342,7 @@ def natural_neighbor_grid(spark, sf):
 @query
 def run_grid(spark, sf):
     """Every run of every method for each dataset found in the samples."""
-    datasets = P.with_dataset(P.filter_samples(B.samples(spark, sf))).select("dataset").distinct()
+    datasets = P.with_dataset(_wanted(spark, sf)).select("dataset").distinct()
     datasets = materialize(datasets, "datasets")
     grids = [R.skip_long_lags(R.param_grid(datasets, m)) for m in ("IDW", "OK", "UK", "NN")]
     return R.with_run_id(reduce(DataFrame.unionByName, grids))
