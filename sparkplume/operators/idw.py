@@ -113,6 +113,8 @@ def idw_sweep(points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFra
     """
     points = materialize(points.select("system_id", "x", "y", "z"), "train")
     cells = cells if cells is not None else make_grid(points.sparkSession, grid)
+    if not runs:
+        raise ValueError("no runs")
     variable = [r for r in runs if r["type"] == "variable"]
     fixed = [r for r in runs if r["type"] == "fixed"]
     k = max([int(r["num_points"]) for r in variable] + [int(r["f_pts"]) for r in fixed])

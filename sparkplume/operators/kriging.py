@@ -213,6 +213,12 @@ def _as_dicts(runs: Sequence[Row]) -> list[dict]:
     return [r.asDict() if isinstance(r, Row) else dict(r) for r in runs]
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Partition by target for the solver. Its cost is in the solving and not in the bytes, so the
+    number of tasks follows the cores and not the size of the input."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "target_id")
+
+
 def _clean(df: DataFrame) -> DataFrame:
     """A failed target keeps its row with NULL and the reason."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "variance")})
@@ -237,7 +243,7 @@ def krige(neighbors: DataFrame, runs: Sequence[Row]) -> DataFrame:
 
     n = F.col("neighbors")
     flat = neighbors.select("target_id", "tx", "ty", *[n[c].alias(c) for c in ("d", "x", "y", "z")])
-    return _clean(flat.mapInPandas(solve, SCHEMA))
+    return _clean(_spread(flat).mapInPandas(solve, SCHEMA))
 
 
 def krige_radius(pairs: DataFrame, runs: Sequence[Row]) -> DataFrame:
@@ -254,7 +260,7 @@ def krige_radius(pairs: DataFrame, runs: Sequence[Row]) -> DataFrame:
         )
         return _krige_batch(g["target_id"].to_numpy()[:1], [part], plain)
 
-    return _clean(pairs.groupBy("target_id").applyInPandas(solve, SCHEMA))
+    return _clean(_spread(pairs).groupBy("target_id").applyInPandas(solve, SCHEMA))
 
 
 def krige_sweep(points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFrame | None = None) -> DataFrame:

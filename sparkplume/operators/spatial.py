@@ -59,15 +59,14 @@ def make_grid(spark: SparkSession, grid: Grid, mask: DataFrame | None = None) ->
 
     Cells are numbered by one distributed range, so no join builds the rectangle.
     """
-    cells = (
-        spark.range(grid.rows * grid.cols)
-        .withColumnRenamed("id", "cell_id")
-        .withColumn("row", F.expr(f"cell_id div {grid.cols}"))
-        .withColumn("col", F.expr(f"cell_id % {grid.cols}"))
-        .withColumn("cx", grid.center_x(F.col("col")))
-        .withColumn("cy", grid.center_y(F.col("row")))
+    cells = spark.range(grid.rows * grid.cols).selectExpr(
+        "id AS cell_id", f"id div {grid.cols} AS row", f"id % {grid.cols} AS col"
     )
-    return cells if mask is None else cells.join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi").select("cell_id", "row", "col", "cx", "cy")
+    cells = cells.select("*", grid.center_x(F.col("col")).alias("cx"), grid.center_y(F.col("row")).alias("cy"))
+    if mask is None:
+        return cells
+    inside = cells.join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    return inside.select("cell_id", "row", "col", "cx", "cy")
 
 
 def cells_touched(points: DataFrame, grid: Grid) -> DataFrame:
@@ -273,4 +272,5 @@ def convex_hull(points: DataFrame) -> DataFrame:
     )
     rows = ends.select("x", F.explode(F.array("_a", "_b")).alias("y"))
     local = rows.mapInPandas(_hull_part, schema)
-    return local.select("x", "y").coalesce(1).mapInPandas(_hull_part, schema)
+    # an exchange, not a coalesce: that would pull the local hulls into the same single task
+    return local.select("x", "y").repartition(1).mapInPandas(_hull_part, schema)

@@ -20,6 +20,7 @@ from sparkplume.operators import spatial as G
 from sparkplume.operators.natural import natural_neighbor
 from sparkplume.operators.variogram import MODELS, fit_semivariogram, semivariogram
 from sparkplume.plans import bindings as B
+from sparkplume.plans import prepare as PP
 from sparkplume.plans import runs as R
 from sparkplume.plans import sweep as W
 from sparkplume.session import materialize, shared_folder
@@ -200,8 +201,24 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _prepared(spark: SparkSession, sf: str, seasonal: bool) -> DataFrame:
+    samples = B.samples(spark, sf, P.CONTAMINANTS, P.WATER_TYPES)
+    out = PP.prepared_points(samples, B.systems(spark, sf), G.polygon_edges(B.area(spark)), seasonal)
+    return rounded(out.select("dataset", "system_id", "x", "y", "state", "mean_value", "n_values", "is_train"))
+
+
 @query
-def io_roundtrip_tsv(spark, sf):
+def prepared_points(spark, sf):
+    """Filter, impute, statistics, location, clip and split of the four datasets."""
+    return _prepared(spark, sf, False)
+
+
+@query
+def prepared_points_seasonal(spark, sf):
+    return _prepared(spark, sf, True)
+
+
+def _sample_file(spark: SparkSession, sf: str) -> str:
     raw = B.samples(spark, sf).select(
         F.col("system_id").cast("string").alias("PWSID"),
         F.concat(F.lit("Ca\u00f1on "), "system_name").alias("PWSName"),
@@ -217,7 +234,20 @@ def io_roundtrip_tsv(spark, sf):
     )
     path = _fresh(spark, "tab")
     raw.write.option("sep", "\t").option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return rounded(IO.read_samples(spark, path))
+    return path
+
+
+@query
+def io_roundtrip_tsv(spark, sf):
+    return rounded(IO.read_samples(spark, _sample_file(spark, sf)))
+
+
+@query
+def io_file_to_stats(spark, sf):
+    """From a sample file on disk to per-system statistics."""
+    samples = PP.samples_from_file(IO.read_samples(spark, _sample_file(spark, sf)))
+    stats = P.system_stats(P.impute_nondetect(P.filter_samples(samples)))
+    return rounded(stats.select(*P.DATASET, "system_id", "mean_value", "std_dev", "n_values", "n_dates", "first_date"))
 
 
 @query
@@ -366,6 +396,13 @@ def idw_sweep_metrics(spark, sf):
     return rounded(ranked.select("run_id", "n", "rmse", "mae", "rmse_rank", "mae_rank", "ave_rank"))
 
 
+@query
+def idw_sweep_rasters(spark, sf):
+    """All 84 rasters over the whole grid."""
+    train, _ = B.train_test(spark, sf)
+    return rounded(W.sweep(train, GRID, W.sweep_runs(spark, "IDW")).select("run_id", "cell_id", "value"))
+
+
 @query
 def extract_nearest_cell(spark, sf):
     raster, test = _small_raster(spark, sf)
@@ -619,6 +656,20 @@ def krige_two_neighbors(spark, sf):
     return rounded(out.select(F.col("target_id").alias("cell_id"), "value", "variance", "status"), 10)
 
 
+@query
+def krige_three_neighbors(spark, sf):
+    """Every ordinary model on three neighbours, again with a closed form on the SQL side."""
+    train, _ = B.train_test(spark, sf)
+    train = materialize(K.merge_places(train), "train")
+    total = _plain_model(train)["sill"]
+    runs = [
+        {"run_id": m, "model": m, "type": "variable", "num_points": 3, "a": 150000.0, "nugget": 0.1 * total, "sill": 0.9 * total}
+        for m in R.ORDINARY_MODELS
+    ]
+    out = K.krige(N.knn(N.grid_targets(_cells(spark)), train, 3), runs)
+    return rounded(out.select("run_id", F.col("target_id").alias("cell_id"), "value", "variance", "status"), 8)
+
+
 @query
 def krige_plane(spark, sf):
     """Linear drift from three neighbours is the plane through them."""
@@ -629,6 +680,14 @@ def krige_plane(spark, sf):
     return rounded(out.select(F.col("target_id").alias("cell_id"), "value"), 8)
 
 
+@query
+def nn_metrics(spark, sf):
+    """Natural neighbour scored at the test points; cells outside the hull give no pair."""
+    train, test = B.train_test(spark, sf)
+    ranked = W.sweep_and_rank(train, test, GRID, W.sweep_runs(spark, "NN"), None)
+    return rounded(ranked.select("run_id", "status", "n", "rmse", "mae", "rmse_rank", "ave_rank"))
+
+
 @query
 def ok_sweep_metrics(spark, sf):
     """All 420 ordinary-kriging runs at the cells of the test points."""

@@ -91,6 +91,26 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "test_cells": (("test",), """
         SELECT *, CAST(floor(y / 25000) AS BIGINT) AS trow, CAST(floor(x / 25000) AS BIGINT) AS tcol FROM test
         WHERE floor(y / 25000) BETWEEN 0 AND 39 AND floor(x / 25000) BETWEEN 0 AND 39"""),
+    "area": ((), """
+        SELECT * FROM (VALUES (0, 100000.0::DOUBLE, 50000.0::DOUBLE), (1, 900000, 150000), (2, 800000, 950000),
+                              (3, 450000, 600000), (4, 150000, 900000)) a(i, x, y)"""),
+    "inside": (("systems", "area"), """
+        SELECT system_id, x, y FROM (
+          SELECT p.system_id, p.x, p.y, count(*) AS n FROM systems p JOIN (
+            SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM area a JOIN area b ON b.i = (a.i + 1) % 5) e
+          ON (y1 > p.y) <> (y2 > p.y) AND p.x < x1 + (p.y - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL)
+        WHERE n % 2 = 1"""),
+    "sibson": (("ranked_pairs",), """
+        SELECT c.cell_id, c."row", c.col, CASE WHEN gap < pi() THEN value END AS value
+        FROM cells c
+        JOIN (SELECT cell_id, max(gap) AS gap FROM (
+                SELECT cell_id, coalesce(lead(ang) OVER w, first_value(ang) OVER w + 2 * pi()) - ang AS gap
+                FROM (SELECT cell_id, atan2(y - cy, x - cx) AS ang FROM ranked_pairs)
+                WINDOW w AS (PARTITION BY cell_id ORDER BY ang ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+              GROUP BY cell_id) USING (cell_id)
+        LEFT JOIN (SELECT c.cell_id, avg(n.z) AS value FROM cells c JOIN (SELECT * FROM ranked_pairs WHERE rnk = 1) n
+                   ON sqrt((c.cx - n.cx) * (c.cx - n.cx) + (c.cy - n.cy) * (c.cy - n.cy)) <= n.d GROUP BY c.cell_id)
+          USING (cell_id)"""),
     "pairs": (("raster", "test_cells"), """
         SELECT run_id, system_id, z AS observed, value AS predicted
         FROM raster JOIN test_cells ON "row" = trow AND col = tcol"""),
@@ -300,6 +320,10 @@ def oracle_sql() -> dict[str, str]:
                   water_type AS FacilityWaterType, contaminant AS Contaminant, round(mrl, 9) AS MRL, 'ug/L' AS Units,
                   CAST(region AS VARCHAR) AS Region, state AS State, round(value, 9) AS AnalyticalResultValue,
                   collection_text AS CollectionDate FROM samples""", "samples")
+    out["io_file_to_stats"] = _sql(
+        """SELECT contaminant, water_type, CAST(system_id AS VARCHAR) AS system_id, round(avg(value), 12) AS mean_value,
+                  round(stddev_samp(value), 12) AS std_dev, count(value) AS n_values, count(DISTINCT collection_date) AS n_dates,
+                  min(collection_date) AS first_date FROM filtered GROUP BY ALL""", "filtered")
     out["io_roundtrip_zips"] = _sql(
         "SELECT CAST(system_id AS VARCHAR) AS PWSID, zip AS ZIPCODE FROM padded_zips", "padded_zips")
     out["io_roundtrip_csv"] = _sql(
@@ -312,13 +336,15 @@ def oracle_sql() -> dict[str, str]:
         """SELECT run_id, "row", col, round(value, 12) AS value FROM raster WHERE run_id = 'IDW_V_p2_np12_2.0'""", "raster")
 
     out["clip_points"] = _sql(
-        """SELECT system_id, x, y FROM (
-             SELECT p.system_id, p.x, p.y, count(*) AS n FROM points p JOIN (
-               SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM area a JOIN area b ON b.i = (a.i + 1) % 5) e
-             ON (y1 > p.y) <> (y2 > p.y) AND p.x < x1 + (p.y - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL)
-           WHERE n % 2 = 1""".replace("area a", "(VALUES (0, 100000.0::DOUBLE, 50000.0::DOUBLE), (1, 900000, 150000), (2, 800000, 950000), (3, 450000, 600000), (4, 150000, 900000)) a(i, x, y)")
-        .replace("area b", "(VALUES (0, 100000.0::DOUBLE, 50000.0::DOUBLE), (1, 900000, 150000), (2, 800000, 950000), (3, 450000, 600000), (4, 150000, 900000)) b(i, x, y)"),
-        "points")
+        "SELECT p.system_id, p.x, p.y FROM points p WHERE p.system_id IN (SELECT system_id FROM inside)", "points", "inside")
+    for name, key in (("prepared_points", "contaminant || '_' || water_type"),
+                      ("prepared_points_seasonal", f"contaminant || '_' || water_type || '_' || {SEASON.format(d='collection_date')}")):
+        out[name] = _sql(
+            f"""SELECT dataset, system_id, x, y, state, round(mean_value, 12) AS mean_value, n_values,
+                       row_number() OVER (PARTITION BY dataset ORDER BY md5(concat(CAST(system_id AS VARCHAR), '|42')), system_id) * 10
+                       <= count(*) OVER (PARTITION BY dataset) * 9 AS is_train
+                FROM (SELECT {key} AS dataset, system_id, min_by(state, row_id) AS state, avg(value) AS mean_value, count(value) AS n_values
+                      FROM filtered WHERE {key} IS NOT NULL GROUP BY 1, 2) JOIN inside USING (system_id)""", "filtered", "inside")
     out["train_test_split"] = _sql("SELECT system_id, is_train FROM split", "split")
     out["make_grid"] = _sql(
         """SELECT cell_id, "row", col, cx, cy FROM cells
@@ -347,15 +373,11 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT run_id, cell_id, "row", col, round(value, 12) AS value FROM raster
                 WHERE run_id LIKE 'IDW_{kind[0].upper()}%'""", "raster")
     out["natural_neighbor_grid"] = _sql(
-        """, given AS (SELECT c.cell_id, avg(n.z) AS value FROM cells c JOIN (SELECT * FROM ranked_pairs WHERE rnk = 1) n
-                       ON sqrt((c.cx - n.cx) * (c.cx - n.cx) + (c.cy - n.cy) * (c.cy - n.cy)) <= n.d GROUP BY c.cell_id),
-             turns AS (SELECT cell_id, max(gap) AS gap FROM (
-                         SELECT cell_id, coalesce(lead(ang) OVER w, first_value(ang) OVER w + 2 * pi()) - ang AS gap
-                         FROM (SELECT cell_id, atan2(y - cy, x - cx) AS ang FROM ranked_pairs)
-                         WINDOW w AS (PARTITION BY cell_id ORDER BY ang ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-                       GROUP BY cell_id)
-           SELECT c.cell_id, c."row", c.col, round(CASE WHEN gap < pi() THEN value END, 12) AS value
-           FROM cells c JOIN turns USING (cell_id) LEFT JOIN given USING (cell_id)""", "ranked_pairs")
+        'SELECT cell_id, "row", col, round(value, 12) AS value FROM sibson', "sibson")
+    out["nn_metrics"] = _sql(
+        """SELECT 'NN_NatN_Int' AS run_id, 'ok' AS status, count(*) AS n, round(sqrt(avg((z - value) * (z - value))), 12) AS rmse,
+                  round(avg(abs(z - value)), 12) AS mae, 1 AS rmse_rank, CAST(1 AS DOUBLE) AS ave_rank
+           FROM sibson JOIN test_cells ON "row" = trow AND col = tcol WHERE value IS NOT NULL""", "sibson", "test_cells")
 
     krige_runs = """
         SELECT method, model, CAST(NULL AS DOUBLE) AS power, lag, distance, f_pts, num_points, type FROM (
@@ -393,6 +415,11 @@ def oracle_sql() -> dict[str, str]:
            WHERE NOT (coalesce(model, '') IN ('Exponential', 'Gaussian') AND coalesce(lag_dist, 0) = 24000)""", "run_log")
     out["idw_sweep_metrics"] = _sql(
         ", " + _sweep_ranked("train", "test", "sweep_runs", False) + RANKED_OUT.format("ranked"), "cells", "train", "test", "sweep_runs")
+    out["idw_sweep_rasters"] = _sql(
+        """SELECT run_id, cell_id, round(CASE WHEN count(*) FILTER (d = 0) > 0 THEN avg(z) FILTER (d = 0)
+                                              ELSE sum(z / pow(d, p)) / sum(1 / pow(d, p)) END, 12) AS value
+           FROM ranked_pairs JOIN sweep_runs
+             ON (kind = 'variable' AND rnk <= k) OR (kind = 'fixed' AND (d <= r OR rnk <= m)) GROUP BY ALL""", "ranked_pairs", "sweep_runs")
     out["extract_nearest_cell"] = _sql("SELECT run_id, system_id, round(predicted, 12) AS prediction FROM pairs", "pairs")
     out["zonal_mean"] = _sql(
         """SELECT run_id, system_id, round(avg(value), 12) AS prediction
@@ -532,6 +559,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT cell_id, round(w1 * z1 + (1 - w1) * z2, 10) AS value,
                    round(greatest(w1 * {g('d1')} + (1 - w1) * {g('d2')} + mu, 0) * s, 10) AS variance, 'ok' AS status FROM m, s""",
         "ranked_pairs", "train")
+    def models(h: str) -> str:
+        f = " ".join(f"WHEN '{m}' THEN {e}" for m, e in shapes.items()).replace("h / a", f"({h}) / 150000")
+        return f"(CASE WHEN {h} > 0 THEN CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * CASE model {f} END ELSE 0 END)"
+
+    out["krige_three_neighbors"] = _sql(
+        f""", tri AS (SELECT a.cell_id, a.z AS z1, b.z AS z2, c.z AS z3, a.d AS d1, b.d AS d2, c.d AS d3,
+                        sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d12,
+                        sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) AS d13,
+                        sqrt((b.x - c.x) * (b.x - c.x) + (b.y - c.y) * (b.y - c.y)) AS d23
+                      FROM ranked_pairs a JOIN ranked_pairs b ON a.cell_id = b.cell_id AND a.rnk = 1 AND b.rnk = 2
+                      JOIN ranked_pairs c ON a.cell_id = c.cell_id AND c.rnk = 3),
+             gam AS (SELECT cell_id, model, z1, z2, z3, {models('d1')} AS g1, {models('d2')} AS g2, {models('d3')} AS g3,
+                            {models('d12')} AS g12, {models('d13')} AS g13, {models('d23')} AS g23
+                     FROM tri, (SELECT unnest(['Spherical', 'Circular', 'Exponential', 'Gaussian', 'Linear']) AS model)),
+             eq AS (SELECT *, -2 * g13 AS a11, g12 - g13 - g23 AS a12, -2 * g23 AS a22, g1 - g3 - g13 AS b1, g2 - g3 - g23 AS b2 FROM gam),
+             w AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS w1,
+                          (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS w2 FROM eq),
+             m AS (SELECT *, 1 - w1 - w2 AS w3, g1 - w2 * g12 - (1 - w1 - w2) * g13 AS mu FROM w)
+            SELECT model AS run_id, cell_id, round(w1 * z1 + w2 * z2 + w3 * z3, 8) AS value,
+                   round(greatest(w1 * g1 + w2 * g2 + w3 * g3 + mu, 0) * (SELECT var_pop(z) FROM train), 8) AS variance, 'ok' AS status
+            FROM m""", "ranked_pairs", "train")
     out["krige_plane"] = _sql(
         """, tri AS (SELECT a.cell_id, a.cx, a.cy, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2, c.x AS x3, c.y AS y3, c.z AS z3
                      FROM ranked_pairs a JOIN ranked_pairs b ON a.cell_id = b.cell_id AND a.rnk = 1 AND b.rnk = 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from sparkplume.plans.runs import (
 from sparkplume.session import materialize
 
 
+RASTER = "run_id string, cell_id long, row long, col long, value double, variance double, status string"
+
+
 def sweep_runs(spark, method: str) -> DataFrame:
     """All runs of a method's sweep with ids: IDW 84, OK 420, UK 200, NN 1."""
     return with_run_id(skip_long_lags(param_grid(single(spark), method)))
@@ -69,10 +74,7 @@ def sweep(
             ready = [r for r in fitted if r["a"] is not None]
             if ready:
                 parts.append(_full(raster_rows(krige_sweep(points, grid, ready, cells), grid)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts, points.sparkSession.createDataFrame([], RASTER))
 
 
 def _full(raster: DataFrame) -> DataFrame:
