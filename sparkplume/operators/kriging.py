@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparkplume.operators.neighbors import grid_targets, knn, radius_neighbors
-from sparkplume.operators.spatial import Grid, make_grid
+from sparkplume.operators.spatial import Grid, make_grid, usable
 from sparkplume.session import materialize
 
 SCHEMA = "run_id string, target_id long, value double, variance double, status string"
@@ -27,7 +27,7 @@ STACK_DOUBLES = 4_000_000  # size of one stack of systems
 def merge_places(points: DataFrame) -> DataFrame:
     """Points at one location become one with their mean; equal locations would make systems singular."""
     return (
-        points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+        usable(points)
         .groupBy("x", "y")
         .agg(F.min("system_id").alias("system_id"), F.avg("z").alias("z"))
         .select("system_id", "x", "y", "z")

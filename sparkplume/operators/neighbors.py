@@ -11,49 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkplume.operators.spatial import Grid, disc_cells, make_grid
+from sparkplume.operators.spatial import Grid, disc_cells, make_grid, usable
+from sparkplume.operators.tiles import BOX, SMALL_LEVEL, build_tiles
 from sparkplume.session import materialize
 
-LEVEL_BITS = 2  # a tile opens into 4 x 4 tiles
-MAX_LEVEL = 12  # 24 bits per axis: 6 cm tiles in an extent of 1,000 km
-SMALL_LEVEL = 4  # up to here a level has at most 16**4 tiles, few enough to broadcast
-
-
-def _tile(level: int, frame: tuple[float, float, float]) -> str:
-    """SQL of the tile that holds (x, y): level and both indices packed into one long."""
-    if level == 0:
-        return "0L"
-    x0, y0, side = frame
-    full = 1 << (LEVEL_BITS * MAX_LEVEL)
-    shift = LEVEL_BITS * (MAX_LEVEL - level)
-    axis = "shiftright(least(cast(floor(({v} - {lo!r}D) / {side!r}D * {full}D) as bigint), {top}L), {shift})"
-    ix, iy = (axis.format(v=v, lo=lo, side=side, full=full, top=full - 1, shift=shift) for v, lo in (("x", x0), ("y", y0)))
-    return f"{level << 50}L + shiftleft({ix}, 25) + {iy}"
-
-
-def _levels(points: DataFrame, first: int, last: int, frame: tuple[float, float, float]) -> DataFrame:
-    """Each point once per level with its tile and the tile above."""
-    entries = ", ".join(
-        f"named_struct('level', {level}, 'tile', {_tile(level, frame)}, 'parent', {_tile(level - 1, frame)})"
-        for level in range(first, last + 1)
-    )
-    return points.selectExpr("*", f"inline(array({entries}))")
-
-
-def _tiles(points: DataFrame, first: int, last: int, frame: tuple[float, float, float]) -> DataFrame:
-    return (
-        _levels(points.select("x", "y"), first, last, frame)
-        .groupBy("level", "tile", "parent")
-        .agg(*map(F.expr, ("count(1) n", "min(x) ax", "max(x) bx", "min(y) ay", "max(y) by")))
-    )
-
-
-def _crowded(leaf: int) -> str:
-    """More points than a leaf may hold, and at more than one place."""
-    return f"n > {leaf} AND (ax < bx OR ay < by)"
-
-
 def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None) -> DataFrame:
     """The k nearest points of each target, ordered by distance, then by id.
 
@@ -66,45 +29,32 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
     # limit is applied before the exchange too, so copies of one place do not travel.
     place = Window.partitionBy("x", "y").orderBy("system_id")
     points = materialize(
-        points.select("system_id", "x", "y", "z")
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        usable(points)
         .withColumn("_rn", F.row_number().over(place))
         .where(F.col("_rn") <= k)
         .drop("_rn"),
         "points",
     )
-    box = points.selectExpr("count(1) n", "min(x) ax", "min(y) ay", "max(x) bx", "max(y) by").first()
     targets = targets.select("target_id", "tx", "ty")
-    if box["n"] == 0:
-        nothing = F.array().cast("array<struct<d:double,id:bigint,x:double,y:double,z:double>>")
-        return targets.withColumn("neighbors", nothing)
-    frame = (box["ax"], box["ay"], max(box["bx"] - box["ax"], box["by"] - box["ay"], 1e-6) * (1 + 1e-9))
-
-    last = 1
-    while last < MAX_LEVEL and box["n"] > leaf * 16**last:
-        last += 1
-    tiles = materialize(_tiles(points, 1, last, frame), "tiles")
-    while last < MAX_LEVEL:
-        full = tiles.where(f"level = {last} AND {_crowded(leaf)}").selectExpr("tile AS full_tile")
-        if full.isEmpty():
-            break
-        step = min(2, MAX_LEVEL - last)
-        inside = points.join(full, F.expr(f"{_tile(last, frame)} = full_tile"), "left_semi")
-        tiles = materialize(tiles.unionByName(_tiles(inside, last + 1, last + step, frame)), "tiles")
-        last += step
-
-    cols = ("tile", "n", "ax", "bx", "ay", "by")
-    top = tiles.where("level = 1").select(*cols).collect()  # at most 16 rows
+    tiles = build_tiles(points, leaf)
+    if tiles is None:
+        entry = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", points.schema["system_id"].dataType)])
+        for c in ("x", "y", "z"):
+            entry = entry.add(c, T.DoubleType())
+        return targets.withColumn("neighbors", F.array().cast(T.ArrayType(entry)))
+
+    cols = ("tile", "n", *BOX)
+    top = tiles.table.where("level = 1").select(*cols).collect()  # at most 16 rows
     every_top = ", ".join(
-        f"named_struct('tile', {r.tile}L, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in cols[2:]) + ")"
+        f"named_struct('tile', {r.tile}L, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in BOX) + ")"
         for r in top
     )
     reach = _within_bound(targets.selectExpr("*", f"inline(array({every_top}))"), k)
-    open_tiles = tiles.where(f"{_crowded(leaf)} AND level < {last}").selectExpr("tile AS parent")
-    for level in range(2, last + 1):
+    inner = tiles.inner()
+    for level in range(2, tiles.last + 1):
         below = (
-            tiles.where(f"level = {level}")
-            .join(open_tiles, "parent", "left_semi")
+            tiles.table.where(f"level = {level}")
+            .join(inner, "parent", "left_semi")
             .selectExpr("parent", *[f"{c} AS c_{c}" for c in cols])
         )
         if level <= SMALL_LEVEL:  # at most 16**level rows
@@ -114,7 +64,7 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
         )
         reach = _within_bound(opened, k)
 
-    tagged = _levels(points, 1, last, frame).select("system_id", "x", "y", "z", "tile")
+    tagged = tiles.levels(points).select("system_id", "x", "y", "z", "tile")
     found = (
         reach.select("target_id", "tx", "ty", "tile", "bound")
         .join(tagged, "tile")
@@ -166,7 +116,7 @@ def grid_targets(cells: DataFrame) -> DataFrame:
 
 def radius_rows(points: DataFrame, radius: float, grid: Grid, cells: DataFrame | None = None) -> DataFrame:
     """One row per cell and point within ``radius``. Work grows with the points times the disc's cells."""
-    pairs = disc_cells(points.select("system_id", "x", "y", "z"), radius, grid).select(
+    pairs = disc_cells(usable(points), radius, grid).select(
         F.col("cell_id").alias("target_id"),
         grid.center_x(F.col("col")).alias("tx"),
         grid.center_y(F.col("row")).alias("ty"),

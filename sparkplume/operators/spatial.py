@@ -54,6 +54,13 @@ class Grid:
         return Grid(self.x0, self.y0, self.cell / factor, self.rows * factor, self.cols * factor)
 
 
+def usable(points: DataFrame) -> DataFrame:
+    """``system_id, x, y, z`` of the points that have a location and a value."""
+    return points.select("system_id", "x", "y", "z").where(
+        " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("x", "y", "z"))
+    )
+
+
 def make_grid(spark: SparkSession, grid: Grid, mask: DataFrame | None = None) -> DataFrame:
     """One row per cell: ``cell_id, row, col, cx, cy``; with ``mask(row, col)`` only cells found there.
 

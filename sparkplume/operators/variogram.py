@@ -4,111 +4,137 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkplume.operators.spatial import usable
+from sparkplume.operators.tiles import BOX, build_tiles
 from sparkplume.session import materialize
 
 N_LAGS = 12
-BLOCK = 2000  # locations per side of one unit of pair work
+LEAF = 32
 MODELS = ("Spherical", "Circular", "Exponential", "Gaussian", "Linear")
+NODE = ("tile", "n", "m", "q", *BOX, "level", "inner", "place")
 
 
-def collapse_places(points: DataFrame) -> DataFrame:
-    """One row per location with count, mean and sum of squared deviations of z."""
-    return (
-        points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
-        .groupBy("x", "y")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("z").alias("m"),
-            (F.var_pop("z") * F.count(F.lit(1))).alias("q"),
+def _nodes(points: DataFrame, leaf: int) -> tuple[DataFrame, list] | None:
+    """Tiles and places as one table of nodes with their parent, and the nodes of the first level.
+
+    A node has count, mean and sum of squared deviations of z, and the box of its points. ``inner``
+    tiles have tiles below them; the other tiles have places below them, one per location.
+    """
+    tiles = build_tiles(points, leaf, ("avg(z) m", "var_pop(z) * count(1) q"))
+    if tiles is None:
+        return None
+    table = tiles.reachable().selectExpr(
+        "parent", "tile", "n", "m", "q", *BOX, "level", f"{tiles.crowded} AS inner", "false AS place"
+    )
+    spread = table.where("NOT inner AND (ax < bx OR ay < by)").select("tile")
+    places = (
+        tiles.levels(points)
+        .join(spread, "tile", "left_semi")
+        .groupBy("tile", "x", "y")
+        .agg(*map(F.expr, ("count(1) n", "avg(z) m", "var_pop(z) * count(1) q")))
+        .selectExpr(
+            "tile AS parent", "tile", "n", "m", "q", "x AS ax", "x AS bx", "y AS ay", "y AS by",
+            "0 AS level", "false AS inner", "true AS place",
         )
     )
+    nodes = materialize(table.unionByName(places), "nodes")
+    return nodes, nodes.where("level = 1").select(*NODE).collect()  # at most 16 rows
 
 
-def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS, block: int = BLOCK) -> DataFrame:
-    """``lag, bin, n_pairs, h, gamma`` for every lag distance, from one visit of each pair.
+def _judge(pairs: DataFrame, lags: Sequence[float], n_lags: int) -> DataFrame:
+    """Distance range of each pair of nodes, and what to do with the pair.
 
-    Points at one location are one row with moments, which is exact and makes copies free. Pairs are
-    formed in units of two blocks of locations from tiles within reach of each other. Crowded tiles
-    have more blocks, so no unit grows with them. Pairs are summed in the task that forms them.
+    ``done``: all its distances fall in one bin of every lag. ``finish``: only places are below.
+    ``open``: look one level deeper. Pairs beyond the reach leave.
     """
-    lags = sorted({float(lag) for lag in lags})
-    reach = lags[-1] * n_lags
-    side = reach / 2
-    places = materialize(
-        collapse_places(points)
-        .withColumn("ti", F.floor(F.col("x") / side).cast("long"))
-        .withColumn("tj", F.floor(F.col("y") / side).cast("long")),
-        "places",
-    )
-    blocks = places.groupBy("ti", "tj").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("nb"))
-    offsets = F.array(
-        *[
-            F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"))
-            for i in range(0, 4)
-            for j in range(-3, 4)
-            if (i, j) >= (0, 0) and math.hypot(max(i - 1, 0), max(abs(j) - 1, 0)) * side < reach
-        ]
-    )
-    near = blocks.withColumn("_o", F.explode(offsets)).select(
-        F.col("ti").alias("ai"),
-        F.col("tj").alias("aj"),
-        F.col("nb").alias("na"),
-        (F.col("ti") + F.col("_o.di")).alias("bi"),
-        (F.col("tj") + F.col("_o.dj")).alias("bj"),
-    )
-    tile_pairs = materialize(
-        near.join(
-            blocks.select(F.col("ti").alias("bi"), F.col("tj").alias("bj"), F.col("nb").alias("nb")), ["bi", "bj"]
-        ),
-        "tile_pairs",
+    near = [f"greatest(a.a{v} - b.b{v}, b.a{v} - a.b{v}, 0D)" for v in "xy"]
+    far = [f"greatest(a.b{v} - b.a{v}, b.b{v} - a.a{v})" for v in "xy"]
+    one_bin = " AND ".join(
+        f"least(floor(near / {lag!r}D), {n_lags}) = least(floor(far / {lag!r}D), {n_lags})" for lag in lags
     )
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("x", "y"), F.col(n))
-    unit = ["ai", "aj", "bi", "bj", "ca", "cb"]
-    left = (
-        places.withColumnsRenamed({"ti": "ai", "tj": "aj"})
-        .join(tile_pairs, ["ai", "aj"])
-        .withColumn("ca", own("na"))
-        .withColumn("cb", every("nb"))
-        .select(*unit, *[F.col(c).alias(f"{c}1") for c in ("x", "y", "n", "m", "q")])
-    )
-    right = (
-        places.withColumnsRenamed({"ti": "bi", "tj": "bj"})
-        .join(tile_pairs, ["bi", "bj"])
-        .withColumn("cb", own("nb"))
-        .withColumn("ca", every("na"))
-        .select(*unit, *[F.col(c).alias(f"{c}2") for c in ("x", "y", "n", "m", "q")])
-    )
-    same_tile = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
-    ordered = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
-    dz = F.col("m1") - F.col("m2")
-    pairs = (
-        left.join(right, unit)
-        .where(~same_tile | ordered)
-        .withColumn("h", F.sqrt(dx * dx + dy * dy))
-        .where(F.col("h") < reach)
-        .select(
-            "h",
-            (F.col("n1") * F.col("n2")).alias("n"),
-            (F.col("n1") * F.col("n2") * dz * dz + F.col("n2") * F.col("q1") + F.col("n1") * F.col("q2")).alias("d2"),
+    return (
+        pairs.selectExpr(
+            "a", "b", "same",
+            f"sqrt({near[0]} * {near[0]} + {near[1]} * {near[1]}) AS near",
+            f"sqrt({far[0]} * {far[0]} + {far[1]} * {far[1]}) AS far",
+        )
+        .where(f"near < {max(lags) * n_lags!r}D")
+        .selectExpr(
+            "*",
+            f"CASE WHEN {one_bin} THEN 'done' WHEN NOT a.inner AND NOT b.inner THEN 'finish' ELSE 'open' END AS status",
         )
     )
-    within = places.where(F.col("n") > 1).select(
-        F.lit(0.0).alias("h"),
-        F.expr("n * (n - 1) div 2").alias("n"),
-        (F.col("n") * F.col("q")).alias("d2"),
+
+
+def _open(pairs: DataFrame, nodes: DataFrame, both: bool) -> DataFrame:
+    """Replace nodes by those below them: both sides, or only the larger one when sizes differ much."""
+    size = {s: f"greatest({s}.bx - {s}.ax, {s}.by - {s}.ay)" for s in "ab"}
+    wide = {s: f"NOT {s}.place AND {size[s]} > 0" for s in "ab"}
+    step = {
+        s: wide[s] if both else f"{wide[s]} AND (same OR 2 * {size[s]} >= {size[o]})" for s, o in (("a", "b"), ("b", "a"))
+    }
+    below = {s: nodes.selectExpr(f"parent AS {s}_parent", f"struct({', '.join(NODE)}) AS {s}_below") for s in "ab"}
+    return (
+        pairs.selectExpr("a", "b", "same", *[f"CASE WHEN {step[s]} THEN {s}.tile END AS {s}_key" for s in "ab"])
+        .join(below["a"], F.expr("a_key = a_parent"), "left")
+        .join(below["b"], F.expr("b_key = b_parent"), "left")
+        .selectExpr("coalesce(a_below, a) AS a", "coalesce(b_below, b) AS b", "same AS was_same")
+        # below a pair of a node with itself, each pair counts once
+        .where("NOT was_same OR (a.tile, a.ax, a.ay) <= (b.tile, b.ax, b.ay)")
+        .selectExpr(
+            "a", "b", "was_same AND a.tile = b.tile AND a.place = b.place AND a.ax = b.ax AND a.ay = b.ay AS same"
+        )
     )
-    bins = [F.floor(F.col("h") / F.lit(lag)).cast("int").alias(f"b{i}") for i, lag in enumerate(lags)]
-    joint = (
-        pairs.unionByName(within)
-        .groupBy(*bins)
-        .agg(F.sum("n").alias("n"), F.sum(F.col("h") * F.col("n")).alias("hs"), F.sum("d2").alias("d2"))
+
+
+def _sums(pairs: DataFrame, lags: Sequence[float], n_lags: int) -> DataFrame:
+    """Pairs of points and squared differences per joint bin, from the moments of the nodes."""
+    return (
+        pairs.selectExpr(
+            *[f"int(least(floor(near / {lag!r}D), {n_lags})) AS b{i}" for i, lag in enumerate(lags)],
+            "CASE WHEN same THEN a.n * (a.n - 1) div 2 ELSE a.n * b.n END AS n",
+            "CASE WHEN same THEN a.n * a.q ELSE a.n * b.n * (a.m - b.m) * (a.m - b.m) + b.n * a.q + a.n * b.q END AS d2",
+        )
+        .groupBy(*[f"b{i}" for i in range(len(lags))])
+        .agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))
     )
+
+
+def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS, leaf: int = LEAF) -> DataFrame:
+    """``lag, bin, n_pairs, h, gamma`` for every lag distance; h is the middle of the bin.
+
+    Pairs of tiles stand for all pairs of their points. As soon as every distance between two tiles
+    falls in one bin, their counts, means and variances give the exact contribution; otherwise the
+    larger tile is opened. A crowded place or town is thus one node for all that is far from it, and
+    for itself, and point pairs are formed only between small tiles that a bin limit cuts.
+    """
+    lags = sorted({float(lag) for lag in lags})
+    spark = points.sparkSession
+    built = _nodes(materialize(usable(points).select("x", "y", "z"), "sites"), leaf)
+    parts = []
+    if built is not None:
+        nodes, top = built
+        # the nodes below a struct of the same shape as the ones joined later
+        node_type = nodes.select(F.struct(*NODE).alias("s")).schema["s"].dataType
+        first = [(tuple(p), tuple(r), i == j) for i, p in enumerate(top) for j, r in enumerate(top) if i <= j]
+        start = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type), T.StructField("same", T.BooleanType())])
+        pairs = materialize(_judge(spark.createDataFrame(first, start), lags, n_lags), "node_pairs")
+        while True:
+            parts.append(_sums(pairs.where("status = 'done'"), lags, n_lags))
+            last_step = _judge(_open(pairs.where("status = 'finish'"), nodes, both=True), lags, n_lags)
+            parts.append(_sums(last_step, lags, n_lags))
+            todo = pairs.where("status = 'open'")
+            if todo.isEmpty():
+                break
+            pairs = materialize(_judge(_open(todo, nodes, both=False), lags, n_lags), "node_pairs")
+    columns = ", ".join(f"b{i} int" for i in range(len(lags)))
+    joint = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], f"{columns}, n long, d2 double"))
     by_lag = F.explode(
         F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"b{i}").alias("bin")) for i, lag in enumerate(lags)])
     )
@@ -116,11 +142,9 @@ def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS
         joint.withColumn("_b", by_lag)
         .where(F.col("_b.bin") < n_lags)
         .groupBy(F.col("_b.lag").alias("lag"), F.col("_b.bin").alias("bin"))
-        .agg(
-            F.sum("n").alias("n_pairs"),
-            (F.sum("hs") / F.sum("n")).alias("h"),
-            (F.sum("d2") / (2 * F.sum("n"))).alias("gamma"),
-        )
+        .agg(F.sum("n").alias("n_pairs"), F.try_divide(F.sum("d2"), 2 * F.sum("n")).alias("gamma"))
+        .where("n_pairs > 0")
+        .selectExpr("lag", "bin", "n_pairs", "(bin + 0.5D) * lag AS h", "gamma")
     )
 
 
@@ -149,7 +173,7 @@ def fit_semivariogram(bins: DataFrame, models: Sequence[str] = MODELS, n_lags: i
     For a given range the model is linear in nugget and sill, so their weighted least-squares solution
     is closed-form; weights are pairs over squared distance. Works on bins only, a few rows per lag.
     """
-    rows = bins.where(F.col("h") > 0).withColumn("w", F.col("n_pairs") / (F.col("h") * F.col("h")))
+    rows = bins.withColumn("w", F.col("n_pairs") / (F.col("h") * F.col("h")))
     rows = rows.withColumn("a", F.explode(F.sequence(F.lit(1), F.lit(n_lags)))).withColumn(
         "a", F.col("a") * F.col("lag")
     )

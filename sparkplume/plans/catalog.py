@@ -607,7 +607,7 @@ def dunn(spark, sf):
 
 @query
 def semivariogram_bins(spark, sf):
-    return rounded(semivariogram(B.points(spark, sf), [24000.0, 8000.0]), h=5)
+    return rounded(semivariogram(B.points(spark, sf), [24000.0, 8000.0]))
 
 
 @query

@@ -255,11 +255,11 @@ SIMPSON = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
 
 def _bins(lags: str) -> str:
     return f"""
-        SELECT lag, CAST(floor(h / lag) AS INT) AS bin, count(*) AS n_pairs, avg(h) AS h,
+        SELECT lag, CAST(floor(d / lag) AS INT) AS bin, count(*) AS n_pairs, (floor(d / lag) + CAST(0.5 AS DOUBLE)) * lag AS h,
                sum((z1 - z2) * (z1 - z2)) / (2 * count(*)) AS gamma
-        FROM (SELECT a.z AS z1, b.z AS z2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS h
+        FROM (SELECT a.z AS z1, b.z AS z2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
               FROM points a JOIN points b ON a.system_id < b.system_id), (SELECT CAST(unnest({lags}) AS DOUBLE) AS lag)
-        WHERE h < 12 * lag GROUP BY lag, bin"""
+        WHERE d < 12 * lag GROUP BY ALL"""
 
 
 GAMMA2 = "(1.5 * least({h} / 200000, 1) - 0.5 * pow(least({h} / 200000, 1), 3))"
@@ -376,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
         'SELECT cell_id, "row", col, round(value, 12) AS value FROM sibson', "sibson")
     out["nn_metrics"] = _sql(
         """SELECT 'NN_NatN_Int' AS run_id, 'ok' AS status, count(*) AS n, round(sqrt(avg((z - value) * (z - value))), 12) AS rmse,
-                  round(avg(abs(z - value)), 12) AS mae, 1 AS rmse_rank, CAST(1 AS DOUBLE) AS ave_rank
+                  round(avg(abs(z - value)), 12) AS mae, CAST(1 AS BIGINT) AS rmse_rank, CAST(1 AS DOUBLE) AS ave_rank
            FROM sibson JOIN test_cells ON "row" = trow AND col = tcol WHERE value IS NOT NULL""", "sibson", "test_cells")
 
     krige_runs = """
@@ -521,7 +521,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT group_a, group_b, round(z, 6) AS z, round(p, 6) AS p, p < CAST(0.05 AS DOUBLE) AS reject FROM ps""", "sums")
 
     out["semivariogram_bins"] = _sql(
-        f"SELECT lag, bin, n_pairs, round(h, 5) AS h, round(gamma, 12) AS gamma FROM ({_bins('[24000, 8000]')})", "points")
+        f"SELECT lag, bin, n_pairs, round(h, 12) AS h, round(gamma, 12) AS gamma FROM ({_bins('[24000, 8000]')})", "points")
     u = "(h / a)"
     v = "least(h / a, 1)"
     shapes = {
@@ -533,7 +533,7 @@ def oracle_sql() -> dict[str, str]:
     }
     shaped = " UNION ALL ".join(f"SELECT lag, '{m}' AS model, a, w, CAST({f} AS DOUBLE) AS f, gamma AS y FROM cand" for m, f in shapes.items())
     out["fit_semivariograms"] = _sql(
-        f""", cand AS (SELECT b.*, n_pairs / (h * h) AS w, i * lag AS a FROM ({_bins('[24000]')}) b, range(1, 13) t(i) WHERE h > 0),
+        f""", cand AS (SELECT b.*, n_pairs / (h * h) AS w, i * lag AS a FROM ({_bins('[24000]')}) b, range(1, 13) t(i)),
              rows AS ({shaped}),
              eq AS (SELECT lag, model, a, sum(w) AS sw, sum(w * f) AS sf, sum(w * f * f) AS sff, sum(w * y) AS sy, sum(w * f * y) AS sfy
                     FROM rows GROUP BY lag, model, a),

@@ -114,16 +114,16 @@ def test_idw_bounds_hits_and_fallback(spark):
             assert abs(wide["all"][cell] - (z / d).sum() / (1 / d).sum()) < 1e-9
 
 
-@pytest.mark.parametrize("block", [7, 2000])
-def test_semivariogram_equals_brute_force(spark, block):
-    """Copies of a place, a crowded corner, several blocks per tile."""
+@pytest.mark.parametrize("leaf", [1, 5, 1000])
+def test_semivariogram_equals_brute_force(spark, leaf):
+    """Copies of a place, a crowded corner, trees of several depths."""
     rng = np.random.default_rng(12)
     xy = rng.uniform(0, 100, (120, 2))
     xy[:40] = (33.0, 33.0)
     xy[40:80] = 60 + rng.uniform(0, 1, (40, 2))
     z = rng.normal(1000, 1, 120)
     df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(xy[:, 0], xy[:, 1], z))], FIELDS)
-    got = {(r["lag"], r["bin"]): r for r in semivariogram(df, [2.0, 5.0], 6, block).collect()}
+    got = {(r["lag"], r["bin"]): r for r in semivariogram(df, [2.0, 5.0], 6, leaf).collect()}
     i, j = np.triu_indices(120, 1)
     h = np.hypot(xy[i, 0] - xy[j, 0], xy[i, 1] - xy[j, 1])
     for lag in (2.0, 5.0):
@@ -132,11 +132,34 @@ def test_semivariogram_equals_brute_force(spark, block):
             if m.any():
                 r = got.pop((lag, b))
                 assert r["n_pairs"] == m.sum()
-                assert abs(r["h"] - h[m].mean()) < 1e-9
+                assert r["h"] == (b + 0.5) * lag
                 assert abs(r["gamma"] - ((z[i] - z[j])[m] ** 2).mean() / 2) < 1e-9
     assert not got
 
 
+def test_crowded_town_forms_no_point_pairs(spark, monkeypatch):
+    """3,000 places within a metre and 100 others: far fewer rows than pairs."""
+    import sparkplume.operators.variogram as V
+
+    rng = np.random.default_rng(13)
+    xy = np.vstack([500 + rng.uniform(0, 1, (3000, 2)), rng.uniform(0, 1000, (100, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b), 1.0) for i, (a, b) in enumerate(xy)], FIELDS)
+    seen = []
+    original = V._sums
+
+    def counting(pairs, lags, n_lags):
+        seen.append(pairs.count())
+        return original(pairs, lags, n_lags)
+
+    monkeypatch.setattr(V, "_sums", counting)
+    bins = V.semivariogram(df, [40.0]).collect()
+    i, j = np.triu_indices(3100, 1)
+    d = np.hypot(xy[i, 0] - xy[j, 0], xy[i, 1] - xy[j, 1])
+    assert sum(r["n_pairs"] for r in bins) == (d < 480).sum()
+    assert sum(seen) < 20_000 < len(d) / 200
+    assert V.semivariogram(df.where("false"), [40.0]).count() == 0
+
+
 def test_fit_recovers_a_known_model(spark):
     h = np.arange(0.5, 12)
     gamma = 0.2 + 0.8 * np.where(h < 6, 1.5 * h / 6 - 0.5 * (h / 6) ** 3, 1)

@@ -68,6 +68,12 @@ def test_fewer_points_than_k_and_none(spark):
     assert [n["id"] for n in knn(targets, few, 12).first()["neighbors"]] == [4, 5]
     none = knn(targets, few.where("system_id < 0"), 3).collect()
     assert len(none) == 1 and none[0]["neighbors"] == []
+    named = few.selectExpr("concat('S', system_id) AS system_id", "x", "y", "z").unionByName(
+        spark.createDataFrame([("bad", None, 1.0, 1.0), ("nan", 1.0, float("nan"), 1.0), ("empty", 1.0, 0.0, None)],
+                              "system_id string, x double, y double, z double")
+    )
+    assert [n["id"] for n in knn(targets, named, 12).first()["neighbors"]] == ["S4", "S5"]
+    assert knn(targets, named.where("x > 5"), 2).first()["neighbors"] == []
 
 
 def test_radius_neighbors_equal_brute_force(spark):
