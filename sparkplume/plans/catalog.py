@@ -563,7 +563,7 @@ def melt_method_stats(spark, sf):
 @query
 def box_stats(spark, sf):
     long = C.melt_method_stats(_method_wide(spark, sf), ["dataset", "block"])
-    return rounded(C.box_stats(long, ["dataset", "method", "metric"], "value"), 6)
+    return rounded(C.box_stats(long, ["dataset", "method", "metric"], "value"), 10)
 
 
 @query
@@ -576,7 +576,7 @@ def timing_summary(spark, sf):
         S.replace_values(F.col("method"), {"OK": "Ord_Krig", "UK": "Univ_Krig"}).alias("Method"),
         F.col("seconds").alias("Time (s)"),
     )
-    return rounded(C.timing_summary(gw, sw), 6)
+    return rounded(C.timing_summary(gw, sw), 10)
 
 
 def _means(spark: SparkSession, sf: str) -> DataFrame:

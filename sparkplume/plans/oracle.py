@@ -491,9 +491,9 @@ def oracle_sql() -> dict[str, str]:
 
     def boxes(source: str, by: str, v: str) -> str:
         return f"""
-            SELECT {by}, n_values, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-                   round(least(min({v}) FILTER ({v} >= q1 - CAST(1.5 AS DOUBLE) * (q3 - q1)), q1), 6) AS whisker_low,
-                   round(greatest(max({v}) FILTER ({v} <= q3 + CAST(1.5 AS DOUBLE) * (q3 - q1)), q3), 6) AS whisker_high
+            SELECT {by}, n_values, round(q1, 10) AS q1, round(median, 10) AS median, round(q3, 10) AS q3,
+                   round(least(min({v}) FILTER ({v} >= q1 - CAST(1.5 AS DOUBLE) * (q3 - q1)), q1), 10) AS whisker_low,
+                   round(greatest(max({v}) FILTER ({v} <= q3 + CAST(1.5 AS DOUBLE) * (q3 - q1)), q3), 10) AS whisker_high
             FROM (SELECT *, count(*) OVER w AS n_values, quantile_cont({v}, 0.25) OVER w AS q1,
                          quantile_cont({v}, 0.5) OVER w AS median, quantile_cont({v}, 0.75) OVER w AS q3
                   FROM ({source}) WHERE {v} IS NOT NULL WINDOW w AS (PARTITION BY {by}))
