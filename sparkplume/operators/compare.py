@@ -137,7 +137,7 @@ def kruskal(df: DataFrame, group: str, value: str, local_rows: int = LOCAL_ROWS)
         F.lit(12.0) / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), F.lit(1.0) - F.try_divide(F.col("ties"), n * n * n - n)
     )
     # one result row, so a plain function is enough for the tail
-    tail = F.udf(chi_square_tail, "double")
+    tail = F.udf(chi_square_tail, "double", useArrow=False)
     return stat.select(
         "n_groups", F.col("total").alias("n"), h.alias("h"), tail(h, (F.col("n_groups") - 1).cast("int")).alias("p")
     )
@@ -154,7 +154,7 @@ def dunn(df: DataFrame, group: str, value: str, alpha: float = 0.05, local_rows:
     z = F.when(same, F.lit(0.0)).otherwise(
         F.try_divide(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb"), F.sqrt(F.greatest(spread, F.lit(0.0))))
     )
-    tail = F.udf(normal_two_sided, "double")
+    tail = F.udf(normal_two_sided, "double", useArrow=False)
     return (
         a.join(b, "total")  # one row per group on each side
         .select("group_a", "group_b", z.alias("z"))
