@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkplume.llm import bpe
+from sparkplume.llm import bpe, licences
 from sparkplume.llm.decontaminate import contamination
 from sparkplume.llm.language import predict_languages
 from sparkplume.llm.minhash import near_duplicates
+from sparkplume.llm.permutation import nearest
+from sparkplume.llm.pii import personal_data
 from sparkplume.llm.quality import quality
 from sparkplume.llm.toxicity import toxicity
 
@@ -38,6 +40,24 @@ def op2_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op4_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(table(spark, sf, "documents"), licences.known_licences(spark))
+
+
+ORACLE["op4_licence_digests"] = licences.scan_sql()
+
+
+@query
+def op5_boosted_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data(table(spark, sf, "documents"))
+
+
+@query
+def op6_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(table(spark, sf, "embeddings"))
+
+
 @query
 def op7_toxic_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
