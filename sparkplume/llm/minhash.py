@@ -32,7 +32,7 @@ BAND_ROWS = 4
 MANTISSA_BITS = 10
 LIMIT = (85, 100)  # link when LIMIT[1] * intersection >= LIMIT[0] * union
 PRUNE_BELOW = 0.6  # six standard errors of the estimate below the limit
-BLOCK = 256  # nodes of a bucket that meet in one block
+BLOCK = 128  # nodes of a bucket that meet in one block
 
 NOT_WORD = np.ones(256, dtype=bool)
 NOT_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -133,46 +133,61 @@ def _estimate_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
 
+def linked(one: np.ndarray, other: np.ndarray) -> bool:
+    """The limit, on full sets of distinct hashes."""
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return LIMIT[1] * both >= LIMIT[0] * (len(one) + len(other) - both)
+
+
 def _confirm_batches(batches):
     for batch in batches:
-        keep = []
-        for one, other in zip(batch.column("x"), batch.column("y")):
-            one, other = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (one, other))
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            keep.append(LIMIT[1] * both >= LIMIT[0] * (len(one) + len(other) - both))
+        both = zip(batch.column("x"), batch.column("y"))
+        keep = [linked(*(np.frombuffer(v.as_py(), dtype=np.uint64) for v in pair)) for pair in both]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"]
         )
 
 
 def _block_batches(batches):
-    """Pairs of different components that look alike, of one block of nodes with itself or another."""
+    """Links between different components, of one block of a bucket's nodes with itself or another.
+
+    A pair is compared in the first band it shares only. Pairs that the registers put far below the limit are left out;
+    the full sets of the others are compared here.
+    """
     for batch in batches:
-        for i, j, members in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "members"))):
+        for b, i, j, members in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "members"))):
             ids = np.array([x["id"] for x in members], dtype=np.int64)
             part = np.array([x["part"] for x in members])
             comp = np.array([x["component"] for x in members], dtype=np.int64)
             size = np.array([x["n"] for x in members])
             sketch = np.frombuffer(b"".join(x["sketch"] for x in members), dtype=np.uint16).reshape(-1, BUCKETS)
+            sets = [np.frombuffer(x["shingles"], dtype=np.uint64) for x in members]
             left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
             found = []
             for x in left:
                 y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+                y = y[LIMIT[1] * np.minimum(size[y], size[x]) >= LIMIT[0] * np.maximum(size[y], size[x])]
                 y = y[estimated(sketch[y], sketch[x], size[y], size[x]) >= PRUNE_BELOW]
-                found += [(min(ids[x], k), max(ids[x], k)) for k in ids[y]]
+                agree = (sketch[y] == sketch[x]).reshape(len(y), BUCKETS // BAND_ROWS, BAND_ROWS).all(axis=2)
+                y = y[agree.argmax(axis=1) == b] if len(y) else y
+                found += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y if linked(sets[x], sets[k])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]
             )
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of node ids whose full sets meet the limit."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = nodes.join(ends, "id").select(F.col("id").alias("doc_id"), F.col("digest").alias("d"))
+def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the given node ids, from the texts."""
+    wanted = nodes.join(ids, "id").select(F.col("id").alias("doc_id"), F.col("digest").alias("d"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
     sets = texts.select("text").mapInArrow(_set_batches, SETS).dropDuplicates(["digest"])
-    sets = sets.join(wanted.select(F.col("doc_id").alias("id"), F.col("d").alias("digest")), "digest")
-    sets = materialize(sets.select("id", "shingles"), "sets")
+    named = wanted.select(F.col("doc_id").alias("id"), F.col("d").alias("digest"))
+    return materialize(sets.join(named, "digest").select("id", "shingles"), "sets")
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of node ids whose full sets meet the limit."""
+    sets = _sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     held = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     held = held.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return held.select("a", "b", "x", "y").mapInArrow(_confirm_batches, "a long, b long")
@@ -194,9 +209,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))),
     )
-    banded = nodes.select("id", F.explode(keys).alias("key"))
-    crowd = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shared = materialize(banded.join(crowd, "key"), "buckets")
+    banded = nodes.select("id", F.posexplode(keys).alias("band", "key"))
+    crowd = banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    shared = materialize(banded.join(crowd, ["band", "key"]), "buckets")
 
     def looks_alike(pairs: DataFrame) -> DataFrame:
         one = nodes.select(F.col("id").alias("a"), F.col("n"), F.col("sketch").alias("s"))
@@ -210,19 +225,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets that still hold several components, other than those whose only pair has been tried
     found = components(links)
     many = shared.where("size > 2").join(found, "id", "left")
-    many = materialize(many.select("key", "id", "size", F.coalesce("component", "id").alias("component")), "open")
-    mixed = many.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.max("size").alias("z"))
-    mixed = mixed.where("c <> d").select("key", F.ceil(F.col("z") / BLOCK).cast("int").alias("parts"))
-    placed = many.join(mixed, "key").join(nodes.select("id", "n", "sketch"), "id")
+    many = materialize(many.select("band", "key", "id", F.coalesce("component", "id").alias("component")), "open")
+    mixed = many.groupBy("band", "key").agg(
+        F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("size")
+    )
+    mixed = mixed.where("c <> d").select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    placed = materialize(many.join(mixed, ["band", "key"]), "mixed")
+    sets = _sets(docs, nodes, placed.select("id").distinct())
+    placed = placed.join(nodes.select("id", "n", "sketch").join(sets, "id"), "id")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    meet = placed.select("*", other.alias("q"))
+    meet = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     meet = meet.select("*", F.least("part", "q").alias("i"), F.greatest("part", "q").alias("j"))
-    blocks = meet.groupBy("key", "i", "j").agg(
-        F.collect_list(F.struct("id", "part", "component", "n", "sketch")).alias("members")
+    blocks = meet.groupBy("band", "key", "i", "j").agg(
+        F.collect_list(F.struct("id", "part", "component", "n", "sketch", "shingles")).alias("members")
     )
-    across = blocks.select("i", "j", "members").mapInArrow(_block_batches, "a long, b long").distinct()
-    more = _confirmed(docs, nodes, materialize(across, "pairs"))
+    more = blocks.select("band", "i", "j", "members").mapInArrow(_block_batches, "a long, b long")
     links = materialize(links.union(more), "links")
 
     found = components(links)
