@@ -273,6 +273,22 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, IDS)
 
 
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """Rows of ``documents`` with the text as ids: (doc_id, lang, source, n_tokens, ids)."""
+
+    def run(batches):
+        for batch in A.slices(batches):
+            ids, limits = codec(path).encode(*A.texts(batch.column("text")))
+            lists = pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids, pa.int32()))
+            kept = [batch.column(c) for c in ("doc_id", "lang", "source")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.diff(limits), pa.int64()), lists], ["doc_id", "lang", "source", "n_tokens", "ids"]
+            )
+
+    schema = "doc_id long, lang string, source string, n_tokens long, ids array<int>"
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of every list of ids; bytes that are no UTF-8 become the replacement character, null is empty."""
 

@@ -14,6 +14,7 @@ from sparkplume.llm.minhash import near_duplicates
 from sparkplume.llm.permutation import nearest
 from sparkplume.llm.pii import personal_data
 from sparkplume.llm.quality import quality
+from sparkplume.llm.repeats import remove_repeats
 from sparkplume.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,11 @@ def op2_hyperminhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op3_interval_tree_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents"))
+
+
 @query
 def op4_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
     return licences.scan(table(spark, sf, "documents"), licences.known_licences(spark))
