@@ -1,7 +1,7 @@
 """Repeated passages by the common-prefix interval tree of enhanced suffix arrays, sharded by content.
 
 Every window of ``LENGTH`` bytes is assigned to an anchor, the k-gram of smallest hash inside it; equal windows have equal
-anchors at equal offsets. Anchors that occur in two different texts are found first. For those, each document hands out
+anchors. Anchors that occur in two different texts are found first. For those, each document hands out
 pieces: the bytes of all consecutive windows that share the anchor. Pieces meet by anchor in shards of bounded size. There
 
 * equal pieces are one string with several places;
@@ -105,9 +105,13 @@ def text_anchors(batch: pa.RecordBatch):
         if high - low < LENGTH:
             continue
         own = h[low : high - GRAM + 1]
-        place = window_anchor(own)
-        first = heads(place)
-        yield doc, text_mark(raw[low:high]), raw[low:high], first, len(place), own[place[first]]
+        anchor = own[window_anchor(own)]
+        # in a text that repeats itself one anchor may hold on for long: pieces of at most REACH windows
+        first = heads(anchor)
+        windows = np.diff(np.concatenate((first, [len(anchor)])))
+        parts = -(-windows // REACH)
+        first = np.repeat(first, parts) + REACH * A.runs(np.zeros(len(parts), dtype=np.int64), parts)
+        yield doc, text_mark(raw[low:high]), raw[low:high], first, len(anchor), anchor[first]
 
 
 # --- anchors
@@ -244,7 +248,7 @@ def _piece_rows(shards: int):
         todo, over = [], []
         for piece, found in places.items():
             found.sort()
-            todo.append((found[0][3] % shards, *found[0], piece))
+            todo += [(x[3] % shards, *x, piece) for x in found if x[0] == found[0][0]]
             # the same string in a smaller document of this home: removed, and no news to others
             over += [(m % shards, d, m, s, 0, len(piece)) for d, m, s, _ in found if d > found[0][0]]
         rows = [_one_row(PIECES, [0, True, *[b""] * 6]).slice(0, 0)]
@@ -299,7 +303,7 @@ class SuffixArray:
             word = eight[np.minimum(at + k, len(flat) - 1)]
             over = np.clip(k + 8 - left, 0, 8).astype(np.uint64)
             words.append(np.where(over >= 8, 0, (word >> (over * np.uint64(8) % np.uint64(64))) << (over * np.uint64(8) % np.uint64(64))))
-        order = np.lexsort(words[::-1]) if words else np.empty(0, dtype=np.int64)
+        order = np.lexsort((left, *words[::-1]))  # a prefix before what goes on with zero bytes
         self.piece, self.offset, at, left = self.piece[order], self.offset[order], at[order], left[order]
         # length of the common prefix with the suffix before
         common = np.zeros(len(order), dtype=np.int64)
