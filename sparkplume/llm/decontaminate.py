@@ -143,7 +143,7 @@ def _match_rows(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
         parts.append(
             (doc, np.array(block.item_ids, dtype=object)[item[head]], at[head] - words.first[doc], place[head], at[tail] - at[head] + length[tail])
         )
-    doc, *rest = ([np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, dtype=np.int64)] * 5)
+    doc, *rest = [np.concatenate(c).tolist() for c in zip(*parts)] if parts else [[]] * 5
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").take(pa.array(doc, pa.int64())),

@@ -255,10 +255,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Whole rows of one document of each group, in the given columns; of rows that repeat an id one stays."""
+    own = "kept_id"
+    while own in docs.columns:
+        own += "_"
     found = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times"))
-    found = materialize(found.withColumnRenamed("doc_id", "kept_id"), "kept")
-    single = found.where("times = 1").select("kept_id")
-    several = found.where("times > 1").select("kept_id")
-    once = docs.join(single, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    again = docs.join(several, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    found = materialize(found.withColumnRenamed("doc_id", own), "kept")
+    same = docs["doc_id"] == found[own]
+    once = docs.join(found.where("times = 1"), same, "left_semi")
+    again = docs.join(found.where("times > 1"), same, "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
