@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkplume.functions import scalars as S
-from sparkplume.operators.ordering import LOCAL_ROWS, quantiles, running_total, value_counts
+from sparkplume.operators.ordering import ROWS_PER_RANGE, quantiles, running_total, value_counts
 
 
 def value_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,12 +40,12 @@ def melt_method_stats(wide: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, by: Sequence[str], value: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, by: Sequence[str], value: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Quartiles and whiskers per group; a whisker ends at the last value within 1.5 IQR of its quartile."""
-    q = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, local_rows)
+    q = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, rows_per_range)
     v, iqr = F.col(value), F.col("q3") - F.col("q1")
     return (
-        df.where(v.isNotNull())
+        value_counts(df, by, value)
         .join(q, list(by))
         .groupBy(*by, "n_values", "q1", "median", "q3")
         .agg(
@@ -81,7 +81,7 @@ def timing_summary(gw: DataFrame, sw: DataFrame, by: Sequence[str] = ("method",
     return box_stats(timing_long(gw, sw), by, "time")
 
 
-def rank_sums(df: DataFrame, group: str, value: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def rank_sums(df: DataFrame, group: str, value: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``group, n, rank_sum, total, ties``: tie-averaged ranks over the pooled values.
 
     Equal values collapse before ranking, so ranking works on distinct values only. ``ties`` is the
@@ -89,7 +89,7 @@ def rank_sums(df: DataFrame, group: str, value: str, local_rows: int = LOCAL_ROW
     """
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     pooled = value_counts(rows, [], value)
-    ranked = running_total(pooled, [value], (), "n", "upto", local_rows).select(
+    ranked = running_total(pooled, [value], (), "n", "upto", rows_per_range).select(
         value, F.col("n").alias("t"), (F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
     )
     t = F.col("t").cast("double")
@@ -127,10 +127,10 @@ def normal_two_sided(z: float) -> float | None:
     return None if z is None else math.erfc(abs(z) / math.sqrt(2))
 
 
-def kruskal(df: DataFrame, group: str, value: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def kruskal(df: DataFrame, group: str, value: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """One row: ``n_groups, n, h, p``. H is NULL when all values are equal."""
     n = F.col("total").cast("double")
-    stat = rank_sums(df, group, value, local_rows).groupBy("total", "ties").agg(
+    stat = rank_sums(df, group, value, rows_per_range).groupBy("total", "ties").agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_s")
     )
     h = F.try_divide(
@@ -143,9 +143,9 @@ def kruskal(df: DataFrame, group: str, value: str, local_rows: int = LOCAL_ROWS)
     )
 
 
-def dunn(df: DataFrame, group: str, value: str, alpha: float = 0.05, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def dunn(df: DataFrame, group: str, value: str, alpha: float = 0.05, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """All ordered pairs of groups: ``group_a, group_b, z, p, reject``; p is not adjusted."""
-    sums = rank_sums(df, group, value, local_rows)
+    sums = rank_sums(df, group, value, rows_per_range)
     a = sums.select("total", "ties", F.col("group").alias("group_a"), F.col("n").alias("na"), F.col("rank_sum").alias("ra"))
     b = sums.select("total", F.col("group").alias("group_b"), F.col("n").alias("nb"), F.col("rank_sum").alias("rb"))
     n = F.col("total").cast("double")

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkplume.functions import scalars as S
-from sparkplume.operators.ordering import LOCAL_ROWS, running_total
-from sparkplume.session import materialize
+from sparkplume.operators.ordering import ROWS_PER_RANGE, running_total
 
 
 def pair_obs_pred(observed: DataFrame, predicted: DataFrame, key: str = "system_id", value: str = "z") -> DataFrame:
@@ -40,18 +39,24 @@ def score_runs(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def rank_runs(
-    runs: DataFrame, by: Sequence[str] = ("method", "dataset"), name: str = "run_id", local_rows: int = LOCAL_ROWS
+    runs: DataFrame,
+    by: Sequence[str] = ("method", "dataset"),
+    name: str = "run_id",
+    digits: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Ordinal ranks by RMSE and by MAE (no shared ranks, failed runs last) and their average.
 
-    Scores that agree in twelve digits are ties, which go by name: two settings that pick the same
-    neighbours must not be ordered by the order of a summation.
+    Equal scores go by name. With ``digits``, scores that agree in so many digits count as equal: two settings that
+    pick the same neighbours are then not ordered by the order of a summation.
     """
-    keys = {k: F.format_string("%.11e", F.col(c)).cast("double") for k, c in (("_rmse", "rmse"), ("_mae", "mae"))}
-    ranked = materialize(runs.withColumns({k: F.when(F.col(k[1:]).isNotNull(), key) for k, key in keys.items()}), "runs")
-    n = ranked.count()
+
+    def key(score: str):
+        return F.col(score) if digits is None else F.format_string(f"%.{digits - 1}e", F.col(score)).cast("double")
+
+    ranked = runs.withColumns({f"_{c}": F.when(F.col(c).isNotNull(), key(c)) for c in ("rmse", "mae")})
     for order, rank in (("_rmse", "rmse_rank"), ("_mae", "mae_rank")):
-        ranked = running_total(ranked, [order, name], by, name=rank, local_rows=local_rows, rows=n)
+        ranked = running_total(ranked, [order, name], by, name=rank, rows_per_range=rows_per_range)
     return ranked.withColumn("ave_rank", (F.col("rmse_rank") + F.col("mae_rank")) / 2).drop("_rmse", "_mae")
 
 

@@ -1,8 +1,8 @@
 """Ordinary and universal kriging with prediction variance.
 
 Spark finds the neighbours and spreads the targets. Inside a task, systems of equal size are solved
-together as one stack. A neighbourhood too large for a dense system is solved iteratively in
-blocks of rows, so a fixed radius may hold any number of points.
+together as one stack, by the same direct solution whatever their size. A target's system has the
+square of its neighbours in memory, which a fixed radius over crowded places should keep in mind.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from sparkplume.session import materialize
 
 SCHEMA = "run_id string, target_id long, value double, variance double, status string"
 DRIFT_ORDER = {"LinearDrift": 1, "QuadDrift": 2}
-DENSE_LIMIT = 3000  # neighbours; a larger system is solved block by block
 STACK_DOUBLES = 4_000_000  # size of one stack of systems
 
 
@@ -95,54 +94,6 @@ def _solve_stack(
     return value, variance, ok
 
 
-def _solve_large(run: dict, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[float, float, bool]:
-    """The same system in covariance form without its matrix: rows are formed block by block."""
-    n = len(x)
-    scale = max(float(np.hypot(x, y).max()), 1e-9)
-    f = _drift(DRIFT_ORDER.get(run["model"], 0), x / scale, y / scale)
-    rows = max(1, STACK_DOUBLES // n)
-
-    def cov(v: np.ndarray) -> np.ndarray:
-        out = np.empty_like(v)
-        for i in range(0, n, rows):
-            h = np.hypot(x[i : i + rows, None] - x[None, :], y[i : i + rows, None] - y[None, :])
-            out[i : i + rows] = (1.0 - _gamma(run, h)) @ v
-        return out
-
-    def ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
-        return np.divide(top, bottom, out=np.zeros_like(top), where=bottom != 0)
-
-    # conjugate residuals: symmetric systems, one product with the matrix per step
-    b = np.column_stack([f, 1.0 - _gamma(run, np.hypot(x, y))])
-    s, r, d = np.zeros_like(b), b.copy(), b.copy()
-    cr = cov(r)
-    cd = cr.copy()
-    rcr = (r * cr).sum(axis=0)
-    goal = 1e-22 * (b * b).sum(axis=0)
-    for _ in range(10 * n):
-        if ((r * r).sum(axis=0) <= goal).all():
-            break
-        step = ratio(rcr, (cd * cd).sum(axis=0))
-        s += step * d
-        r -= step * cd
-        cr = cov(r)
-        new = (r * cr).sum(axis=0)
-        turn = ratio(new, rcr)
-        d, cd, rcr = r + turn * d, cr + turn * cd, new
-    c0 = b[:, -1]
-    u, g = s[:, :-1], s[:, -1]
-    f0 = np.zeros(f.shape[1])
-    f0[0] = 1.0
-    try:
-        mu = np.linalg.solve(f.T @ u, f.T @ g - f0)
-    except np.linalg.LinAlgError:
-        return np.nan, np.nan, False
-    w = g - u @ mu
-    ok = bool(((r * r).sum(axis=0) <= 1e6 * goal).all() and np.isfinite(w).all() and np.abs(f.T @ w - f0).max() < 1e-6)
-    variance = max(1.0 - float(w @ c0) - float(mu @ f0), 0.0) * (run["nugget"] + run["sill"])
-    return float(w @ z), variance, ok
-
-
 def _used(run: dict, d: np.ndarray) -> int:
     """How many of the neighbours, ordered by distance, the run uses."""
     if run["type"] == "variable":
@@ -174,18 +125,13 @@ def _krige_batch(ids: np.ndarray, parts: list[tuple], runs: Sequence[dict]) -> p
         size = max(1, STACK_DOUBLES // (n + 6) ** 2)
         for s in range(0, len(where), size):
             at = where[s : s + size]
-            if n <= DENSE_LIMIT:
-                x, y, z = (np.stack([parts[i][c][:n] for i in at]) for c in (1, 2, 3))
-                dist = np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :])
+            x, y, z = (np.stack([parts[i][c][:n] for i in at]) for c in (1, 2, 3))
+            dist = np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :])
             for key, run in fits.items():
                 if n < _terms(run):
                     continue
                 value, variance, ok = solved[key, n]
-                if n <= DENSE_LIMIT:
-                    value[at], variance[at], ok[at] = _solve_stack(run, dist, x, y, z)
-                else:
-                    for i in at:
-                        value[i], variance[i], ok[i] = _solve_large(run, *(c[:n] for c in parts[i][1:]))
+                value[at], variance[at], ok[at] = _solve_stack(run, dist, x, y, z)
     columns: dict[str, list[np.ndarray]] = {c: [] for c in ("run_id", "target_id", "value", "variance", "status")}
     for run in runs:
         use = used[_setting(run)]

@@ -26,7 +26,7 @@ def natural_neighbor(
     points = materialize(points.select("system_id", "x", "y", "z"), "sites")
     fine = grid_targets(make_grid(spark, grid.refined(oversample)))
     nearest = knn(fine, points, 1).select(
-        "tx", "ty", F.col("neighbors")[0]["d"].alias("d"), F.col("neighbors")[0]["z"].alias("z")
+        "tx", "ty", F.get("neighbors", 0)["d"].alias("d"), F.get("neighbors", 0)["z"].alias("z")
     )
     given = (
         disc_cells(nearest, F.col("d"), grid, "tx", "ty")

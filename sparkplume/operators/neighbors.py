@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkplume.operators.spatial import Grid, disc_cells, make_grid, usable
-from sparkplume.operators.tiles import BOX, SMALL_LEVEL, build_tiles
+from sparkplume.operators.tiles import BOX, build_tiles, literal
 from sparkplume.session import materialize
 
 def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
 
     ``targets(target_id, tx, ty)`` with unique ids, ``points(system_id, x, y, z)``. Result:
     ``target_id, tx, ty, neighbors array<struct<d, id, x, y, z>>``. A target gets fewer than k entries
-    only when there are fewer than k points.
+    only when there are fewer than k points, and none when it has no location.
     """
     leaf = leaf or max(32, k // 2)
     # At one place at most k points can be among the k nearest: those with the smallest ids. The rank
@@ -37,16 +37,20 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
     )
     targets = targets.select("target_id", "tx", "ty")
     tiles = build_tiles(points, leaf)
+    entry = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", points.schema["system_id"].dataType)])
+    for c in ("x", "y", "z"):
+        entry = entry.add(c, T.DoubleType())
+    none = F.array().cast(T.ArrayType(entry))
     if tiles is None:
-        entry = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", points.schema["system_id"].dataType)])
-        for c in ("x", "y", "z"):
-            entry = entry.add(c, T.DoubleType())
-        return targets.withColumn("neighbors", F.array().cast(T.ArrayType(entry)))
+        return targets.withColumn("neighbors", none)
+    located = "tx IS NOT NULL AND ty IS NOT NULL AND NOT isnan(tx) AND NOT isnan(ty)"
+    lost = targets.where(f"NOT ({located})").withColumn("neighbors", none)
+    targets = targets.where(located)
 
     cols = ("tile", "n", *BOX)
     top = tiles.table.where("level = 1").select(*cols).collect()  # at most 16 rows
     every_top = ", ".join(
-        f"named_struct('tile', {r.tile}L, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in BOX) + ")"
+        f"named_struct('tile', {literal(r.tile)}, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in BOX) + ")"
         for r in top
     )
     reach = _within_bound(targets.selectExpr("*", f"inline(array({every_top}))"), k)
@@ -57,8 +61,6 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
             .join(inner, "parent", "left_semi")
             .selectExpr("parent", *[f"{c} AS c_{c}" for c in cols])
         )
-        if level <= SMALL_LEVEL:  # at most 16**level rows
-            below = F.broadcast(below)
         opened = reach.join(below, F.expr("tile = parent"), "left").selectExpr(
             "target_id", "tx", "ty", *[f"coalesce(c_{c}, {c}) AS {c}" for c in cols]
         )
@@ -71,10 +73,11 @@ def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None)
         .withColumn("d", F.expr("sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty))"))
         .where("d <= bound")
     )
-    entry = "struct(d, system_id AS id, x, y, z)"
-    return found.groupBy("target_id", "tx", "ty").agg(
-        F.expr(f"slice(sort_array(collect_list({entry})), 1, {k})").alias("neighbors")
+    row = "struct(d, system_id AS id, x, y, z)"
+    nearest = found.groupBy("target_id", "tx", "ty").agg(
+        F.expr(f"slice(sort_array(collect_list({row})), 1, {k})").alias("neighbors")
     )
+    return nearest.union(lost)
 
 
 def _within_bound(tiles: DataFrame, k: int) -> DataFrame:

@@ -1,43 +1,20 @@
 """Ranks, running totals and exact quantiles without a window over all rows of a group.
 
-A window is one task per group, which fails when a group holds a third of the data. Here rows are cut
-into buckets of consecutive keys, totals are formed inside the buckets, and the few bucket totals are
-added up as offsets. Cut points come from a sample of bounded size; they only steer balance.
+A window is one task per group, which fails when a group holds a third of the data. Here rows are dealt
+into ranges of consecutive keys, as many as the row count asks for, and written. Totals are formed inside
+the ranges, and the totals of the ranges are added up as offsets. Every size takes this one way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkplume.session import materialize
 
-LOCAL_ROWS = 500_000
-SAMPLE_PER_BUCKET = 40
-MAX_BUCKETS = 512
-
-
-def _sort_key(by: Sequence[str], order: Sequence[str]) -> Column:
-    """Comparable struct; the flags put NULLs last."""
-    parts = []
-    for i, c in enumerate([*by, *order]):
-        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
-    return F.struct(*parts)
-
-
-def _literal(row, dtype: T.StructType) -> Column:
-    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in dtype])
-
-
-def _bucket(key: Column, cuts: list[Column], lo: int, hi: int) -> Column:
-    """Binary search over the cut points as nested conditions."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key <= cuts[mid], _bucket(key, cuts, lo, mid)).otherwise(_bucket(key, cuts, mid + 1, hi))
+ROWS_PER_RANGE = 250_000
 
 
 def running_total(
@@ -46,51 +23,34 @@ def running_total(
     by: Sequence[str] = (),
     weight: str | None = None,
     name: str = "running",
-    local_rows: int = LOCAL_ROWS,
-    rows: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add the sum of ``weight`` (default 1) over rows up to and including this one within ``by``.
 
-    ``order`` must be unique within ``by``; ascending, NULLs last. ``by`` must not hold NULLs. ``rows``
-    is the row count of an input that is already written; otherwise the input is written first.
+    Ascending, NULLs last; rows that agree in all of ``order`` come in any order. NULL is a group of its own.
+    ``rows_per_range`` sets the size of a task and nothing else.
     """
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    if rows is None:
-        df = materialize(df, "ordered")
-        rows = df.count()
-    n = rows
+    df = materialize(df, "ordered")
+    ranges = max(1, -(-df.count() // rows_per_range))
     sort = [F.col(c).asc_nulls_last() for c in order]
-    if n <= local_rows:
-        win = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*sort)
-        return df.withColumn(name, F.sum(w).over(win.rowsBetween(Window.unboundedPreceding, 0)))
-
-    buckets = min(MAX_BUCKETS, -(-n // max(1, local_rows // 2)))
-    keys = df.select(_sort_key(by, order).alias("k"))
-    wanted = buckets * SAMPLE_PER_BUCKET
-    sample = sorted(
-        (r["k"] for r in keys.sample(min(1.0, wanted / n), seed=7).limit(4 * wanted).collect()),
-        key=tuple,
-    )
-    dtype = keys.schema["k"].dataType
-    step = max(1, len(sample) // buckets)
-    cuts = [_literal(r, dtype) for r in sample[step - 1 :: step][: buckets - 1]]
-    df = df.withColumn("_bucket", _bucket(_sort_key(by, order), cuts, 0, len(cuts)))
+    dealt = df.repartitionByRange(ranges, *[F.col(c).asc_nulls_last() for c in by], *sort)
+    dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
-    local = Window.partitionBy(*by, "_bucket").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = (
-        Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy(*by, "_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*by, "_bucket")
+        dealt.groupBy(*by, "_range")
         .agg(F.sum(w).alias("_total"))
         .withColumn("_offset", F.coalesce(F.sum("_total").over(ahead), F.lit(0)))
-        .drop("_total")
+        .select("_range", "_offset", *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)])
     )
+    same = [F.col("_range") == F.col("_own")] + [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]
     return (
-        df.withColumn(name, F.sum(w).over(local))
-        .join(offsets, [*by, "_bucket"])
+        dealt.withColumn(name, F.sum(w).over(inside))
+        .join(offsets.withColumnRenamed("_range", "_own"), same)
         .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_bucket", "_offset")
+        .drop("_range", "_own", "_offset", *[f"_by{k}" for k in range(len(by))])
     )
 
 
@@ -100,10 +60,10 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], local_rows: int = LOCAL_ROWS
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Exact quantiles per group with linear interpolation between neighbours."""
-    counted = running_total(value_counts(df, by, value), [value], by, "n", "upto", local_rows)
+    counted = running_total(value_counts(df, by, value), [value], by, "n", "upto", rows_per_range)
     totals = counted.groupBy(*by).agg(F.sum("n").alias("n_values"))
     rows = counted.join(totals, list(by))
     v = F.col(value)

@@ -13,7 +13,7 @@ from sparkplume.functions import scalars as S
 CONTAMINANTS = ("PFOA", "PFOS")
 WATER_TYPES = ("GW", "SW")
 DATASET = ("contaminant", "water_type")
-DESCRIPTIVE = ("system_name", "size", "mrl", "region", "state")
+DESCRIPTIVE = ("system_name", "size", "mrl", "units", "region", "state")
 
 
 def filter_samples(
@@ -116,6 +116,20 @@ def max_by_zip(
     return rows.groupBy(zip_col).agg(*[F.max(c).alias(c) for c in numeric])
 
 
+def max_by_zip_of(
+    samples: DataFrame, zips: DataFrame, contaminant: str, water_type: str, on: str = "system_id", zip_col: str = "zip"
+) -> DataFrame:
+    """``max_by_zip`` of the samples joined to their ZIPs, with the maxima per system taken before the join."""
+    rows = samples.where((F.col("contaminant") == contaminant) & (F.col("water_type") == water_type))
+    numeric = [f.name for f in samples.schema if isinstance(f.dataType, T.NumericType) and f.name != on]
+    most = rows.groupBy(on).agg(*[F.max(c).alias(c) for c in numeric])
+    served = zips.where(F.col(zip_col).isNotNull()).select(on, zip_col).distinct().join(most, on)
+    order = [c for c in samples.columns if c == on or c in numeric]
+    if not isinstance(samples.schema[on].dataType, T.NumericType):
+        order.remove(on)
+    return served.groupBy(zip_col).agg(*[F.max(c).alias(c) for c in order])
+
+
 def count_per_zip(zips: DataFrame, zip_col: str = "zip") -> DataFrame:
     """Bridge rows per ZIP, repeats included."""
     return zips.groupBy(zip_col).agg(F.count(F.lit(1)).alias("n_rows"))

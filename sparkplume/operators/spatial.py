@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkplume.operators.ordering import ROWS_PER_RANGE, running_total
+
 CELL_SIZE = 8046.7  # five miles in metres; fixed value
 BUFFER = 8046.7  # radius of the evaluation buffers
 
@@ -133,32 +135,30 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
     return steps.unionByName(closing.select("x1", "y1", "x2", "y2"))
 
 
-def clip_points(
-    points: DataFrame, edges: DataFrame, band: float, x: str = "x", y: str = "y", key: Sequence[str] | None = None
-) -> DataFrame:
-    """Points inside the polygon: an odd number of edges lies to their right.
+def clip_points(points: DataFrame, edges: DataFrame, band: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows inside the polygon: an odd number of edges lies to their right. Rows without a location leave.
 
     Edges are spread over horizontal bands, so a point meets only the edges of its own band. The
-    crossing test is half-open, which makes a vertex count once.
+    crossing test is half-open, which makes a vertex count once. Locations are tested once each, and
+    all rows at a location that passes stay, repeated ones too.
     """
-    key = list(key or points.columns)
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     banded = edges.where(F.col("y1") != F.col("y2")).withColumn(
         "_band", F.explode(F.sequence(F.floor(lo / band).cast("long"), F.floor(hi / band).cast("long")))
     )
-    px, py = F.col(x), F.col(y)
+    places = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL").distinct()
+    px, py = F.col("_x"), F.col("_y")
     spans = (F.col("y1") > py) != (F.col("y2") > py)
     cut = F.col("x1") + (py - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossings = (
-        points.withColumn("_band", F.floor(py / band).cast("long"))
+    inside = (
+        places.withColumn("_band", F.floor(py / band).cast("long"))
         .join(banded, "_band")
         .where(spans & (px < cut))
-        .groupBy(*key)
+        .groupBy("_x", "_y")
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") % 2 == 1)
-        .drop("_n")
     )
-    return crossings if key == points.columns else points.join(crossings, key, "left_semi")
+    return points.join(inside, (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
 
 
 def train_test_split(
@@ -167,35 +167,21 @@ def train_test_split(
     seed: int = 42,
     key: str = "system_id",
     by: Sequence[str] = (),
-    prefix: int = 3,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``is_train``: the first ``percent`` of the keys in md5 order, exactly, per ``by`` group.
 
-    Counting per hash prefix finds the prefix in which the limit falls. Only its rows, one in
-    16**prefix, are ordered; all others are decided by their prefix.
+    Rows without a key come last in their group; NULL in ``by`` is a group of its own. No row leaves.
     """
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
-    rows = points.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, prefix))
-    group = list(by) or [F.lit(0)]
-    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        rows.groupBy(*by, "_p")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_c").over(Window.partitionBy(*group)))
-    )
-    inside = Window.partitionBy(*by, "_p").orderBy("_h", key)
-    # rows of a prefix that lies wholly on one side of the limit need no rank
-    whole_train = (F.col("_before") + F.col("_c")) * 100 <= F.col("_total") * percent
-    whole_test = (F.col("_before") + 1) * 100 > F.col("_total") * percent
-    split = F.when(whole_train, 1).when(whole_test, 0)
-    joined = rows.join(counts, [*by, "_p"]).withColumn("_side", split)
-    decided = joined.where(F.col("_side").isNotNull()).withColumn("is_train", F.col("_side") == 1)
-    open_rows = joined.where(F.col("_side").isNull()).withColumn(
-        "is_train",
-        (F.col("_before") + F.row_number().over(inside)) * 100 <= F.col("_total") * percent,
-    )
-    return decided.unionByName(open_rows).select(*points.columns, "is_train")
+    ranked = running_total(points.withColumn("_h", h), ["_h", key], by, name="_rank", rows_per_range=rows_per_range)
+    if by:
+        total = ranked.groupBy(*by).agg(F.max("_rank").alias("_total"))
+        total = total.select("_total", *[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)])
+        sized = ranked.join(total, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)])
+    else:
+        sized = ranked.withColumn("_total", F.lit(ranked.agg(F.max("_rank")).first()[0]))
+    return sized.withColumn("is_train", F.col("_rank") * 100 <= F.col("_total") * percent).select(*points.columns, "is_train")
 
 
 def extract_at_points(raster: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
@@ -207,34 +193,18 @@ def extract_at_points(raster: DataFrame, points: DataFrame, grid: Grid) -> DataF
 
 
 def zone_cells(points: DataFrame, radius: float, grid: Grid, zone: str = "system_id") -> DataFrame:
-    """Cells of each buffer ``(zone, cell_id)``; a buffer without a centre takes the cell of its point."""
-    base = with_cell(points.select(zone, "x", "y"), grid)
-    own = F.struct(F.col("cell_id"))
-    lo_r, hi_r = grid.row_of(F.col("y") - radius), grid.row_of(F.col("y") + radius)
-    lo_c, hi_c = grid.col_of(F.col("x") - radius), grid.col_of(F.col("x") + radius)
-    # A point sees few cells, so the disc fits in one small array per row and needs no second pass.
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.greatest(lo_r, F.lit(0).cast("long")), F.least(hi_r, F.lit(grid.rows - 1).cast("long"))),
-            lambda r: F.transform(
-                F.sequence(F.greatest(lo_c, F.lit(0).cast("long")), F.least(hi_c, F.lit(grid.cols - 1).cast("long"))),
-                lambda c: F.struct(r.alias("r"), c.alias("c")),
-            ),
-        )
-    )
-    within = F.filter(
-        pairs,
-        lambda p: F.sqrt(
-            F.pow(grid.center_x(p["c"]) - F.col("x"), F.lit(2.0)) + F.pow(grid.center_y(p["r"]) - F.col("y"), F.lit(2.0))
-        )
-        <= radius,
-    )
-    ids = F.transform(within, lambda p: F.struct(grid.cell_id(p["r"], p["c"]).alias("cell_id")))
-    return (
-        base.withColumn("_ids", ids)
-        .withColumn("_one", F.explode(F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(F.array(own))))
-        .select(zone, F.col("_one.cell_id").alias("cell_id"))
-    )
+    """Cells of each buffer ``(zone, cell_id)``: those whose centre it holds.
+
+    A buffer without a centre takes the cell of its point. A point outside the grid has the cells its buffer
+    reaches; only a zone that reaches none leaves.
+    """
+    rows = points.select(zone, "x", "y")
+    held = disc_cells(rows, radius, grid).select(zone, "cell_id")
+    # the nearest centre of a point on the grid is that of its own cell
+    dx = grid.center_x(F.col("col")) - F.col("x")
+    dy = grid.center_y(F.col("row")) - F.col("y")
+    own = with_cell(rows, grid).where(F.sqrt(dx * dx + dy * dy) > radius).select(zone, "cell_id")
+    return held.unionByName(own)
 
 
 def zonal_mean(raster: DataFrame, zones: DataFrame, zone: str = "system_id") -> DataFrame:
@@ -274,10 +244,7 @@ def convex_hull(points: DataFrame) -> DataFrame:
     are joined into one.
     """
     schema = "i long, x double, y double"
-    ends = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x").agg(
-        F.min("y").alias("_a"), F.max("y").alias("_b")
-    )
-    rows = ends.select("x", F.explode(F.array("_a", "_b")).alias("y"))
+    rows = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y")
     local = rows.mapInPandas(_hull_part, schema)
     # an exchange, not a coalesce: that would pull the local hulls into the same single task
     return local.select("x", "y").repartition(1).mapInPandas(_hull_part, schema)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from sparkplume.session import materialize
 
 LEVEL_BITS = 2  # a tile opens into 4 x 4 tiles
-MAX_LEVEL = 12  # 24 bits per axis: 6 cm tiles in an extent of 1,000 km
-SMALL_LEVEL = 4  # up to here a level has at most 16**4 tiles, few enough to broadcast
+# 50 bits per axis, as many as a double can tell apart in a wide extent: below this level points of a tile share
+# their location but for rounding
+MAX_LEVEL = 25
 BOX = ("ax", "bx", "ay", "by")
 
 
@@ -50,9 +51,9 @@ class Tiles:
 
 
 def _tile(level: int, frame: tuple[float, float, float]) -> str:
-    """SQL of the tile that holds (x, y): level and both indices packed into one long."""
+    """SQL of the tile that holds (x, y): its level and both indices."""
     if level == 0:
-        return "0L"
+        return "named_struct('l', 0, 'x', 0L, 'y', 0L)"
     x0, y0, side = frame
     full = 1 << (LEVEL_BITS * MAX_LEVEL)
     shift = LEVEL_BITS * (MAX_LEVEL - level)
@@ -60,7 +61,12 @@ def _tile(level: int, frame: tuple[float, float, float]) -> str:
         f"shiftright(least(cast(floor(({v} - {lo!r}D) / {side!r}D * {full}D) as bigint), {full - 1}L), {shift})"
         for v, lo in (("x", x0), ("y", y0))
     )
-    return f"{level << 50}L + shiftleft({ix}, 25) + {iy}"
+    return f"named_struct('l', {level}, 'x', {ix}, 'y', {iy})"
+
+
+def literal(tile) -> str:
+    """SQL of a tile that was read."""
+    return f"named_struct('l', {tile.l}, 'x', {tile.x}L, 'y', {tile.y}L)"
 
 
 def _levels(points: DataFrame, first: int, last: int, frame: tuple[float, float, float]) -> DataFrame:

@@ -61,6 +61,7 @@ def samples(
             F.when(status == "F", "GW").when(status == "O", "SW").otherwise("MX").alias("water_type"),
             F.when(priority == "1-URGENT", "PFOA").when(priority == "2-HIGH", "PFOS").otherwise("OTHER").alias("contaminant"),
             F.lit(0.004).alias("mrl"),
+            F.lit("ug/L").alias("units"),
             F.col("n_regionkey").cast("long").alias("region"),
             F.col("n_name").alias("state"),
             F.when(F.col("o_orderkey") % 5 >= 2, F.col("o_totalprice") / 5000000.0).alias("value"),

@@ -140,8 +140,8 @@ def max_row_per_system(spark, sf):
 
 @query
 def max_by_zip(spark, sf):
-    joined = P.join_zips(_wanted(spark, sf), P.padded_zips(B.zips(spark, sf)))
-    return rounded(P.max_by_zip(joined, "PFOA", "GW"))
+    samples = P.filter_samples(B.samples(spark, sf, ["PFOA"], ["GW"]))
+    return rounded(P.max_by_zip_of(samples, P.padded_zips(B.zips(spark, sf)), "PFOA", "GW"))
 
 
 @query

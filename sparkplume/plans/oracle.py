@@ -19,7 +19,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT o_orderkey AS row_id, o_custkey AS system_id, c_name AS system_name, c_mktsegment AS size,
                CASE o_orderstatus WHEN 'F' THEN 'GW' WHEN 'O' THEN 'SW' ELSE 'MX' END AS water_type,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'PFOA' WHEN '2-HIGH' THEN 'PFOS' ELSE 'OTHER' END AS contaminant,
-               CAST(0.004 AS DOUBLE) AS mrl, CAST(n_regionkey AS BIGINT) AS region, n_name AS state,
+               CAST(0.004 AS DOUBLE) AS mrl, 'ug/L' AS units, CAST(n_regionkey AS BIGINT) AS region, n_name AS state,
                CASE WHEN o_orderkey % 5 < 2 THEN NULL ELSE o_totalprice / CAST(5000000 AS DOUBLE) END AS value,
                CAST(o_orderdate AS DATE) AS collection_date,
                concat(CAST(month(o_orderdate) AS VARCHAR), '/', CAST(day(o_orderdate) AS VARCHAR), '/',
@@ -183,7 +183,7 @@ def _sql(final: str, *needs: str) -> str:
 
 
 STATS = """min_by(system_name, row_id) AS system_name, min_by(size, row_id) AS size, min_by(mrl, row_id) AS mrl,
-    min_by(region, row_id) AS region, min_by(state, row_id) AS state,
+    min_by(units, row_id) AS units, min_by(region, row_id) AS region, min_by(state, row_id) AS state,
     round(avg(value), 12) AS mean_value, round(min(value), 12) AS min_value, round(max(value), 12) AS max_value,
     round(max(value) - min(value), 12) AS value_range, round(stddev_samp(value), 12) AS std_dev, count(value) AS n_values,
     count(DISTINCT collection_date) AS n_dates, min(collection_date) AS first_date, max(collection_date) AS last_date"""
@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
         """SELECT system_id, row_id, system_name, size, state
            FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY row_id) AS rn FROM filtered) WHERE rn = 1""", "filtered")
     out["max_row_per_system"] = _sql(
-        f"""SELECT row_id, system_id, system_name, size, water_type, contaminant, round(mrl, 12) AS mrl, region, state,
+        f"""SELECT row_id, system_id, system_name, size, water_type, contaminant, round(mrl, 12) AS mrl, units, region, state,
                    round(value, 12) AS value, collection_date, collection_text
             FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY value DESC, row_id) AS rn FROM filtered)
             WHERE rn = 1""", "filtered")
@@ -366,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
         """SELECT system_id, cell_id FROM (
              SELECT p.system_id, c.cell_id, sqrt((c.cx - p.x) * (c.cx - p.x) + (c.cy - p.y) * (c.cy - p.y)) <= 40000 AS inside,
                     floor(p.y / 25000) = c."row" AND floor(p.x / 25000) = c.col AS own
-             FROM points p, cells c WHERE p.x < 1000000 AND p.y < 1000000)
+             FROM points p, cells c)
            QUALIFY inside OR (own AND NOT bool_or(inside) OVER (PARTITION BY system_id))""", "points", "cells")
     for name, kind in (("idw_variable", "variable"), ("idw_fixed", "fixed")):
         out[name] = _sql(

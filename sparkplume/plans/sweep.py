@@ -54,9 +54,9 @@ def sweep(
     Runs are checked before any work starts. A run whose model cannot be fitted appears with NULL
     values and a status instead of stopping the others.
     """
-    bad = [r["run_id"] for r in invalid_runs(runs).select("run_id").limit(5).collect()]
+    bad = sorted(str(r["run_id"]) for r in invalid_runs(runs).select("run_id").collect())
     if bad:
-        raise ValueError(f"rows that describe no run: {bad}")
+        raise ValueError(f"{len(bad)} rows that describe no run: {', '.join(bad)}")
     methods = [r[0] for r in runs.select("method").distinct().collect()]
     parts = []
     for method in methods:  # at most four
@@ -74,6 +74,12 @@ def sweep(
             ready = [r for r in fitted if r["a"] is not None]
             if ready:
                 parts.append(_full(raster_rows(krige_sweep(points, grid, ready, cells), grid)))
+            lost = [r["run_id"] for r in fitted if r["a"] is None]
+            if lost:
+                empty = cells if cells is not None else make_grid(points.sparkSession, grid)
+                empty = empty.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in lost])))
+                empty = empty.withColumns({"value": F.lit(None).cast("double"), "status": F.lit("model not fitted")})
+                parts.append(_full(empty))
     return reduce(DataFrame.unionByName, parts, points.sparkSession.createDataFrame([], RASTER))
 
 
@@ -109,7 +115,7 @@ def sweep_and_rank(
     """Ranked runs with RMSE and MAE at the test points."""
     cells = materialize(evaluation_cells(test, grid, buffer), "cells")
     metrics = E.error_metrics(evaluate(sweep(train, grid, runs, cells), test, grid, buffer))
-    return E.rank_runs(E.score_runs(runs, metrics), by=["method"])
+    return E.rank_runs(E.score_runs(runs, metrics), by=["method"], digits=12)
 
 
 def replay(

@@ -109,3 +109,23 @@ def test_plan_has_no_cross_join(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert neighbor_rows(found).count() == 2000
+
+
+def test_targets_without_a_location_stay(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0, 1.0), (2, 1.0, 0.0, 1.0)], "system_id long, x double, y double, z double")
+    targets = spark.createDataFrame(
+        [(1, 0.0, 0.0), (2, None, 0.0), (3, 0.0, float("nan"))], "target_id long, tx double, ty double"
+    )
+    got = {r["target_id"]: [n["id"] for n in r["neighbors"]] for r in knn(targets, pts, 2).collect()}
+    assert got == {1: [1, 2], 2: [], 3: []}
+
+
+def test_stray_point_far_away(spark):
+    """One stray coordinate stretches the extent; tiles go on opening until they are small again."""
+    near = [(k, float(k % 30) * 1e-3, float(k // 30) * 1e-3, 1.0) for k in range(900)]
+    pts = spark.createDataFrame([*near, (5000, 1e10, 1e10, 1.0)], "system_id long, x double, y double, z double")
+    targets = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0145, 0.0145)], "target_id long, tx double, ty double")
+    got = {r["target_id"]: [n["id"] for n in r["neighbors"]] for r in knn(targets, pts, 3).collect()}
+    for t, x, y in ((1, 0.0, 0.0), (2, 0.0145, 0.0145)):
+        want = sorted((((px - x) ** 2 + (py - y) ** 2) ** 0.5, i) for i, px, py, _ in near)[:3]
+        assert got[t] == [i for _, i in want]

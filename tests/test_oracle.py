@@ -6,6 +6,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from sparkplume.plans import catalog, oracle
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
@@ -18,7 +19,7 @@ def con():
 
 def test_names():
     assert set(SQL) <= set(entry.queries())
-    assert set(entry.queries()) - set(SQL) == {
+    assert set(catalog.QUERIES) - set(SQL) == {
         "krige_ordinary",
         "krige_linear_drift",
         "krige_quadratic_drift",
@@ -27,7 +28,7 @@ def test_names():
     }
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query(spark, con, name):
     assert compare.differences(entry.queries()[name](spark, SF), con, SQL[name]) == []
 

@@ -18,12 +18,12 @@ def rows(n=3000, seed=4):
     return out
 
 
-@pytest.mark.parametrize("local_rows", [100, 10_000_000])
+@pytest.mark.parametrize("rows_per_range", [100, 10_000_000])
 @pytest.mark.parametrize("by", [(), ("g",)])
-def test_running_total(spark, local_rows, by):
+def test_running_total(spark, rows_per_range, by):
     data = rows()
     df = spark.createDataFrame(data, "id long, g string, v double, w long").repartition(5)
-    got = {r["id"]: r["t"] for r in running_total(df, ["v", "id"], by, "w", "t", local_rows).collect()}
+    got = {r["id"]: r["t"] for r in running_total(df, ["v", "id"], by, "w", "t", rows_per_range).collect()}
     want, sums = {}, {}
     for i, g, v, w in sorted(data, key=lambda r: (r[2] is None, r[2] if r[2] is not None else 0.0, r[0])):
         key = g if by else 0
@@ -32,11 +32,11 @@ def test_running_total(spark, local_rows, by):
     assert got == want
 
 
-@pytest.mark.parametrize("local_rows", [50, 10_000_000])
-def test_quantiles_and_boxes(spark, local_rows):
+@pytest.mark.parametrize("rows_per_range", [50, 10_000_000])
+def test_quantiles_and_boxes(spark, rows_per_range):
     data = [r for r in rows() if r[2] is not None]
     df = spark.createDataFrame(data, "id long, g string, v double, w long")
-    got = {r["g"]: r for r in box_stats(df, ["g"], "v", local_rows).collect()}
+    got = {r["g"]: r for r in box_stats(df, ["g"], "v", rows_per_range).collect()}
     for g in {r[1] for r in data}:
         v = np.array([r[2] for r in data if r[1] == g])
         q1, q2, q3 = np.percentile(v, [25, 50, 75])
@@ -51,11 +51,11 @@ def test_quantiles_and_boxes(spark, local_rows):
     assert one["m"] == 5.0
 
 
-@pytest.mark.parametrize("local_rows", [60, 10_000_000])
-def test_ranks(spark, local_rows):
+@pytest.mark.parametrize("rows_per_range", [60, 10_000_000])
+def test_ranks(spark, rows_per_range):
     data = [(f"r{i:04d}", "IDW", "A", None if i % 40 == 0 else float(i % 7), float(-i)) for i in range(400)]
     df = spark.createDataFrame(data, "run_id string, method string, dataset string, rmse double, mae double")
-    got = {r["run_id"]: r for r in rank_runs(df, local_rows=local_rows).collect()}
+    got = {r["run_id"]: r for r in rank_runs(df, rows_per_range=rows_per_range).collect()}
     by_rmse = sorted(data, key=lambda r: (r[3] is None, r[3] or 0.0, r[0]))
     by_mae = sorted(data, key=lambda r: (r[4], r[0]))
     for i, r in enumerate(by_rmse, 1):

@@ -35,7 +35,7 @@ def test_split_is_exact_per_group(spark):
     assert counts == {g: n * 9 // 10 for g, (n, _) in per.items()}
     again = {r[0] for r in train_test_split(pts.repartition(7), 90, 42).where("is_train").select("system_id").collect()}
     assert again == {r[0] for r in whole.where("is_train").select("system_id").collect()}
-    coarse = {r[0] for r in train_test_split(pts, 90, 42, prefix=1).where("is_train").select("system_id").collect()}
+    coarse = {r[0] for r in train_test_split(pts, 90, 42, rows_per_range=50).where("is_train").select("system_id").collect()}
     assert coarse == again
     assert train_test_split(pts.where("system_id < 0"), 90, 42).count() == 0
 
@@ -96,3 +96,26 @@ def test_natural_neighbor_range_and_hull(spark):
 def test_masked_grid(spark):
     mask = spark.createDataFrame([(0, 1), (2, 2), (9, 9)], "row long, col long")
     assert sorted(r["cell_id"] for r in make_grid(spark, Grid(0.0, 0.0, 1.0, 3, 3), mask).collect()) == [1, 8]
+
+
+def test_clip_keeps_repeated_rows(spark):
+    ring = spark.createDataFrame([(0, 0.0, 0.0), (1, 10.0, 0.0), (2, 10.0, 10.0), (3, 0.0, 10.0)], "i long, x double, y double")
+    rows = [(1, 5.0, 5.0), (1, 5.0, 5.0), (2, 4.0, 4.0), (3, 5.0, 5.0), (4, 20.0, 5.0), (5, None, 5.0)]
+    got = clip_points(spark.createDataFrame(rows, "system_id long, x double, y double"), polygon_edges(ring), 2.0)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 5.0, 5.0), (1, 5.0, 5.0), (2, 4.0, 4.0), (3, 5.0, 5.0)]
+
+
+def test_zone_of_a_point_outside_the_grid(spark):
+    grid = Grid(0.0, 0.0, 10.0, 3, 3)
+    pts = spark.createDataFrame([(1, -1.0, 5.0), (2, -50.0, 5.0), (3, 1.0, 1.0)], "system_id long, x double, y double")
+    assert sorted(tuple(r) for r in zone_cells(pts, 10.0, grid).collect()) == [(1, 0), (3, 0)]
+    assert sorted(tuple(r) for r in zone_cells(pts, 1.0, grid).collect()) == [(3, 0)]
+
+
+def test_split_keeps_rows_without_key_or_group(spark):
+    pts = spark.createDataFrame([(k if k % 4 else None, "a" if k % 3 else None) for k in range(40)], "system_id long, g string")
+    for by in ((), ("g",)):
+        got = train_test_split(pts, 90, 42, by=by)
+        assert got.count() == 40 and got.where("is_train IS NULL").count() == 0
+    whole = train_test_split(pts, 90, 42)
+    assert whole.where("is_train").count() == 36 and whole.where("NOT is_train AND system_id IS NOT NULL").count() == 0

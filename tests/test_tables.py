@@ -13,11 +13,11 @@ from sparkplume.plans import runs as R
 from sparkplume.plans.sweep import class_scores, sweep_runs
 from sparkplume.sources import tables as IO
 
-SAMPLE = "row_id long, system_id long, system_name string, size string, mrl double, region long, state string, contaminant string, water_type string, value double, collection_date date"
+SAMPLE = "row_id long, system_id long, system_name string, size string, mrl double, units string, region long, state string, contaminant string, water_type string, value double, collection_date date"
 
 
 def sample(i, system, value, day=1, contaminant="PFOA", water="GW", month=1):
-    return (i, system, f"n{i}", "S", 0.004, 1, "X", contaminant, water, value, datetime.date(2024, month, day))
+    return (i, system, f"n{i}", "S", 0.004, "ug/L", 1, "X", contaminant, water, value, datetime.date(2024, month, day))
 
 
 def test_stats_of_small_groups(spark):
