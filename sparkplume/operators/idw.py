@@ -1,8 +1,8 @@
 """Inverse-distance weighting for whole sweeps.
 
 Pairs of a cell and a point are visited once, whatever the number of runs. They are summed per power
-and per band (the smallest search setting that includes the pair); a run then adds the bands its own
-setting includes. Sums combine before the exchange, so crowded places do not concentrate in a task.
+and search setting that includes it, all in one aggregate per target; a run is read off the target's row.
+Sums combine before the exchange, so crowded places do not concentrate in a task.
 """
 
 from __future__ import annotations
@@ -24,60 +24,44 @@ def _band(measure: Column, limits: Sequence) -> Column:
     return out
 
 
-def _band_sums(pairs: DataFrame, band: Column, powers: Sequence[float]) -> DataFrame:
-    """Numerator and denominator per power, pairs and exact hits, per target and band."""
+def _band_sums(pairs: DataFrame, band: Column, bands: int, powers: Sequence[float], head: str = "") -> DataFrame:
+    """One row per target: for each band, what it and all smaller ones hold.
+
+    ``n``, exact ``hits`` and their ``hit_z``, and numerator and denominator per power, all followed by the band's number.
+    """
     d, z = F.col("d"), F.col("z")
-    aggs = [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(d == 0, 1).otherwise(0)).alias("hits"),
-        F.sum(F.when(d == 0, z).otherwise(0.0)).alias("hit_z"),
-    ]
+    parts = {"n": F.lit(1), "hits": F.when(d == 0, 1).otherwise(0), "hit_z": F.when(d == 0, z).otherwise(0.0)}
     for i, p in enumerate(powers):
         w = F.when(d > 0, F.lit(1.0) / F.pow(d, F.lit(float(p)))).otherwise(0.0)
-        aggs += [F.sum(w * z).alias(f"num{i}"), F.sum(w).alias(f"den{i}")]
-    return pairs.withColumn("band", band).where(F.col("band").isNotNull()).groupBy("target_id", "band").agg(*aggs)
+        parts |= {f"num{i}": w * z, f"den{i}": w}
+    rows = pairs.select("target_id", band.alias("band"), *[c.alias(k) for k, c in parts.items()]).where("band IS NOT NULL")
+    sums = [F.sum(F.when(F.col("band") <= b, F.col(k))).alias(f"{head}{k}_{b}") for b in range(bands) for k in parts]
+    return rows.groupBy("target_id").agg(*sums)
 
 
-def _run_sums(sums: DataFrame, settings: Sequence[tuple[str, int, int]], n_powers: int) -> DataFrame:
-    """Add up the bands of each run. ``settings`` lists (run id, power index, last band)."""
-    table = F.array(
-        *[
-            F.struct(F.lit(r).alias("run_id"), F.lit(p).alias("p"), F.lit(b).alias("last"))
-            for r, p, b in settings
-        ]
-    )
-    power = F.col("_run.p")
-    pick = lambda head: F.element_at(F.array(*[F.col(f"{head}{i}") for i in range(n_powers)]), power + 1)
-    return (
-        sums.withColumn("_run", F.explode(table))
-        .where(F.col("band") <= F.col("_run.last"))
-        .groupBy(F.col("_run.run_id").alias("run_id"), "target_id")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("hits").alias("hits"),
-            F.sum("hit_z").alias("hit_z"),
-            F.sum(pick("num")).alias("num"),
-            F.sum(pick("den")).alias("den"),
-        )
-    )
+def _value(band: int, power: int, head: str = "") -> Column:
+    """A point exactly at the target gives its own value; several there, their mean."""
+    hits = F.col(f"{head}hits_{band}")
+    mean = F.try_divide(F.col(f"{head}num{power}_{band}"), F.col(f"{head}den{power}_{band}"))
+    return F.when(hits > 0, F.col(f"{head}hit_z_{band}") / hits).otherwise(mean)
 
 
-def _value() -> Column:
-    """A point exactly at the target gives its own value; several there, their mean."""
-    return F.when(F.col("hits") > 0, F.col("hit_z") / F.col("hits")).otherwise(F.try_divide("num", "den"))
+def _per_run(sums: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``run_id, target_id, value``: the runs are read off a target's row, without another exchange."""
+    runs = F.array(*[F.struct(F.lit(r).alias("run_id"), v.alias("value")) for r, v in values.items()])
+    return sums.select("target_id", F.inline(runs)).select("run_id", "target_id", "value")
 
 
-def _variable_sums(neighbors: DataFrame, runs: Sequence[Row], points_field: str) -> DataFrame:
-    powers = sorted({r["power"] for r in runs})
-    counts = sorted({int(r[points_field]) for r in runs})
-    sums = _band_sums(neighbor_rows(neighbors), _band(F.col("rank"), counts), powers)
-    settings = [(r["run_id"], powers.index(r["power"]), counts.index(int(r[points_field]))) for r in runs]
-    return _run_sums(sums, settings, len(powers))
+def _near_sums(neighbors: DataFrame, counts: Sequence[int], powers: Sequence[float]) -> DataFrame:
+    return _band_sums(neighbor_rows(neighbors), _band(F.col("rank"), counts), len(counts), powers)
 
 
 def idw_variable(neighbors: DataFrame, runs: Sequence[Row]) -> DataFrame:
     """``run_id, target_id, value`` from the nearest ``num_points`` neighbours of each target."""
-    return _variable_sums(neighbors, runs, "num_points").select("run_id", "target_id", _value().alias("value"))
+    powers = sorted({r["power"] for r in runs})
+    counts = sorted({int(r["num_points"]) for r in runs})
+    values = {r["run_id"]: _value(counts.index(int(r["num_points"])), powers.index(r["power"])) for r in runs}
+    return _per_run(_near_sums(neighbors, counts, powers), values)
 
 
 def idw_fixed(
@@ -90,19 +74,15 @@ def idw_fixed(
     """
     powers = sorted({r["power"] for r in runs})
     radii = sorted({r["distance"] for r in runs})
+    counts = sorted({int(r["f_pts"]) for r in runs})
     pairs = radius_rows(points, radii[-1], grid, cells)
-    sums = _band_sums(pairs, _band(F.col("d"), radii), powers)
-    settings = [(r["run_id"], powers.index(r["power"]), radii.index(r["distance"])) for r in runs]
-    wide = _run_sums(sums, settings, len(powers)).withColumn("wide", _value())
-    enough = {m: [r["run_id"] for r in runs if int(r["f_pts"]) == m] for m in {int(r["f_pts"]) for r in runs}}
-    need = None
-    for m, ids in enough.items():
-        need = F.when(F.col("run_id").isin(*ids), m) if need is None else need.when(F.col("run_id").isin(*ids), m)
-    wide = wide.where(F.col("n") >= need).select("run_id", "target_id", "wide")
-    near = _variable_sums(neighbors, runs, "f_pts").withColumn("near", _value())
-    return near.join(wide, ["run_id", "target_id"], "left").select(
-        "run_id", "target_id", F.coalesce("wide", "near").alias("value")
-    )
+    wide = _band_sums(pairs, _band(F.col("d"), radii), len(radii), powers, "wide_")
+    values = {}
+    for r in runs:
+        power, band, need = powers.index(r["power"]), radii.index(r["distance"]), int(r["f_pts"])
+        enough = F.when(F.col(f"wide_n_{band}") >= need, _value(band, power, "wide_"))
+        values[r["run_id"]] = F.coalesce(enough, _value(counts.index(need), power))
+    return _per_run(_near_sums(neighbors, counts, powers).join(wide, "target_id", "left"), values)
 
 
 def idw_sweep(points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFrame | None = None) -> DataFrame:
