@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 At most ``EXAMPLES`` labelled rows of each class (a documented bound; picked by a hash of the id) are the examples. Terms
-are the words whose presence depends on the label beyond chance (chi-square, corrected for the number of words tried).
+are the words whose presence depends on the label beyond chance (chi-square, corrected for the number of words tried),
+without those that always come with the same other word, as the words of a copied passage do.
 The index holds, for every term, the examples that contain it with their weights, grouped into blocks of examples, and
 the largest weight per block. A text's cosine with any example of a block is at most the sum of its weights times those
 maxima, so blocks are visited from the largest bound down and the search ends, without loss, when no bound exceeds the
@@ -32,6 +33,7 @@ from sparkplume.llm.quality import bounded_sample, judged
 EXAMPLES = 2048
 BLOCK = 64
 K = 15
+TOGETHER = 0.6  # share of rows with either of two words that hold both
 CHANCE = 0.01  # expected count of words that pass the test by chance
 
 COUNTED = "doc_id long, word binary, n binary"
@@ -93,7 +95,18 @@ class Index:
         expected = all_ * toxic / rows
         scale = expected * (1 - toxic / rows) * (1 - all_ / rows)
         chi = np.where(scale > 0, (one - expected) ** 2 / np.maximum(scale, 1e-12), 0)
-        return every[chi >= 2 * np.log(max(len(every), 2) / CHANCE)]
+        passed = np.flatnonzero(chi >= 2 * np.log(max(len(every), 2) / CHANCE))
+        # words that come and go together stand in one copied passage: many rows, but a single piece of evidence
+        order = np.argsort(place, kind="stable")
+        by_word, first = row[order], np.searchsorted(place[order], np.arange(len(every) + 1))
+        by_row = np.searchsorted(row, np.arange(rows + 1))
+        alone = []
+        for t in passed.tolist():
+            mine = by_word[first[t] : first[t + 1]]
+            other, both = np.unique(place[A.runs(by_row[mine], np.diff(by_row)[mine])], return_counts=True)
+            alike = both / (len(mine) + all_[other] - both)
+            alone.append(alike[other != t].max(initial=0) < TOGETHER)
+        return every[passed[np.array(alone, dtype=bool)]]
 
     def _unit(self, row, number, n, rows) -> np.ndarray:
         value = (1 + np.log(n)) * self.idf[number]
