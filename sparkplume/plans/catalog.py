@@ -30,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 GRID = B.GRID
+ALL_LAGS = [lag or G.CELL_SIZE for lag in R.LAGS]  # the default lag is the cell size
 BUFFER = 40000.0  # evaluation buffer on the coarse fixture grid
 
 
@@ -620,12 +621,12 @@ def dunn(spark, sf):
 
 @query
 def semivariogram_bins(spark, sf):
-    return rounded(semivariogram(B.points(spark, sf), [24000.0, 8000.0]))
+    return rounded(semivariogram(B.points(spark, sf), ALL_LAGS))
 
 
 @query
 def fit_semivariograms(spark, sf):
-    fits = fit_semivariogram(semivariogram(B.points(spark, sf), [24000.0]), MODELS)
+    fits = fit_semivariogram(semivariogram(B.points(spark, sf), ALL_LAGS), MODELS)
     return rounded(fits, 10, misfit=8)
 
 

@@ -521,7 +521,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT group_a, group_b, round(z, 6) AS z, round(p, 6) AS p, p < CAST(0.05 AS DOUBLE) AS reject FROM ps""", "sums")
 
     out["semivariogram_bins"] = _sql(
-        f"SELECT lag, bin, n_pairs, round(h, 12) AS h, round(gamma, 12) AS gamma FROM ({_bins('[24000, 8000]')})", "points")
+        f"SELECT lag, bin, n_pairs, round(h, 12) AS h, round(gamma, 12) AS gamma FROM ({_bins('[8000, 16000, 20000, 24000, 8046.7]')})", "points")
     u = "(h / a)"
     v = "least(h / a, 1)"
     shapes = {
@@ -533,7 +533,7 @@ def oracle_sql() -> dict[str, str]:
     }
     shaped = " UNION ALL ".join(f"SELECT lag, '{m}' AS model, a, w, CAST({f} AS DOUBLE) AS f, gamma AS y FROM cand" for m, f in shapes.items())
     out["fit_semivariograms"] = _sql(
-        f""", cand AS (SELECT b.*, n_pairs / (h * h) AS w, i * lag AS a FROM ({_bins('[24000]')}) b, range(1, 13) t(i)),
+        f""", cand AS (SELECT b.*, n_pairs / (h * h) AS w, i * lag AS a FROM ({_bins('[8000, 16000, 20000, 24000, 8046.7]')}) b, range(1, 13) t(i)),
              rows AS ({shaped}),
              eq AS (SELECT lag, model, a, sum(w) AS sw, sum(w * f) AS sf, sum(w * f * f) AS sff, sum(w * y) AS sy, sum(w * f * y) AS sfy
                     FROM rows GROUP BY lag, model, a),
