@@ -70,25 +70,21 @@ def _cells(spark: SparkSession) -> DataFrame:
     return G.make_grid(spark, GRID)
 
 
-def _small_runs(spark: SparkSession) -> list[Row]:
-    """Two powers times four searches."""
-    rows = []
-    for power in (1.0, 2.0):
-        rows += [("IDW", None, "variable", power, None, k, None, None) for k in (5, 12)]
-        rows += [("IDW", None, "fixed", power, None, None, r, m) for r, m in ((60000.0, 2), (120000.0, 6))]
-    return R.run_rows(R.with_run_id(R.with_run_name(spark.createDataFrame(rows, R.RUNS))))
+def _idw_runs(spark: SparkSession) -> list[Row]:
+    """All 84 settings of the sweep."""
+    return R.run_rows(W.sweep_runs(spark, "IDW"))
 
 
-def _small_raster(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Raster of the small runs from the training points, and the test points."""
+def _idw_raster(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Raster of all runs from the training points, and the test points."""
     train, test = B.train_test(spark, sf)
-    return I.idw_sweep(train, GRID, _small_runs(spark)), test
+    return I.idw_sweep(train, GRID, _idw_runs(spark)), test
 
 
-def _small_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def _idw_pairs(spark: SparkSession, sf: str) -> DataFrame:
     train, test = B.train_test(spark, sf)
     cells = materialize(W.evaluation_cells(test, GRID, None), "cells")
-    return W.evaluate(W.sweep(train, GRID, _runs_frame(spark, _small_runs(spark)), cells), test, GRID, None)
+    return W.evaluate(W.sweep(train, GRID, _runs_frame(spark, _idw_runs(spark)), cells), test, GRID, None)
 
 
 def _runs_frame(spark: SparkSession, rows: list[Row]) -> DataFrame:
@@ -310,7 +306,7 @@ def io_roundtrip_points(spark, sf):
 
 @query
 def io_roundtrip_raster(spark, sf):
-    raster, _ = _small_raster(spark, sf)
+    raster, _ = _idw_raster(spark, sf)
     path = _fresh(spark, "raster")
     IO.write_raster(raster.drop("cell_id"), path)
     return rounded(IO.read_raster(spark, path, "IDW_V_p2_np12_2.0").select("run_id", "row", "col", "value"))
@@ -362,7 +358,7 @@ def zone_cells(spark, sf):
 @query
 def idw_variable(spark, sf):
     train, _ = B.train_test(spark, sf)
-    runs = [r for r in _small_runs(spark) if r["type"] == "variable"]
+    runs = [r for r in _idw_runs(spark) if r["type"] == "variable"]
     raster = I.idw_sweep(train, GRID, runs)
     return rounded(raster)
 
@@ -370,7 +366,7 @@ def idw_variable(spark, sf):
 @query
 def idw_fixed(spark, sf):
     train, _ = B.train_test(spark, sf)
-    runs = [r for r in _small_runs(spark) if r["type"] == "fixed"]
+    runs = [r for r in _idw_runs(spark) if r["type"] == "fixed"]
     return rounded(I.idw_sweep(train, GRID, runs))
 
 
@@ -419,24 +415,24 @@ def idw_sweep_rasters(spark, sf):
 
 @query
 def extract_nearest_cell(spark, sf):
-    raster, test = _small_raster(spark, sf)
+    raster, test = _idw_raster(spark, sf)
     return rounded(G.extract_at_points(raster, test.select("system_id", "x", "y"), GRID).select("run_id", "system_id", "prediction"))
 
 
 @query
 def zonal_mean(spark, sf):
-    raster, test = _small_raster(spark, sf)
+    raster, test = _idw_raster(spark, sf)
     return rounded(G.zonal_mean(raster, G.zone_cells(test, BUFFER, GRID)))
 
 
 @query
 def obs_pred_pairs(spark, sf):
-    return rounded(_small_pairs(spark, sf))
+    return rounded(_idw_pairs(spark, sf))
 
 
 @query
 def error_metrics(spark, sf):
-    return rounded(E.error_metrics(_small_pairs(spark, sf)))
+    return rounded(E.error_metrics(_idw_pairs(spark, sf)))
 
 
 @query
@@ -504,17 +500,17 @@ def classify3(spark, sf):
 
 @query
 def confusion2(spark, sf):
-    return E.confusion(E.classified(_small_pairs(spark, sf), S.TWO_CLASS_LIMITS), 2)
+    return E.confusion(E.classified(_idw_pairs(spark, sf), S.TWO_CLASS_LIMITS), 2)
 
 
 @query
 def confusion3(spark, sf):
-    return E.confusion(E.classified(_small_pairs(spark, sf), S.THREE_CLASS_LIMITS), 3)
+    return E.confusion(E.classified(_idw_pairs(spark, sf), S.THREE_CLASS_LIMITS), 3)
 
 
 @query
 def accuracy_recall(spark, sf):
-    pairs = materialize(_small_pairs(spark, sf), "pairs")
+    pairs = materialize(_idw_pairs(spark, sf), "pairs")
     two = W.class_scores(pairs).withColumn("classes", F.lit(2))
     three = W.class_scores(pairs, S.THREE_CLASS_LIMITS).withColumn("classes", F.lit(3))
     return rounded(two.unionByName(three))
@@ -522,7 +518,7 @@ def accuracy_recall(spark, sf):
 
 @query
 def mean_performance(spark, sf):
-    scores = W.class_scores(_small_pairs(spark, sf), S.THREE_CLASS_LIMITS)
+    scores = W.class_scores(_idw_pairs(spark, sf), S.THREE_CLASS_LIMITS)
     return rounded(E.mean_performance(scores.withColumn("method", F.substring("run_id", 1, 5)), ["method"]))
 
 

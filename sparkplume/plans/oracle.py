@@ -63,14 +63,6 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                row_number() OVER (PARTITION BY cell_id ORDER BY d, system_id) AS rnk
         FROM (SELECT c.*, t.*, sqrt((t.x - c.cx) * (t.x - c.cx) + (t.y - c.cy) * (t.y - c.cy)) AS d
               FROM cells c, train t)"""),
-    "small_runs": ((), """
-        SELECT concat('IDW_', CASE WHEN kind = 'variable'
-                      THEN concat('V_p', CAST(CAST(p AS INT) AS VARCHAR), '_np', CAST(k AS VARCHAR))
-                      ELSE concat('F_p', CAST(CAST(p AS INT) AS VARCHAR), '_d', CAST(CAST(r / 1000 AS INT) AS VARCHAR),
-                                  'km_np', CAST(m AS VARCHAR)) END, '_', CAST(p AS VARCHAR)) AS run_id, *
-        FROM (VALUES (CAST(1 AS DOUBLE)), (CAST(2 AS DOUBLE))) v(p),
-             (VALUES ('variable', 5, NULL, NULL), ('variable', 12, NULL, NULL),
-                     ('fixed', NULL, 60000, 2), ('fixed', NULL, 120000, 6)) s(kind, k, r, m)"""),
     "sweep_runs": ((), """
         SELECT concat('IDW_', CASE WHEN kind = 'variable'
                       THEN concat('V_p', CAST(CAST(floor(p) AS INT) AS VARCHAR), '_np', CAST(k AS VARCHAR))
@@ -81,11 +73,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               UNION ALL
               SELECT 'fixed', NULL, r, m FROM (SELECT unnest([16000, 40250, 80500, 161000]) AS r),
                                               (SELECT unnest([2, 6, 12, 24]) AS m)) s"""),
-    "raster": (("ranked_pairs", "small_runs"), """
+    "raster": (("ranked_pairs", "sweep_runs"), """
         SELECT run_id, cell_id, "row", col,
                CASE WHEN count(*) FILTER (d = 0) > 0 THEN avg(z) FILTER (d = 0)
                     ELSE sum(z / pow(d, p)) / sum(1 / pow(d, p)) END AS value
-        FROM ranked_pairs JOIN small_runs
+        FROM ranked_pairs JOIN sweep_runs
           ON (kind = 'variable' AND rnk <= k) OR (kind = 'fixed' AND (d <= r OR rnk <= m))
         GROUP BY ALL"""),
     "test_cells": (("test",), """
