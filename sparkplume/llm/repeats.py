@@ -88,6 +88,11 @@ def text_mark(raw: bytes) -> int:
     return int.from_bytes(hashlib.sha256(raw).digest()[:8], "little", signed=True)
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """Half of an anchor's hash, enough within a shard of fixed size: two that agree by chance only cost a piece more."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def heads(*keys: np.ndarray) -> np.ndarray:
     """Where a new combination of sorted keys begins."""
     new = np.zeros(max(len(keys[0]) - 1, 0), dtype=bool)
@@ -159,7 +164,7 @@ def _packed(h, doc, mark, key, shards):
         return
     shard = ((h if key is not None else A.mix(mark.view(np.uint64))) % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((mark, doc, shard))
-    h, doc, mark, shard = h[order], doc[order], mark[order], shard[order]
+    h, doc, mark, shard = short(h[order]), doc[order], mark[order], shard[order]
     cut = [*heads(shard).tolist(), len(h)]
     for low, high in zip(cut, cut[1:]):
         part = slice(low, high)
@@ -188,7 +193,7 @@ def _shared_rows(homes: int):
         for side in (True, False):
             part = table.filter(pa.array(known == side))
             size = _column(part, "size", np.int32)
-            h = _column(part, "data", np.uint64)
+            h = _column(part, "data", np.uint32)
             doc = np.repeat(_column(part, "doc", np.int64), size)
             mark = np.repeat(_column(part, "text", np.int64), size)
             if not side:
@@ -228,7 +233,7 @@ def _piece_rows(shards: int):
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
         size = _column(shared, "size", np.int32)
         limit = np.concatenate(([0], np.cumsum(size)))
-        h = _column(shared, "data", np.uint64)
+        h = _column(shared, "data", np.uint32)
         wanted: dict[tuple[int, int], list] = {}
         pairs = zip(_column(shared, "doc", np.int64).tolist(), _column(shared, "text", np.int64).tolist())
         for k, key in enumerate(pairs):
@@ -242,7 +247,7 @@ def _piece_rows(shards: int):
                     continue
                 done.add((doc, mark))
                 stop = np.concatenate((first[1:], [windows])) + LENGTH - 1
-                for k in np.flatnonzero(np.isin(anchor, np.concatenate(own))).tolist():
+                for k in np.flatnonzero(np.isin(short(anchor), np.concatenate(own))).tolist():
                     piece = raw[first[k] : stop[k]]
                     places.setdefault(piece, []).append((doc, mark, int(first[k]), int(anchor[k])))
         todo, over = [], []
@@ -268,7 +273,7 @@ def _piece_rows(shards: int):
                             np.array(mark, dtype=np.int64).tobytes(),
                             np.array(start, dtype=np.int32).tobytes(),
                             np.array(length, dtype=np.int32).tobytes(),
-                            b"" if flag else np.array(anchor, dtype=np.uint64).tobytes(),
+                            b"" if flag else short(np.array(anchor, dtype=np.uint64)).tobytes(),
                             b"" if flag else b"".join(last),
                         ],
                     )
@@ -379,7 +384,7 @@ def _span_rows(homes: int):
         by_piece = stay[np.argsort(own[stay], kind="stable")]
         piece_first = np.searchsorted(own[by_piece], np.arange(len(number) + 1))
         # only pieces whose anchor stands in another piece too can repeat in part
-        anchor = _column(todo, "anchor", np.uint64)[one]
+        anchor = _column(todo, "anchor", np.uint32)[one]
         _, place, count = np.unique(anchor, return_inverse=True, return_counts=True)
         partly = np.flatnonzero(count[place] > 1)
         distinct = list(number)
@@ -472,7 +477,7 @@ def _cut_rows(texts: pa.Table, spans: pa.Table) -> pa.Table:
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer held."""
+    """Let Spark drop the shuffle files of plans that are no longer held; callers let go of them first."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
@@ -492,6 +497,7 @@ def _meeting(texts: DataFrame, shards: int, homes: int) -> DataFrame:
     """Pieces of all shared anchors, by shard (written)."""
     anchors = texts.mapInArrow(_anchor_rows(shards), PACKED)
     shared = materialize(anchors.groupBy("shard").applyInArrow(_shared_rows(homes), PACKED), "shared")
+    del anchors
     _release(texts)
     homed = texts.withColumn("home", F.pmod("doc_id", F.lit(homes)))
     pieces = homed.groupBy("home").cogroup(shared.withColumnRenamed("shard", "home").groupBy("home"))
@@ -503,10 +509,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows, texts, shards, homes = _layout(docs)
     pieces = _meeting(texts, shards, homes)
     spans = materialize(pieces.groupBy("shard").applyInArrow(_span_rows(homes), SPANS), "spans")
+    del pieces
     _release(docs)
     homed = texts.withColumn("home", F.pmod("doc_id", F.lit(homes)))
     cut = homed.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(_cut_rows, CUT)
     cut = materialize(cut, "cut")
+    del homed
     _release(docs)
     least = rows.where("doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "sha", "left").join(cut, ["doc_id", "sha"], "left")

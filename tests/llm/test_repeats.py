@@ -65,7 +65,7 @@ def test_hot_passage_is_asked_once(spark):
     texts = [(k, passage + f"own words {k} " * 6) for k in range(300)]
     df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     asked = [r for r in df.mapInArrow(R._anchor_rows(1), R.PACKED).collect() if not r.known]
-    hashes = np.concatenate([np.frombuffer(r.data, dtype=np.uint64) for r in asked])
+    hashes = np.concatenate([np.frombuffer(r.data, dtype=np.uint32) for r in asked])
     assert len(hashes) == len(np.unique(hashes))
     assert found(df) == brute(texts)
 
