@@ -274,7 +274,7 @@ def _piece_rows(shards: int):
                             np.array(start, dtype=np.int32).tobytes(),
                             np.array(length, dtype=np.int32).tobytes(),
                             b"" if flag else short(np.array(anchor, dtype=np.uint64)).tobytes(),
-                            b"" if flag else b"".join(last),
+                            b"" if flag else pa.compress(b"".join(last), codec="zstd", asbytes=True),
                         ],
                     )
                 )
@@ -283,6 +283,16 @@ def _piece_rows(shards: int):
     return run
 
 
+def _pieces_of(table: pa.Table, size: np.ndarray) -> bytes:
+    """The bytes of all pieces of a table's rows, which hold them packed; ``size`` is that of each piece."""
+    rows = np.array([len(x.as_py()) // 4 for x in table.column("size")], dtype=np.int64)
+    total = np.concatenate(([0], np.cumsum(size)))
+    ends = np.cumsum(rows)
+    length = total[ends] - total[ends - rows]
+    packed = table.column("data").to_pylist()
+    return b"".join(pa.decompress(x, int(n), codec="zstd", asbytes=True) for x, n in zip(packed, length))
+
+
 # --- the suffix array of a shard
 
 
@@ -369,7 +379,7 @@ def _span_rows(homes: int):
         start = _column(todo, "start", np.int32).astype(np.int64)
         size = _column(todo, "size", np.int32).astype(np.int64)
         limit = np.concatenate(([0], np.cumsum(size))).tolist()
-        raw = b"".join(todo.column("data").to_pylist())
+        raw = _pieces_of(todo, size)
         pieces = [raw[i:j] for i, j in zip(limit, limit[1:])]
         # equal pieces: all but those of the smallest id go
         number: dict[bytes, int] = {}
@@ -534,7 +544,7 @@ def _group_rows(table: pa.Table) -> pa.Table:
     todo = table.filter(pa.array(~np.array(table.column("done").to_pylist())))
     doc, start, size = (_column(todo, c, k).astype(np.int64) for c, k in (("doc", np.int64), ("start", np.int32), ("size", np.int32)))
     limit = np.concatenate(([0], np.cumsum(size))).tolist()
-    raw = b"".join(todo.column("data").to_pylist())
+    raw = _pieces_of(todo, size)
     held: dict[bytes, list] = {}
     for k, (i, j) in enumerate(zip(limit, limit[1:])):
         held.setdefault(raw[i:j], []).append((int(doc[k]), int(start[k])))
