@@ -14,7 +14,7 @@ A place of a group in a document with a larger id than the group's smallest is r
 bytes covered by a string of LENGTH bytes that also starts in a document with a smaller id.
 
 Hot passages are met early: an anchor that a task has seen in two texts is known to be shared without asking further, and
-only one place of it is sent to be counted for others; equal pieces of a shard of documents leave it once, with the
+only one place of it is sent for others, with a mark that says so; equal pieces of a shard of documents leave it once, with the
 smallest id. All exchanges carry packed arrays.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing. Rows with a null id neither lose bytes nor take any
@@ -44,7 +44,7 @@ FLUSH = 1_000_000  # anchors a task holds before it sends them
 
 UNSTEP = np.uint64(pow(int(A.STEP), -1, 1 << 64))
 
-PACKED = "shard long, known boolean, doc binary, text binary, size binary, data binary"
+PACKED = "shard long, known boolean, doc binary, text binary, size binary, data binary, sure binary"
 PIECES = "shard long, done boolean, doc binary, text binary, start binary, size binary, anchor binary, data binary"
 SPANS = "home long, doc binary, text binary, start binary, stop binary"
 CUT = "doc_id long, sha string, n_removed long, n_spans long, kept string"
@@ -137,9 +137,9 @@ def _anchor_rows(shards: int):
         shared = np.repeat(count > 1, count)
         ask = np.zeros(len(h), dtype=bool)
         ask[group] = True
-        # shared here: known; a single place is asked about, also to answer others
+        # shared here: known; a single place is asked about, also to answer others, who may hold no text but that one
         yield from _packed(h[shared], doc[number[shared]], mark[number[shared]], None, shards)
-        yield from _packed(h[ask], doc[number[ask]], mark[number[ask]], h[ask], shards)
+        yield from _packed(h[ask], doc[number[ask]], mark[number[ask]], shared[ask], shards)
 
     def run(batches):
         docs, marks, hashes, held = [], [], [], 0
@@ -158,19 +158,24 @@ def _anchor_rows(shards: int):
     return run
 
 
-def _packed(h, doc, mark, key, shards):
-    """Rows of (shard, texts, anchors); anchors to be counted go by their hash, known ones by their text."""
+def _packed(h, doc, mark, sure, shards):
+    """Rows of (shard, texts, anchors); known anchors (``sure`` is None) go by their text, those to be counted by their hash.
+
+    ``sure`` says of each of the latter whether the sender holds it in two texts.
+    """
     if len(h) == 0:
         return
-    shard = ((h if key is not None else A.mix(mark.view(np.uint64))) % np.uint64(shards)).astype(np.int64)
+    shard = ((h if sure is not None else A.mix(mark.view(np.uint64))) % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((mark, doc, shard))
     h, doc, mark, shard = short(h[order]), doc[order], mark[order], shard[order]
+    flags = np.empty(0, dtype=np.uint8) if sure is None else sure[order].astype(np.uint8)
     cut = [*heads(shard).tolist(), len(h)]
     for low, high in zip(cut, cut[1:]):
         part = slice(low, high)
         first = heads(doc[part], mark[part])
         size = np.diff(np.concatenate((first, [high - low]))).astype(np.int32)
-        values = [int(shard[low]), key is None, *(x.tobytes() for x in (doc[part][first], mark[part][first], size, h[part]))]
+        arrays = (doc[part][first], mark[part][first], size, h[part], flags[part])
+        values = [int(shard[low]), sure is None, *(x.tobytes() for x in arrays)]
         yield _one_row(PACKED, values)
 
 
@@ -197,13 +202,15 @@ def _shared_rows(homes: int):
             doc = np.repeat(_column(part, "doc", np.int64), size)
             mark = np.repeat(_column(part, "text", np.int64), size)
             if not side:
+                sure = h[_column(part, "sure", np.uint8) > 0]
                 order = np.lexsort((doc, mark, h))
                 h, doc, mark = h[order], doc[order], mark[order]
                 one = heads(h, mark)
                 h, doc, mark = h[one], doc[one], mark[one]
                 group = heads(h)
                 count = np.diff(np.concatenate((group, [len(h)])))
-                shared = np.repeat(count > 1, count)
+                # in two of the texts sent, or in two texts of a sender
+                shared = np.repeat((count > 1) | np.isin(h[group], sure), count)
                 h, doc, mark = h[shared], doc[shared], mark[shared]
             out.append((h, doc, mark))
         h, doc, mark = (np.concatenate(x) for x in zip(*out))
@@ -216,9 +223,9 @@ def _shared_rows(homes: int):
             part = slice(low, high)
             first = heads(doc[part], mark[part])
             size = np.diff(np.concatenate((first, [high - low]))).astype(np.int32)
-            values = [int(home[low]), True, *(x.tobytes() for x in (doc[part][first], mark[part][first], size, h[part]))]
+            values = [int(home[low]), True, *(x.tobytes() for x in (doc[part][first], mark[part][first], size, h[part])), b""]
             rows.append(_one_row(PACKED, values))
-        empty = _one_row(PACKED, [0, True, b"", b"", b"", b""]).slice(0, 0)
+        empty = _one_row(PACKED, [0, True, *[b""] * 5]).slice(0, 0)
         return pa.Table.from_batches([*rows, empty])
 
     return run

@@ -70,6 +70,21 @@ def test_hot_passage_is_asked_once(spark):
     assert found(df) == brute(texts)
 
 
+def test_copies_in_two_tasks_beside_a_near_copy(spark):
+    """One task knows that an anchor is shared and asks with the very text that the other task has."""
+    passage = "a passage that stands in both texts and is a good deal longer than the limit of fifty bytes is. "
+    text = "first " * 5 + passage + "own end of the text that is copied."
+    orders = set()
+    for k in range(6):
+        near = f"other {k} " * 5 + passage + f"another end {k} of the near copy."
+        orders.add(R.text_mark(text.encode()) < R.text_mark(near.encode()))
+        for ids in ((5, 9, 7), (7, 5, 9), (9, 7, 5)):
+            one = spark.createDataFrame([(ids[0], text)], "doc_id long, text string").coalesce(1)
+            two = spark.createDataFrame([(ids[1], text), (ids[2], near)], "doc_id long, text string").coalesce(1)
+            assert found(one.union(two)) == brute([(ids[0], text), (ids[1], text), (ids[2], near)])
+    assert orders == {True, False}
+
+
 def test_interval_tree_puts_out_all_maximal_repeats(monkeypatch):
     monkeypatch.setattr(R, "LENGTH", 3)
     r = random.Random(8)
