@@ -12,6 +12,7 @@ from sparkplume.llm.language import held_out
 from sparkplume.session import materialize
 
 QUALITY_LIMIT = 0.7
+NEAR_LIMIT = (80, 100)  # of the stage; op2 has its own
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -24,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, NEAR_LIMIT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ chance) prunes pairs far below the limit, and every remaining link is confirmed
 Whole groups are never paired with themselves. Equal sets are one node from the start. In each band bucket all nodes are
 first compared with one leader; the links found merge components. Only buckets that still hold several components
 compare nodes across those components, in blocks of bounded size. Every pair that shares a bucket is thus either
-compared or already connected. At similarity 0.85 a pair shares no bucket with probability 2e-8.
+compared or already connected. At similarity 0.85 a pair shares no bucket with probability 2e-8, at 0.80 with 3e-6.
+The limit is a parameter: (85, 100) unless the caller gives another.
 
 Defined results: null and empty texts (and texts without words) have an empty set and link with nothing. Rows with a
 null ``doc_id`` keep a row with their count, are linked with nothing and kept, with a null component. Rows that repeat
@@ -30,8 +31,8 @@ SHINGLE = 5
 BUCKETS = 96
 BAND_ROWS = 4
 MANTISSA_BITS = 10
-LIMIT = (85, 100)  # link when LIMIT[1] * intersection >= LIMIT[0] * union
-PRUNE_BELOW = 0.6  # six standard errors of the estimate below the limit
+LIMIT = (85, 100)  # link when limit[1] * intersection >= limit[0] * union
+MARGIN = 0.25  # pairs are pruned this far below the limit: six standard errors of the estimate at 0.8 and above
 BLOCK = 128  # nodes of a bucket that meet in one block
 
 NOT_WORD = np.ones(256, dtype=bool)
@@ -126,54 +127,69 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
 
 
-def _estimate_batches(batches):
-    for batch in batches:
-        n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-        near = estimated(_stack(batch.column("s")), _stack(batch.column("t")), n, m) >= PRUNE_BELOW
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+def prune_below(limit: tuple[int, int]) -> float:
+    """The estimate below which a pair is left out."""
+    return limit[0] / limit[1] - MARGIN
 
 
-def linked(one: np.ndarray, other: np.ndarray) -> bool:
+def _estimate_batches(limit: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
+            near = estimated(_stack(batch.column("s")), _stack(batch.column("t")), n, m) >= prune_below(limit)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def linked(one: np.ndarray, other: np.ndarray, limit: tuple[int, int] = LIMIT) -> bool:
     """The limit, on full sets of distinct hashes."""
     both = len(np.intersect1d(one, other, assume_unique=True))
-    return LIMIT[1] * both >= LIMIT[0] * (len(one) + len(other) - both)
+    return limit[1] * both >= limit[0] * (len(one) + len(other) - both)
 
 
-def _confirm_batches(batches):
-    for batch in batches:
-        both = zip(batch.column("x"), batch.column("y"))
-        keep = [linked(*(np.frombuffer(v.as_py(), dtype=np.uint64) for v in pair)) for pair in both]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"]
-        )
+def _confirm_batches(limit: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            both = zip(batch.column("x"), batch.column("y"))
+            keep = [linked(*(np.frombuffer(v.as_py(), dtype=np.uint64) for v in pair), limit) for pair in both]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"]
+            )
+
+    return run
 
 
-def _block_batches(batches):
+def _block_batches(limit: tuple[int, int]):
     """Links between different components, of one block of a bucket's nodes with itself or another.
 
     A pair is compared in the first band it shares only. Pairs that the registers put far below the limit are left out;
     the full sets of the others are compared here.
     """
-    for batch in batches:
-        for b, i, j, members in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "members"))):
-            ids = np.array([x["id"] for x in members], dtype=np.int64)
-            part = np.array([x["part"] for x in members])
-            comp = np.array([x["component"] for x in members], dtype=np.int64)
-            size = np.array([x["n"] for x in members])
-            sketch = np.frombuffer(b"".join(x["sketch"] for x in members), dtype=np.uint16).reshape(-1, BUCKETS)
-            sets = [np.frombuffer(x["shingles"], dtype=np.uint64) for x in members]
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            found = []
-            for x in left:
-                y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
-                y = y[LIMIT[1] * np.minimum(size[y], size[x]) >= LIMIT[0] * np.maximum(size[y], size[x])]
-                y = y[estimated(sketch[y], sketch[x], size[y], size[x]) >= PRUNE_BELOW]
-                agree = (sketch[y] == sketch[x]).reshape(len(y), BUCKETS // BAND_ROWS, BAND_ROWS).all(axis=2)
-                y = y[agree.argmax(axis=1) == b] if len(y) else y
-                found += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y if linked(sets[x], sets[k])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]
-            )
+
+    def run(batches):
+        for batch in batches:
+            for b, i, j, members in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "members"))):
+                ids = np.array([x["id"] for x in members], dtype=np.int64)
+                part = np.array([x["part"] for x in members])
+                comp = np.array([x["component"] for x in members], dtype=np.int64)
+                size = np.array([x["n"] for x in members])
+                sketch = np.frombuffer(b"".join(x["sketch"] for x in members), dtype=np.uint16).reshape(-1, BUCKETS)
+                sets = [np.frombuffer(x["shingles"], dtype=np.uint64) for x in members]
+                left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+                found = []
+                for x in left:
+                    y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
+                    y = y[limit[1] * np.minimum(size[y], size[x]) >= limit[0] * np.maximum(size[y], size[x])]
+                    y = y[estimated(sketch[y], sketch[x], size[y], size[x]) >= prune_below(limit)]
+                    agree = (sketch[y] == sketch[x]).reshape(len(y), BUCKETS // BAND_ROWS, BAND_ROWS).all(axis=2)
+                    y = y[agree.argmax(axis=1) == b] if len(y) else y
+                    found += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y if linked(sets[x], sets[k], limit)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]
+                )
+
+    return run
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -185,15 +201,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(sets.join(named, "digest").select("id", "shingles"), "sets")
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """Pairs of node ids whose full sets meet the limit."""
     sets = _sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     held = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     held = held.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return held.select("a", "b", "x", "y").mapInArrow(_confirm_batches, "a long, b long")
+    return held.select("a", "b", "x", "y").mapInArrow(_confirm_batches(limit), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: tuple[int, int] = LIMIT) -> DataFrame:
     """``documents`` to (doc_id, n_shingles, component_id, kept)."""
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_sketch_batches, SKETCHES), "sketches")
     usable = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -217,10 +233,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         one = nodes.select(F.col("id").alias("a"), F.col("n"), F.col("sketch").alias("s"))
         other = nodes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
         both = pairs.join(other, "b").join(one, "a")
-        return both.select("a", "b", "n", "m", "s", "t").mapInArrow(_estimate_batches, "a long, b long")
+        return both.select("a", "b", "n", "m", "s", "t").mapInArrow(_estimate_batches(limit), "a long, b long")
 
     led = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_confirmed(docs, nodes, materialize(looks_alike(led), "pairs")), "links")
+    links = materialize(_confirmed(docs, nodes, materialize(looks_alike(led), "pairs"), limit), "links")
 
     # buckets that still hold several components, other than those whose only pair has been tried
     found = components(links)
@@ -239,7 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = meet.groupBy("band", "key", "i", "j").agg(
         F.collect_list(F.struct("id", "part", "component", "n", "sketch", "shingles")).alias("members")
     )
-    more = blocks.select("band", "i", "j", "members").mapInArrow(_block_batches, "a long, b long")
+    more = blocks.select("band", "i", "j", "members").mapInArrow(_block_batches(limit), "a long, b long")
     links = materialize(links.union(more), "links")
 
     found = components(links)
@@ -253,12 +269,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, limit: tuple[int, int] = LIMIT) -> DataFrame:
     """Whole rows of one document of each group, in the given columns; of rows that repeat an id one stays."""
     own = "kept_id"
     while own in docs.columns:
         own += "_"
-    found = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times"))
+    found = near_duplicates(docs, limit).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times"))
     found = materialize(found.withColumnRenamed("doc_id", own), "kept")
     same = docs["doc_id"] == found[own]
     once = docs.join(found.where("times = 1"), same, "left_semi")

@@ -2,6 +2,7 @@
 
 import re
 
+import corpus_pipeline
 import numpy as np
 from fixtures import docs, nothing, prose, rows
 
@@ -72,6 +73,27 @@ def test_deduplicated_keeps_rows_and_columns(spark):
     assert sorted(i for i in ids if i is not None) == sorted(kept) and ids.count(None) == 2
 
 
+def test_pipeline_stage_links_at_four_fifths(spark):
+    """Two separate words of a hundred changed: 86 of 106 shingles in common, above 0.80 and below 0.85."""
+    base = prose(21, 100).split()
+    texts = [(1, " ".join(base))]
+    for k, places in enumerate(((30, 60), (30, 60, 80), (10, 50)), 2):
+        texts.append((k, " ".join(f"edit{k}" if at in places else w for at, w in enumerate(base))))
+    texts += [(9, prose(22, 100))]
+    sets = {i: shingles(t) for i, t in texts}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert 0.8 <= alike[1, 2] < 0.85 and alike[1, 3] < 0.8
+    parent = {i: i for i in sets}
+    for _ in sets:
+        for (a, b), s in alike.items():
+            if s >= 0.8:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert kept == sorted(i for i in sets if parent[i] == i) == [1, 3, 9]
+    assert sorted(r.doc_id for r in M.near_duplicates(df).where("kept").collect()) == [1, 2, 3, 4, 9]  # op2's own limit
+
+
 def test_estimate_is_corrected_for_chance():
     r = np.random.RandomState(1)
     sets = [np.unique(r.randint(0, 1 << 62, 4000).astype(np.uint64)) for _ in range(40)]
