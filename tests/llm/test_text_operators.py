@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -166,6 +167,34 @@ def test_licence_spellings(spark):
     assert licences.scan(nothing(spark), licences.known_licences(spark)).collect() == []
 
 
+def test_licence_lines_without_the_word_and_beside_a_copyright(spark):
+    lines = {
+        "Released under the GPL v3": "GPL-3.0",
+        "Distributed under CC BY 4.0.": "CC-BY-4.0",
+        "Available under CC0 1.0": "CC0-1.0",
+        "Copyright 2020 X. Licensed under the MIT License.": "MIT",
+        "Copyright (c) 2019-2021 J. Smith, all rights reserved. Released under the MIT License": "MIT",
+        "Licensed under the MIT License. © 2020 X": "MIT",
+        "Copyright Someone. All rights reserved.": "",
+        "Copyright 2020 X": "",
+    }
+    df = spark.createDataFrame([(k, f"prose\n{t}\nmore prose") for k, t in enumerate(lines)], "doc_id long, text string")
+    out = {r.doc_id: r.line_licences for r in licences.scan(df, licences.known_licences(spark)).collect()}
+    assert [out[k] for k in range(len(lines))] == list(lines.values())
+
+
+def test_full_licence_texts(spark):
+    mit = dict(licences.TEXTS)["MIT"].split("\n", 1)[1]
+    texts = {1: ("MIT", f"MIT Licence\n\nCopyright (c) 2020 Someone\n\n{mit.replace(chr(10), ' ')}")}
+    for k, (name, file) in enumerate((("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")), 2):
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            texts[k] = (name, path.read_text())
+    df = spark.createDataFrame([(k, t) for k, (_, t) in texts.items()], "doc_id long, text string")
+    out = {r.doc_id: r.licence for r in licences.scan(df, licences.known_licences(spark)).collect()}
+    assert out == {k: n for k, (n, _) in texts.items()}
+
+
 # --- personal data
 
 
