@@ -198,6 +198,17 @@ def test_full_licence_texts(spark):
 # --- personal data
 
 
+def test_examples_of_every_kind_stay_beside_a_text_full_of_numbers(spark):
+    r = random.Random(6)
+    texts = [(k, f"call +49 170 {1000000 + 7919 * k} or mail a{k}@mail.org, words {k}") for k in range(80)]
+    texts += [(100, "; ".join("".join(r.choice("123456789") for _ in range(14)) for _ in range(4000)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = pii.examples(df, 100).collect()
+    assert len(got) == 2000
+    assert sum(e.y == 1 and e.x[0] == pii.KINDS.index("phone") for e in got) == 160
+    assert pii.train(df, 100).limit[pii.KINDS.index("phone")] < 2
+
+
 def slow_base(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
