@@ -4,9 +4,11 @@ Every vector is represented by the order of its nearest pivots. Vectors are exte
 lengths equal, so that the nearest direction is the largest inner product. The PREFIX nearest pivots of each
 vector are posted, with their places, in pivot inverted files, one set of files per block of about BLOCK vectors. A query
 reads the files of its own nearest pivots, adds up the footrule distance of the shortened orders (a pivot absent from an order stands
-at place PREFIX), ranks the block's vectors by it, and reranks the best SHARE of them by the exact inner product in double precision.
+at place PREFIX), ranks the block's vectors by it, and reranks the best SHARE of them, with all that tie with the last of these, by
+the exact inner product in double precision.
 
-The pivots are PIVOTS vectors picked by a hash of their id (a documented bound); every vector is indexed. Queries are the
+Equal vectors are one entry of the index, which carries its k + 1 smallest ids; no query can have more of them among its best k.
+The pivots are PIVOTS distinct vectors picked by a hash of their id (a documented bound); every distinct vector is indexed. Queries are the
 stated set, in blocks of QUERIES rows, and meet each index block in an equi-join of packed blocks; only a block's best k per
 query leave its task. Recall against brute force on the given tables is above 0.97 (tests hold it to 0.9).
 
@@ -31,7 +33,8 @@ QUERIES = 1024
 SHARE = 0.2
 LEAST = 400  # candidates reranked in a block at least
 
-INDEXED = "vec_id long, v binary, pivots binary"
+ASKED = "vec_id long, v binary, pivots binary"
+INDEXED = "ids binary, v binary, pivots binary, vec_id long"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -68,18 +71,18 @@ def _search_batches(k: int):
     def run(batches):
         for batch in batches:
             for x, q in zip(batch.column("x").to_pylist(), batch.column("q").to_pylist()):
-                ids = np.array([r["vec_id"] for r in x])
+                ids = [np.frombuffer(r["ids"], dtype=np.int64) for r in x]
                 v = np.array([np.frombuffer(r["v"], dtype=np.float64) for r in x])
                 order = np.array([np.frombuffer(r["pivots"], dtype=np.int16) for r in x])
-                query, row, score = _search(ids, v, order, q, k)
-                columns = [pa.array(query, pa.int64()), pa.array(ids[row], pa.int64()), pa.array(score, pa.float64())]
+                query, found, score = _search(ids, v, order, q, k)
+                columns = [pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
     return run
 
 
 def _search(ids, v, order, queries, k):
-    """Best k of a block for each query: query ids, rows of the block, scores."""
+    """Best k of a block's entries, spelled out, for each query: query ids, ids found, scores."""
     rows, width = order.shape
     flat = order.ravel()
     post = np.argsort(flat, kind="stable")  # inverted files, pivot after pivot
@@ -96,18 +99,33 @@ def _search(ids, v, order, queries, k):
         for at, pivot in enumerate(near.tolist()):
             low, high = first[pivot], first[pivot + 1]
             gain[member[low:high]] += 2 * (width - np.maximum(place[low:high], at))
-        gain[ids == q["vec_id"]] = -1
-        best = np.argpartition(-gain, wanted - 1)[:wanted] if wanted < rows else np.arange(rows)
-        best = best[gain[best] >= 0]
+        best = np.arange(rows)
+        if wanted < rows:
+            best = np.flatnonzero(gain >= np.partition(gain, rows - wanted)[rows - wanted])
         score = (v[best] * own).sum(axis=1)
-        top = np.lexsort((ids[best], -score))[:k]
+        # every entry but the query's own gives an id at least
+        last = np.partition(score, len(score) - k - 1)[len(score) - k - 1] if len(score) > k else -np.inf
+        best, score = best[score >= last], score[score >= last]
+        score = np.repeat(score, [len(ids[e]) for e in best])
+        id_ = np.concatenate([ids[e] for e in best])
+        id_, score = id_[id_ != q["vec_id"]], score[id_ != q["vec_id"]]
+        top = np.lexsort((id_, -score))[:k]
         query_ids += [q["vec_id"]] * len(top)
-        found.append(best[top])
+        found.append(id_[top])
         scores.append(score[top])
     empty = [np.empty(0, dtype=np.int64)]
     return query_ids, np.concatenate(found + empty).astype(np.int64), np.concatenate(scores + [np.empty(0)])
 
 
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v, ids): distinct vectors with their k + 1 smallest ids, each as often as it has rows (k times at most)."""
+    rows = rows.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    rows = rows.withColumn("at", first).where(F.col("at") <= k + 1)
+    ids = F.flatten(F.collect_list(F.expr("array_repeat(vec_id, times)")))
+    return rows.groupBy("v").agg(F.min("vec_id").alias("vec_id"), ids.alias("ids")).select("vec_id", "v", "ids")
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     rows = materialize(usable(vectors), "vectors")
@@ -118,7 +136,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     rows = rows.where(F.size("v") == length["size"])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = rows.agg(F.max(norm)).first()[0]
-    picked = rows.orderBy(F.xxhash64("vec_id", F.lit(41)), "vec_id", "v").limit(PIVOTS).select("v").toArrow()
+    index = materialize(entries(rows, k), "entries")
+    picked = index.orderBy(F.xxhash64("vec_id", F.lit(41)), "vec_id", "v").limit(PIVOTS).select("v").toArrow()
     pivots = Pivots(np.array(picked["v"].to_pylist(), dtype=np.float64), longest)
     held = spark.sparkContext.broadcast(pivots)  # PIVOTS vectors
 
@@ -129,18 +148,24 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     continue
                 v = np.array(batch.column("v").to_pylist(), dtype=np.float64)
                 order = held.value.order(v, query)
-                columns = [batch.column("vec_id"), *(pa.array([r.tobytes() for r in a], pa.binary()) for a in (v, order))]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "pivots"])
+                v_, pivots_ = (pa.array([r.tobytes() for r in a], pa.binary()) for a in (v, order))
+                if query:
+                    columns = {"vec_id": batch.column("vec_id"), "v": v_, "pivots": pivots_}
+                else:
+                    ids = [np.array(x, dtype=np.int64).tobytes() for x in batch.column("ids").to_pylist()]
+                    columns = {"ids": pa.array(ids, pa.binary()), "v": v_, "pivots": pivots_, "vec_id": batch.column("vec_id")}
+                yield pa.RecordBatch.from_pydict(columns)
 
         return run
 
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = -(-length["count"] // BLOCK)
+    blocks = -(-index.count() // BLOCK)
     sets = -(-asked.count() // QUERIES)
+    index = index.mapInArrow(represent(False), INDEXED)
+    index = index.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("b"))
+    index = index.agg(F.collect_list(F.struct("ids", "v", "pivots")).alias("x"))
+    ask = asked.mapInArrow(represent(True), ASKED)
     packed = F.collect_list(F.struct("vec_id", "v", "pivots"))
-    index = rows.mapInArrow(represent(False), INDEXED)
-    index = index.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("b")).agg(packed.alias("x"))
-    ask = asked.mapInArrow(represent(True), INDEXED)
     ask = ask.groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(sets, 1))).alias("s")).agg(packed.alias("q"))
     ask = ask.select("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("b"))
     found = index.join(ask, "b").select("x", "q").mapInArrow(_search_batches(k), FOUND)

@@ -38,6 +38,25 @@ def test_recall_and_scores(spark, monkeypatch):
     assert hit >= 0.9
 
 
+def test_recall_with_a_third_of_equal_vectors(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 3000)
+    monkeypatch.setattr(P, "QUERIES", 100)
+    r = np.random.RandomState(5)
+    v = r.normal(size=(6, 16))[r.randint(0, 6, 6000)] + r.normal(size=(6000, 16))
+    same = r.rand(6000) < 1 / 3
+    v[same] = v[0]
+    ids = np.arange(6000)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    df = df.repartition(6)
+    found = P.nearest(df).toPandas().groupby("query_id").vec_id.apply(set)
+    want = brute(ids, v)
+    hit = {q: len(found[q] & set(w)) / 20 for q, w in want.items()}
+    assert np.mean(list(hit.values())) >= 0.9 and np.mean([hit[q] for q in hit if same[q]]) >= 0.9
+    entries = P.entries(P.usable(df), 20)
+    assert entries.count() == len(np.unique(v, axis=0))  # so are the pivots
+    assert max(len(x.ids) for x in entries.collect()) == 21
+
+
 def test_table_recall(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = table.toPandas()
