@@ -101,8 +101,11 @@ def heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], new)))[: len(keys[0])]
 
 
-def text_anchors(batch: pa.RecordBatch):
-    """For each text of a slice: id, mark, and per run of windows with one anchor its first window and that gram's hash."""
+def text_anchors(batch: pa.RecordBatch, copies: bool = False):
+    """For each text of a slice: id, mark, and per run of windows with one anchor its first window and that gram's hash.
+
+    ``copies``: equal texts of different ids are different texts.
+    """
     data, ends = A.texts(batch.column("text"))
     raw = data.tobytes()
     h = gram_hashes(data)
@@ -116,13 +119,14 @@ def text_anchors(batch: pa.RecordBatch):
         windows = np.diff(np.concatenate((first, [len(anchor)])))
         parts = -(-windows // REACH)
         first = np.repeat(first, parts) + REACH * A.runs(np.zeros(len(parts), dtype=np.int64), parts)
-        yield doc, text_mark(raw[low:high]), raw[low:high], first, len(anchor), anchor[first]
+        mark = text_mark(raw[low:high] + (doc.to_bytes(8, "little", signed=True) if copies else b""))
+        yield doc, mark, raw[low:high], first, len(anchor), anchor[first]
 
 
 # --- anchors
 
 
-def _anchor_rows(shards: int):
+def _anchor_rows(shards: int, copies: bool = False):
     def flush(docs, marks, hashes):
         size = np.array([len(x) for x in hashes])
         number = np.repeat(np.arange(len(docs)), size)
@@ -144,7 +148,7 @@ def _anchor_rows(shards: int):
     def run(batches):
         docs, marks, hashes, held = [], [], [], 0
         for batch in A.slices(batches):
-            for doc, mark, _, _, _, h in text_anchors(batch):
+            for doc, mark, _, _, _, h in text_anchors(batch, copies):
                 docs.append(doc)
                 marks.append(mark)
                 hashes.append(np.unique(h))
@@ -234,8 +238,8 @@ def _shared_rows(homes: int):
 # --- pieces
 
 
-def _piece_rows(shards: int):
-    """Pieces of the shared anchors of a home's documents, to the shards of the anchors."""
+def _piece_rows(shards: int, copies: bool = False):
+    """Pieces of the shared anchors of a home's documents, to the shards of the anchors; all places of them with ``copies``."""
 
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
         size = _column(shared, "size", np.int32)
@@ -248,7 +252,7 @@ def _piece_rows(shards: int):
         places: dict[bytes, list] = {}
         done: set[tuple[int, int]] = set()
         for batch in A.slices(texts.to_batches()):
-            for doc, mark, raw, first, windows, anchor in text_anchors(batch):
+            for doc, mark, raw, first, windows, anchor in text_anchors(batch, copies):
                 own = wanted.get((doc, mark))
                 if own is None or (doc, mark) in done:
                     continue
@@ -260,6 +264,9 @@ def _piece_rows(shards: int):
         todo, over = [], []
         for piece, found in places.items():
             found.sort()
+            if copies:
+                todo += [(x[3] % shards, *x, piece) for x in found]
+                continue
             todo += [(x[3] % shards, *x, piece) for x in found if x[0] == found[0][0]]
             # the same string in a smaller document of this home: removed, and no news to others
             over += [(m % shards, d, m, s, 0, len(piece)) for d, m, s, _ in found if d > found[0][0]]
@@ -510,15 +517,15 @@ def _layout(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     return rows, texts, int(shards), int(homes)
 
 
-def _meeting(texts: DataFrame, shards: int, homes: int) -> DataFrame:
+def _meeting(texts: DataFrame, shards: int, homes: int, copies: bool = False) -> DataFrame:
     """Pieces of all shared anchors, by shard (written)."""
-    anchors = texts.mapInArrow(_anchor_rows(shards), PACKED)
+    anchors = texts.mapInArrow(_anchor_rows(shards, copies), PACKED)
     shared = materialize(anchors.groupBy("shard").applyInArrow(_shared_rows(homes), PACKED), "shared")
     del anchors
     _release(texts)
     homed = texts.withColumn("home", F.pmod("doc_id", F.lit(homes)))
     pieces = homed.groupBy("home").cogroup(shared.withColumnRenamed("shard", "home").groupBy("home"))
-    return pieces.applyInArrow(_piece_rows(shards), PIECES)
+    return pieces.applyInArrow(_piece_rows(shards, copies), PIECES)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -555,12 +562,15 @@ def _group_rows(table: pa.Table) -> pa.Table:
     held: dict[bytes, list] = {}
     for k, (i, j) in enumerate(zip(limit, limit[1:])):
         held.setdefault(raw[i:j], []).append((int(doc[k]), int(start[k])))
-    found = [(len(p), sorted(places)) for p, places in held.items() if len(places) > 1]
-    tree, length, low, high = repeat_groups(list(held))
-    every = list(held.values())
+    groups = {p: set(places) for p, places in held.items() if len(places) > 1}
+    pieces, every = list(held), list(held.values())
+    tree, length, low, high = repeat_groups(pieces)
     for n, i, j in zip(length.tolist(), low.tolist(), high.tolist()):
-        places = {(d, s + int(tree.offset[k])) for k in range(i, j) for d, s in every[tree.piece[k]]}
-        found.append((n, sorted(places)))
+        at = int(tree.offset[i])
+        # a whole piece that stands in longer ones too is one group
+        group = groups.setdefault(pieces[tree.piece[i]][at : at + n], set())
+        group |= {(d, s + int(tree.offset[k])) for k in range(i, j) for d, s in every[tree.piece[k]]}
+    found = [(len(p), sorted(places)) for p, places in groups.items()]
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32())]))
     places = pa.array([[{"doc_id": d, "start": s} for d, s in p] for _, p in found], kind)
     return pa.table({"repeat_length": pa.array([n for n, _ in found], pa.int32()), "places": places})
@@ -569,7 +579,7 @@ def _group_rows(table: pa.Table) -> pa.Table:
 def maximal_repeats(docs: DataFrame) -> DataFrame:
     """(repeat_length, places): maximal repeats of at least LENGTH bytes inside pieces, with all their places.
 
-    A place stands for all equal pieces of its home, under the smallest id.
+    Equal pieces and exact copies of a text are places like others, so all places of a hot passage meet in its shard.
     """
     _, texts, shards, homes = _layout(docs)
-    return _meeting(texts, shards, homes).groupBy("shard").applyInArrow(_group_rows, GROUPS)
+    return _meeting(texts, shards, homes, copies=True).groupBy("shard").applyInArrow(_group_rows, GROUPS)

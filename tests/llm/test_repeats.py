@@ -115,3 +115,21 @@ def test_groups_name_all_places(spark):
     texts = [(k, f"{k} " * 20 + "the same sixty bytes that stand in every one of these documents here" + f" {k}" * 20) for k in range(5)]
     out = R.maximal_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert max(len({p.doc_id for p in r.places}) for r in out) == 5
+
+
+def test_groups_hold_long_passages_and_exact_copies(spark):
+    """Pieces inside a long passage are equal in all documents, and every piece of a text is equal in its copies."""
+    r = random.Random(12)
+    passage, text = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (600, 400))
+    texts = [(k, f"{k} " * 20 + passage + f" {k}" * 20) for k in range(6)] + [(k, text) for k in (20, 21, 22)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    out = R.maximal_repeats(df).collect()
+    for string, ids in ((passage, range(6)), (text, (20, 21, 22))):
+        covered = set()
+        for row in out:
+            places = {(p.doc_id, p.start) for p in row.places}
+            if {d for d, _ in places} == set(ids):
+                first = min(places)
+                at = first[1] - dict(texts)[first[0]].index(string)
+                covered |= set(range(at, at + row.repeat_length - R.LENGTH + 1))
+        assert set(range(len(string) - R.LENGTH + 1)) <= covered
