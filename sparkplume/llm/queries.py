@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkplume.llm import bpe, licences
+from sparkplume.llm import bpe, collocations, licences, runs
 from sparkplume.llm.decontaminate import contamination
 from sparkplume.llm.language import predict_languages
 from sparkplume.llm.minhash import near_duplicates
@@ -15,6 +15,7 @@ from sparkplume.llm.permutation import nearest
 from sparkplume.llm.pii import personal_data
 from sparkplume.llm.quality import quality
 from sparkplume.llm.repeats import remove_repeats
+from sparkplume.llm.simhash import simhash_duplicates
 from sparkplume.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,21 @@ def op9_bpe_forced_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_suffix_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op11_son_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLE["op11_son_collocations"] = collocations.collocations_sql()
+
+
+@query
+def op12_dyadic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.looped(table(spark, sf, "documents"))))
+
+
+@query
+def op13_anchor_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf, "documents"))
