@@ -29,7 +29,7 @@ from sparkplume.session import materialize
 LONGEST = 4
 MIN_COUNT = 30
 TOP = 2000
-SHARDS = 6
+SHARDS = 4
 TABLE_BITS = 26
 RANGE_BYTES = 8 << 20  # text whose phrases make one range of hashes
 HOLD_WORDS = 2_000_000  # words whose phrases a task adds up before it sends them
@@ -159,57 +159,67 @@ def _frequent_somewhere(texts: DataFrame, lengths: tuple[int, ...], table, range
     return out
 
 
-def _count_batches(table):
-    """Counts of a task's candidates under their strings; the words of a language under ``words`` = 0."""
+class Candidates:
+    """What the count needs of a slice: its bytes, its words' places, and per length the phrases that may be frequent."""
 
-    def send(held: list[Phrases]):
+    def __init__(self, batch: pa.RecordBatch, table: np.ndarray):
+        p = Phrases(batch)
+        self.raw, self.lang = p.data.tobytes(), p.lang
+        self.start, self.end = p.words.start.astype(np.int32), p.words.end.astype(np.int32)
+        self.doc, self.size = p.words.doc.astype(np.int32), np.diff(p.words.first)
+        # a phrase with a rare phrase inside is rare itself
+        good, self.of = np.ones(len(p.hash) + 1, dtype=bool), []
         for n in range(1, LONGEST + 1):
-            seen, of, at, h = [], [], [], []
-            for k, p in enumerate(held):
-                place, value = p.of(n)
-                keep = in_table(table.value, value)
-                at.append(place[keep])
-                h.append(value[keep])
-                of.append(np.full(len(at[-1]), k))
-            at, h, of = np.concatenate(at), np.concatenate(h), np.concatenate(of)
-            _, seen, count = np.unique(h, return_index=True, return_counts=True)
-            names, langs = [], []
-            for k, i in zip(of[seen].tolist(), at[seen].tolist()):
-                p = held[k]
-                raw, start, end = p.raw, p.words.start, p.words.end
-                names.append(b" ".join([raw[start[j] : end[j]] for j in range(i, i + n)]))
-                langs.append(p.lang[p.words.doc[i]])
-            yield langs, names, n, count
-        total: dict[str, int] = {}
-        for p in held:
-            for lang, c in zip(p.lang, np.diff(p.words.first).tolist()):
-                total[lang] = total.get(lang, 0) + c
-        yield list(total), [b""] * len(total), 0, np.array(list(total.values()), dtype=np.int64)
-
-    def batches_of(held: list[Phrases]):
-        for p in held:
-            p.raw = p.data.tobytes()
-        for langs, names, n, count in send(held):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(langs, pa.string()),
-                    pa.array(names, pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(names), n), pa.int32()),
-                    pa.array(count, pa.int64()),
-                ],
-                ["lang", "phrase", "words", "f"],
-            )
+            at, h = p.of(n)
+            keep = in_table(table, h) & good[at] & good[at + (n > 1)]
+            at, h = at[keep], h[keep]
+            self.of.append((at.astype(np.int32), h))
+            good = np.zeros(len(good), dtype=bool)
+            good[at] = True
+
+    def name(self, at: int, n: int) -> bytes:
+        return b" ".join([self.raw[self.start[j] : self.end[j]] for j in range(at, at + n)])
+
+
+def _counted(held: list[Candidates]):
+    """Counts under strings, of all that is held."""
+
+    def batch(langs, names, n, count):
+        names = pa.array(names, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), names, pa.array(np.full(len(names), n), pa.int32()), pa.array(count, pa.int64())],
+            ["lang", "phrase", "words", "f"],
+        )
+
+    for n in range(1, LONGEST + 1):
+        at, h = (np.concatenate([c.of[n - 1][k] for c in held]) for k in (0, 1))
+        part = np.repeat(np.arange(len(held)), [len(c.of[n - 1][0]) for c in held])
+        _, seen, count = np.unique(h, return_index=True, return_counts=True)
+        for low in range(0, len(seen), 1 << 16):
+            some = seen[low : low + (1 << 16)]
+            places = list(zip(part[some].tolist(), at[some].tolist()))
+            langs = [held[k].lang[held[k].doc[i]] for k, i in places]
+            yield batch(langs, [held[k].name(i, n) for k, i in places], n, count[low : low + (1 << 16)])
+    total: dict[str, int] = {}
+    for c in held:
+        for lang, size in zip(c.lang, c.size.tolist()):
+            total[lang] = total.get(lang, 0) + size
+    yield batch(list(total), [b""] * len(total), 0, np.array(list(total.values()), dtype=np.int64))
+
+
+def _count_batches(table):
+    """Counts of a task's candidates under their strings; the words of a language under ``words`` = 0."""
 
     def run(batches):
         held, size = [], 0
         for batch in A.slices(batches):
-            held.append(Phrases(batch))
-            size += len(held[-1].hash)
+            held.append(Candidates(batch, table.value))
+            size += len(held[-1].start)
             if size > HOLD_WORDS:
-                yield from batches_of(held)
+                yield from _counted(held)
                 held, size = [], 0
         if held:
-            yield from batches_of(held)
+            yield from _counted(held)
 
     return run
 
