@@ -6,9 +6,11 @@ and phrases put into one, punctuation and runs of space reduced to single blanks
 in a hash join. Besides the whole text, each of its lines is looked up as a text of its own, since notices usually stand
 as one line of a document.
 
-Everything is column expressions. The known licences are a table given by the caller (KNOWN by default); only digests and
-ids are joined or shuffled, never texts. Every line is looked up. The SQL below states an older, narrower rule: it drops whole lines
-that hold a copyright mark, looks up lines with the word licence only, and knows the notices but not the full texts.
+Everything is column expressions. The known licences are a table given by the caller (KNOWN and full texts by default);
+only digests and ids are joined or shuffled, never texts. Every line is looked up that can match: a known form holds a
+word that no spelling rule makes up, or the stem ``licens``, which comes from ``licen`` or from a phrase with ``under``. A
+line that holds none of these words in any way is passed over before it is brought to its form. A text known by its digest
+alone must hold the stem. The SQL below states the same rule and brings every line to its form.
 
 Defined results: null and empty texts, and texts that are empty in canonical form, match nothing. A known text that is
 null or empty in canonical form is never matched; known texts of equal form share their hits, smallest name first. Every
@@ -55,24 +57,32 @@ SPELLINGS = (
     ("(^| )the ", "$1"),
 )
 # a statement of copyright, not the word in a licence's own sentences; it ends where a licence phrase begins, or with its line
-STATEMENT = (
-    r"(copyright *(\(c\)|©|by |[0-9]{4}|\[|<)|(\(c\) *[0-9]{4}|©)"
-    r"|^[^a-z0-9]*copyright( *$| (?!licen|notice|holder|owner|law|statement|interest|disclaim|(act|or|and|to|in|is|of|on|for|the)\b)))"
-    r".*?(?=\b(((this|the) (work|software|program|file|code) is )?(licen[cs]ed|released|distributed|available|provided) under"
-    r"|permission is|redistribution and use)\b|all rights reserved|$)"
+MARK = r"copyright *(?:\(c\)|©|by |[0-9]{4}|\[|<)|(?:\(c\) *[0-9]{4}|©)"
+HEAD = r"^[^a-z0-9]*copyright(?: *\z| )"  # the word at the head of a line, unless it goes on like a sentence
+SENTENCE = r"^[^a-z0-9]*copyright (?:licen|notice|holder|owner|law|statement|interest|disclaim|(?:act|or|and|to|in|is|of|on|for|the)\b)"
+PHRASE = (
+    r"\b(?:(?:(?:this|the) (?:work|software|program|file|code) is )?(?:licen[cs]ed|released|distributed|available|provided) under"
+    r"|permission is|redistribution and use)\b|all rights reserved|\z"
 )
-RESERVED = r"all rights reserved"
-COPYRIGHT = r"copyright|\(c\)|©|all rights reserved"
+RESERVED = "all rights reserved"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-NOTICE = "licen"  # with COPYRIGHT, the rule of the SQL
+STEM = "licens"
+STEM_FROM = ("licen", "under")  # what a line holds whose form holds the stem
+MOST_WORDS = 64  # beyond so many different words in known texts every line is brought to its form
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; empty for null."""
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
-    stated = lambda line: line.contains("copyright") | line.contains("(c)") | line.contains("©")
-    cut = lambda line: F.when(stated(line), F.regexp_replace(line, STATEMENT, " ")).otherwise(line)
-    out = F.array_join(F.transform(lines, lambda line: F.regexp_replace(cut(line), RESERVED, " ")), " ")
+
+    def cut(line: Column) -> Column:
+        stated = line.contains("copyright") | line.contains("(c)") | line.contains("©")
+        head = line.rlike(HEAD) & ~line.rlike(SENTENCE)
+        plain, headed = (F.regexp_replace(line, f"(?s)(?:{x}).*?({PHRASE})", " $1") for x in (MARK, f"{MARK}|{HEAD}"))
+        out = F.when(stated, F.when(head, headed).otherwise(plain)).otherwise(line)
+        return F.replace(out, F.lit(RESERVED), F.lit(" "))
+
+    out = F.array_join(F.transform(lines, cut), " ")
     out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, replacement)
@@ -80,12 +90,15 @@ def canonical(text: Column) -> Column:
 
 
 def known_licences(spark: SparkSession, known=KNOWN + TEXTS, digests=DIGESTS) -> DataFrame:
-    """(digest, licence) of the known texts, and of those given by their digest."""
+    """(digest, licence, words) of the known texts, and of those given by their digest; a line that matches holds one of ``words``."""
     rows = spark.createDataFrame([(n, t) for n, t in known], "licence string, text string")
     rows = rows.select("licence", canonical(F.col("text")).alias("form")).where("form <> ''")
-    rows = rows.select(F.sha2("form", 256).alias("digest"), "licence")
-    rows = rows.union(spark.createDataFrame([(d, n) for n, d in digests], "digest string, licence string"))
-    return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
+    stem = F.array(*[F.lit(w) for w in STEM_FROM])
+    # a word of five letters or more is made up by no rule; the empty one is in every line
+    words = F.when(F.col("form").contains(STEM), stem).otherwise(F.array(F.regexp_extract("form", "[a-z]{5,}", 0)))
+    rows = rows.select(F.sha2("form", 256).alias("digest"), "licence", words.alias("words"))
+    rows = rows.union(spark.createDataFrame([(d, n) for n, d in digests], "digest string, licence string").select("*", stem))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.flatten(F.collect_set("words")).alias("words"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -95,7 +108,11 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``line_licences`` the licences of the lines, sorted and joined by commas (empty if none).
     """
     rows = docs.select("doc_id", "text")
+    words = sorted(r[0] for r in known.select(F.explode("words")).distinct().limit(MOST_WORDS + 1).collect())
+    known = known.select("digest", "licence")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    if len(words) <= MOST_WORDS and "" not in words:
+        lines = F.filter(lines, lambda line: F.lower(line).rlike("|".join(words)) if words else F.lit(False))
     notices = rows.select("doc_id", F.explode(lines).alias("line")).withColumn("form", canonical(F.col("line")))
     notices = notices.where("form <> ''").select("doc_id", F.sha2("form", 256).alias("digest")).join(known, "digest")
     # one short list per document: at most every known licence once
@@ -107,25 +124,30 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("doc_id", "digest", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"))
 
 
-def scan_sql(known=KNOWN) -> str:
-    """The scan of ``documents`` by the narrower rule in the SQL of DuckDB; equal where no line tells the rules apart."""
+def scan_sql(known=KNOWN + TEXTS, digests=DIGESTS) -> str:
+    """The scan of ``documents`` in the SQL of DuckDB; every line is brought to its form."""
 
     def form(text: str) -> str:
-        out = (
-            f"array_to_string(list_filter(string_split(lower(coalesce({text}, '')), chr(10)), "
-            f"lambda l: NOT regexp_matches(l, '{COPYRIGHT}')), ' ')"
+        plain, headed = (
+            f"regexp_replace(l, '(?s)(?:{x}).*?({PHRASE})', ' \\1', 'g')" for x in (MARK, f"{MARK}|{HEAD}")
         )
-        out = f"trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g'))"
+        cut = f"""CASE WHEN NOT regexp_matches(l, 'copyright|\\(c\\)|©') THEN l
+            WHEN regexp_matches(l, '{HEAD}') AND NOT regexp_matches(l, '{SENTENCE}') THEN {headed} ELSE {plain} END"""
+        out = f"list_transform(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: replace({cut}, '{RESERVED}', ' '))"
+        out = f"trim(regexp_replace(array_to_string({out}, ' '), '{NOT_WORD}', ' ', 'g'))"
         for pattern, replacement in SPELLINGS:
             own = replacement.replace("$", "\\")
             out = f"regexp_replace({out}, '{pattern}', '{own}', 'g')"
         return f"trim({out})"
 
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in known)
+    given = ", ".join(f"('{d}', '{n}')" for n, d in digests)
     return f"""
         WITH known AS (
-            SELECT sha256(form) AS digest, min(licence) AS licence
-            FROM (SELECT licence, {form('text')} AS form FROM (VALUES {values}) AS k(licence, text)) WHERE form <> '' GROUP BY 1
+            SELECT digest, min(licence) AS licence FROM (
+                SELECT sha256(form) AS digest, licence
+                FROM (SELECT licence, {form('text')} AS form FROM (VALUES {values}) AS k(licence, text)) WHERE form <> ''
+                UNION ALL SELECT * FROM (VALUES {given}) AS g(digest, licence)) GROUP BY 1
         ), whole AS (
             SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest
             FROM (SELECT doc_id, {form('text')} AS form FROM documents)
@@ -133,7 +155,6 @@ def scan_sql(known=KNOWN) -> str:
             SELECT doc_id, sha256(form) AS digest FROM (
                 SELECT doc_id, {form('line')} AS form
                 FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
-                WHERE contains(lower(line), '{NOTICE}')
             ) WHERE form <> ''
         ), found AS (
             SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences

@@ -5,10 +5,12 @@ import random
 import re
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from compare import differences
 from fixtures import docs, nothing, prose, rows
 from tokenizers import Tokenizer
 
@@ -195,6 +197,31 @@ def test_full_licence_texts(spark):
     assert out == {k: n for k, (n, _) in texts.items()}
 
 
+def test_licence_sql_states_the_same_rule(spark):
+    """Rows that a narrower rule would miss, and statements of copyright of all kinds."""
+    mit = dict(licences.TEXTS)["MIT"]
+    texts = [
+        "Copyright 2020 X. Licensed under the MIT License.", "Distributed under CC BY 4.0", mit, mit.replace("\n", " "),
+        "Copyright the holders of it\nReleased under the GPL v3", "copyright notice: available under CC0 1.0", "© 2020 Licensed under CC BY-SA 4.0",
+        "-- Copyright\nCopyright Jane Doe\ncopyright (c) 1999 by all, all rights reserved. Provided under the BSD 2-Clause Licence",
+        "Copyright 2020 a\rb Licensed under the MIT License\rmore", "understand the MIT\tLicense; Licensed\tunder  the MIT License!", None, "", "(c)",
+        "Copyright 2001 A. Copyright 2002 B. This work is licensed under the Apache License, version 2 Copyright 2003 C",
+    ]
+    frame = spark.createDataFrame([(k if k % 4 else None, t) for k, t in enumerate(texts)] + [(1, texts[2])], "doc_id long, text string")
+    con = duckdb.connect()
+    given = pa.table({"doc_id": [r[0] for r in frame.collect()], "text": pa.array([r[1] for r in frame.collect()], pa.string())})  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT * FROM given")
+    assert differences(licences.scan(frame, licences.known_licences(spark)), con, licences.scan_sql()) == []
+
+
+def test_licence_words_pass_every_line_that_matches(spark):
+    """Known texts without the stem are found by a word of theirs, and any text by the empty word."""
+    known = licences.known_licences(spark, (("A", "Permission to use is yours"), ("B", "do it"), ("C", "zero licences")), ())
+    frame = spark.createDataFrame([(1, "x\npermission, to use is yours"), (2, "x\nDo it!\ny"), (3, "y\nzero licenses")], "doc_id long, text string")
+    assert {r.doc_id: r.line_licences for r in licences.scan(frame, known).collect()} == {1: "A", 2: "B", 3: "C"}
+    assert set(known.where("licence = 'B'").first().words) == {""}
+
+
 # --- personal data
 
 
