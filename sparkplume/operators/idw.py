@@ -65,7 +65,7 @@ def idw_variable(neighbors: DataFrame, runs: Sequence[Row]) -> DataFrame:
 
 
 def idw_fixed(
-    points: DataFrame, neighbors: DataFrame, runs: Sequence[Row], grid: Grid, cells: DataFrame | None = None
+    points: DataFrame, neighbors: DataFrame, runs: Sequence[Row], grid: Grid, cells: DataFrame | None = None, by: str | None = None
 ) -> DataFrame:
     """All points within ``distance``; where they are fewer than ``f_pts``, the nearest ``f_pts``.
 
@@ -75,7 +75,7 @@ def idw_fixed(
     powers = sorted({r["power"] for r in runs})
     radii = sorted({r["distance"] for r in runs})
     counts = sorted({int(r["f_pts"]) for r in runs})
-    pairs = radius_rows(points, radii[-1], grid, cells)
+    pairs = radius_rows(points, radii[-1], grid, cells, by)
     wide = _band_sums(pairs, _band(F.col("d"), radii), len(radii), powers, "wide_")
     values = {}
     for r in runs:
@@ -85,36 +85,42 @@ def idw_fixed(
     return _per_run(_near_sums(neighbors, counts, powers).join(wide, "target_id", "left"), values)
 
 
-def idw_sweep(points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFrame | None = None) -> DataFrame:
+def idw_sweep(
+    points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFrame | None = None, by: str | None = None
+) -> DataFrame:
     """Raster rows ``run_id, cell_id, row, col, value`` of all runs.
 
     ``cells`` restricts the work to some cells (a mask, or the cells an evaluation reads). The
-    neighbours are searched once for the largest setting and written, then serve all runs.
+    neighbours are searched once for the largest setting and written, then serve all runs. ``by`` numbers groups
+    of points and cells: every group has rasters of its own, named by that column, in the same job.
     """
-    points = materialize(points.select("system_id", "x", "y", "z"), "train")
+    points = materialize(points.select("system_id", "x", "y", "z", *([] if by is None else [by])), "train")
     cells = cells if cells is not None else make_grid(points.sparkSession, grid)
     if not runs:
         raise ValueError("no runs")
     variable = [r for r in runs if r["type"] == "variable"]
     fixed = [r for r in runs if r["type"] == "fixed"]
     k = max([int(r["num_points"]) for r in variable] + [int(r["f_pts"]) for r in fixed])
-    neighbors = materialize(knn(grid_targets(cells), points, k), "neighbors")
+    neighbors = materialize(knn(grid_targets(cells, grid, by), points, k, by=by), "neighbors")
     parts = []
     if variable:
         parts.append(idw_variable(neighbors, variable))
     if fixed:
-        parts.append(idw_fixed(points, neighbors, fixed, grid, cells))
+        parts.append(idw_fixed(points, neighbors, fixed, grid, cells, by))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return raster_rows(out, grid)
+    return raster_rows(out, grid, by)
 
 
-def raster_rows(values: DataFrame, grid: Grid) -> DataFrame:
-    """Name the target of a grid prediction by its cell."""
+def raster_rows(values: DataFrame, grid: Grid, by: str | None = None) -> DataFrame:
+    """Name the target of a grid prediction by its cell, and its group if there are groups."""
     rest = [c for c in values.columns if c not in ("run_id", "target_id")]
+    group = [] if by is None else [F.expr(f"target_id div {grid.size}").alias(by)]
+    cell = "target_id" if by is None else f"target_id % {grid.size}"
     return values.select(
+        *group,
         "run_id",
-        F.col("target_id").alias("cell_id"),
-        F.expr(f"target_id div {grid.cols}").alias("row"),
-        F.expr(f"target_id % {grid.cols}").alias("col"),
+        F.expr(cell).alias("cell_id"),
+        F.expr(f"({cell}) div {grid.cols}").alias("row"),
+        F.expr(f"({cell}) % {grid.cols}").alias("col"),
         *rest,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkplume.operators.neighbors import grid_targets, knn
-from sparkplume.operators.spatial import Grid, clip_points, convex_hull, disc_cells, make_grid, polygon_edges
+from sparkplume.operators.spatial import Grid, clip_points, convex_hull, disc_cells, make_grid, polygon_edges, usable
 from sparkplume.session import materialize
 
 
@@ -23,7 +23,7 @@ def natural_neighbor(
     if oversample % 2 == 0:
         raise ValueError("oversample must be odd")
     spark = points.sparkSession
-    points = materialize(points.select("system_id", "x", "y", "z"), "sites")
+    points = materialize(usable(points), "sites")  # a place without a value is no site and bounds no hull
     fine = grid_targets(make_grid(spark, grid.refined(oversample)))
     nearest = knn(fine, points, 1).select(
         "tx", "ty", F.get("neighbors", 0)["d"].alias("d"), F.get("neighbors", 0)["z"].alias("z")

@@ -17,43 +17,52 @@ from sparkplume.operators.spatial import Grid, disc_cells, make_grid, usable
 from sparkplume.operators.tiles import BOX, build_tiles, literal
 from sparkplume.session import materialize
 
-def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None) -> DataFrame:
+def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None, by: str | None = None) -> DataFrame:
     """The k nearest points of each target, ordered by distance, then by id.
 
     ``targets(target_id, tx, ty)`` with unique ids, ``points(system_id, x, y, z)``. Result:
     ``target_id, tx, ty, neighbors array<struct<d, id, x, y, z>>``. A target gets fewer than k entries
-    only when there are fewer than k points, and none when it has no location.
+    only when there are fewer than k points, and none when it has no location. With ``by``, a column of both sides,
+    a target meets the points of its own group only; all groups share one search.
     """
     leaf = leaf or max(32, k // 2)
     # At one place at most k points can be among the k nearest: those with the smallest ids. The rank
     # limit is applied before the exchange too, so copies of one place do not travel.
-    place = Window.partitionBy("x", "y").orderBy("system_id")
+    group = [] if by is None else [by]
+    place = Window.partitionBy(*group, "x", "y").orderBy("system_id")
     points = materialize(
-        usable(points)
+        usable(points, *group)
         .withColumn("_rn", F.row_number().over(place))
         .where(F.col("_rn") <= k)
         .drop("_rn"),
         "points",
     )
-    targets = targets.select("target_id", "tx", "ty")
-    tiles = build_tiles(points, leaf)
+    targets = targets.select("target_id", "tx", "ty", *group)
+    tiles = build_tiles(points, leaf, by=by)
     entry = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", points.schema["system_id"].dataType)])
     for c in ("x", "y", "z"):
         entry = entry.add(c, T.DoubleType())
     none = F.array().cast(T.ArrayType(entry))
     if tiles is None:
-        return targets.withColumn("neighbors", none)
+        return targets.drop(*group).withColumn("neighbors", none)
     located = "tx IS NOT NULL AND ty IS NOT NULL AND NOT isnan(tx) AND NOT isnan(ty)"
-    lost = targets.where(f"NOT ({located})").withColumn("neighbors", none)
+    lost = targets.where(f"NOT ({located})").drop(*group).withColumn("neighbors", none)
     targets = targets.where(located)
 
     cols = ("tile", "n", *BOX)
-    top = tiles.table.where("level = 1").select(*cols).collect()  # at most 16 rows
-    every_top = ", ".join(
-        f"named_struct('tile', {literal(r.tile)}, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in BOX) + ")"
-        for r in top
-    )
-    reach = _within_bound(targets.selectExpr("*", f"inline(array({every_top}))"), k)
+    top = tiles.table.where("level = 1").select(*cols)
+    if by is None:
+        every_top = ", ".join(
+            f"named_struct('tile', {literal(r.tile)}, 'n', {r.n}L, " + ", ".join(f"'{c}', {r[c]!r}D" for c in BOX) + ")"
+            for r in top.collect()  # at most 16 rows
+        )
+        opened = targets.selectExpr("*", f"inline(array({every_top}))")
+    else:
+        top = top.withColumn(by, F.col("tile.g"))
+        opened = targets.join(top, by).drop(by)
+        alone = targets.join(top.select(by).distinct(), by, "left_anti")  # groups without points, and no group
+        lost = lost.union(alone.select("target_id", "tx", "ty").withColumn("neighbors", none))
+    reach = _within_bound(opened, k)
     inner = tiles.inner()
     for level in range(2, tiles.last + 1):
         below = (
@@ -113,14 +122,25 @@ def neighbor_rows(neighbors: DataFrame) -> DataFrame:
     )
 
 
-def grid_targets(cells: DataFrame) -> DataFrame:
-    return cells.select(F.col("cell_id").alias("target_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"))
+def grid_targets(cells: DataFrame, grid: Grid | None = None, by: str | None = None) -> DataFrame:
+    group = [] if by is None else [by]
+    return cells.select(grid_target(grid, by).alias("target_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), *group)
+
+
+def grid_target(grid: Grid, by: str | None = None):
+    """The target of a cell: its number, counted on through the groups if ``by`` numbers them."""
+    return F.col("cell_id") if by is None else F.col(by) * F.lit(grid.size) + F.col("cell_id")
 
 
-def radius_rows(points: DataFrame, radius: float, grid: Grid, cells: DataFrame | None = None) -> DataFrame:
-    """One row per cell and point within ``radius``. Work grows with the points times the disc's cells."""
-    pairs = disc_cells(usable(points), radius, grid).select(
-        F.col("cell_id").alias("target_id"),
+def radius_rows(
+    points: DataFrame, radius: float, grid: Grid, cells: DataFrame | None = None, by: str | None = None
+) -> DataFrame:
+    """One row per cell and point within ``radius``. Work grows with the points times the disc's cells.
+
+    With ``by``, a column of whole numbers in ``points`` and ``cells``, a cell meets the points of its own group.
+    """
+    pairs = disc_cells(usable(points, *([] if by is None else [by])), radius, grid).select(
+        grid_target(grid, by).alias("target_id"),
         grid.center_x(F.col("col")).alias("tx"),
         grid.center_y(F.col("row")).alias("ty"),
         F.col("dist").alias("d"),
@@ -131,7 +151,7 @@ def radius_rows(points: DataFrame, radius: float, grid: Grid, cells: DataFrame |
     )
     if cells is None:
         return pairs
-    return pairs.join(cells.select(F.col("cell_id").alias("target_id")), "target_id", "left_semi")
+    return pairs.join(cells.select(grid_target(grid, by).alias("target_id")), "target_id", "left_semi")
 
 
 def radius_neighbors(

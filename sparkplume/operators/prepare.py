@@ -38,12 +38,17 @@ def with_season(df: DataFrame, date: str = "collection_date") -> DataFrame:
     return df.withColumn("season", S.season(F.col(date))).where(F.col("season").isNotNull())
 
 
+def _nulls_last(order: str):
+    """A key that orders by a column and still picks a row where it is NULL."""
+    return F.struct(F.col(order).isNull(), F.col(order))
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """The whole row with the smallest ``order`` per key. Partial aggregation makes hot keys cheap."""
+    """The whole row with the smallest ``order`` per key, NULL after all others. Partial aggregation makes hot keys cheap."""
     rest = [c for c in df.columns if c not in key]
     return (
         df.groupBy(*key)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+        .agg(F.min_by(F.struct(*rest), _nulls_last(order)).alias("_row"))
         .select(*key, "_row.*")
         .select(*df.columns)
     )
@@ -68,7 +73,7 @@ def system_stats(
         df.where(F.col("system_id").isNotNull())
         .groupBy(*by)
         .agg(
-            F.min_by(F.struct(*descriptive), F.col(order)).alias("_first"),
+            F.min_by(F.struct(*descriptive), _nulls_last(order)).alias("_first"),
             F.avg(v).alias("mean_value"),
             F.min(v).alias("min_value"),
             F.max(v).alias("max_value"),

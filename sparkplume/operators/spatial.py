@@ -52,13 +52,17 @@ class Grid:
     def cell_id(self, row: Column, col: Column) -> Column:
         return row * F.lit(self.cols).cast("long") + col
 
+    @property
+    def size(self) -> int:
+        return self.rows * self.cols
+
     def refined(self, factor: int) -> Grid:
         return Grid(self.x0, self.y0, self.cell / factor, self.rows * factor, self.cols * factor)
 
 
-def usable(points: DataFrame) -> DataFrame:
-    """``system_id, x, y, z`` of the points that have a location and a value."""
-    return points.select("system_id", "x", "y", "z").where(
+def usable(points: DataFrame, *keep: str) -> DataFrame:
+    """``system_id, x, y, z`` of the points that have a location and a value, and the columns to ``keep``."""
+    return points.select("system_id", "x", "y", "z", *keep).where(
         " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("x", "y", "z"))
     )
 
@@ -244,7 +248,7 @@ def convex_hull(points: DataFrame) -> DataFrame:
     are joined into one.
     """
     schema = "i long, x double, y double"
-    rows = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y")
+    rows = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select("x", "y")
     local = rows.mapInPandas(_hull_part, schema)
     # an exchange, not a coalesce: that would pull the local hulls into the same single task
     return local.select("x", "y").repartition(1).mapInPandas(_hull_part, schema)

@@ -29,6 +29,7 @@ class Tiles:
     last: int
     leaf: int
     frame: tuple[float, float, float]
+    by: str | None = None
 
     @property
     def crowded(self) -> str:
@@ -47,13 +48,14 @@ class Tiles:
 
     def levels(self, points: DataFrame) -> DataFrame:
         """Each point once per level with its ``tile`` and the ``parent`` above."""
-        return _levels(points, 1, self.last, self.frame)
+        return _levels(points, 1, self.last, self.frame, self.by)
 
 
-def _tile(level: int, frame: tuple[float, float, float]) -> str:
-    """SQL of the tile that holds (x, y): its level and both indices."""
+def _tile(level: int, frame: tuple[float, float, float], by: str | None = None) -> str:
+    """SQL of the tile that holds (x, y): its level and both indices, after the group if there are groups."""
+    group = "" if by is None else f"'g', {by}, "
     if level == 0:
-        return "named_struct('l', 0, 'x', 0L, 'y', 0L)"
+        return f"named_struct({group}'l', 0, 'x', 0L, 'y', 0L)"
     x0, y0, side = frame
     full = 1 << (LEVEL_BITS * MAX_LEVEL)
     shift = LEVEL_BITS * (MAX_LEVEL - level)
@@ -61,7 +63,7 @@ def _tile(level: int, frame: tuple[float, float, float]) -> str:
         f"shiftright(least(cast(floor(({v} - {lo!r}D) / {side!r}D * {full}D) as bigint), {full - 1}L), {shift})"
         for v, lo in (("x", x0), ("y", y0))
     )
-    return f"named_struct('l', {level}, 'x', {ix}, 'y', {iy})"
+    return f"named_struct({group}'l', {level}, 'x', {ix}, 'y', {iy})"
 
 
 def literal(tile) -> str:
@@ -69,18 +71,18 @@ def literal(tile) -> str:
     return f"named_struct('l', {tile.l}, 'x', {tile.x}L, 'y', {tile.y}L)"
 
 
-def _levels(points: DataFrame, first: int, last: int, frame: tuple[float, float, float]) -> DataFrame:
+def _levels(points: DataFrame, first: int, last: int, frame: tuple[float, float, float], by: str | None = None) -> DataFrame:
     entries = ", ".join(
-        f"named_struct('level', {level}, 'tile', {_tile(level, frame)}, 'parent', {_tile(level - 1, frame)})"
+        f"named_struct('level', {level}, 'tile', {_tile(level, frame, by)}, 'parent', {_tile(level - 1, frame, by)})"
         for level in range(first, last + 1)
     )
     return points.selectExpr("*", f"inline(array({entries}))")
 
 
-def build_tiles(points: DataFrame, leaf: int, extra: Sequence[str] = ()) -> Tiles | None:
+def build_tiles(points: DataFrame, leaf: int, extra: Sequence[str] = (), by: str | None = None) -> Tiles | None:
     """Tiles of ``points(x, y, ...)``, which should be written already; None without points.
 
-    ``extra`` adds aggregates per tile. Levels are added while a tile of the last one is crowded, and
+    ``extra`` adds aggregates per tile. With ``by``, each value of that column has tiles of its own. Levels are added while a tile of the last one is crowded, and
     then only for the points in crowded tiles.
     """
     box = points.selectExpr("count(1) n", "min(x) ax", "min(y) ay", "max(x) bx", "max(y) by").first()
@@ -90,7 +92,7 @@ def build_tiles(points: DataFrame, leaf: int, extra: Sequence[str] = ()) -> Tile
     aggregates = [F.expr(e) for e in ("count(1) n", "min(x) ax", "max(x) bx", "min(y) ay", "max(y) by", *extra)]
 
     def grow(rows: DataFrame, first: int, last: int) -> DataFrame:
-        return _levels(rows, first, last, frame).groupBy("level", "tile", "parent").agg(*aggregates)
+        return _levels(rows, first, last, frame, by).groupBy("level", "tile", "parent").agg(*aggregates)
 
     last = 1
     while last < MAX_LEVEL and box["n"] > leaf * 16**last:
@@ -101,7 +103,7 @@ def build_tiles(points: DataFrame, leaf: int, extra: Sequence[str] = ()) -> Tile
         if full.isEmpty():
             break
         step = min(2, MAX_LEVEL - last)
-        inside = points.join(full, F.expr(f"{_tile(last, frame)} = full_tile"), "left_semi")
+        inside = points.join(full, F.expr(f"{_tile(last, frame, by)} = full_tile"), "left_semi")
         table = materialize(table.unionByName(grow(inside, last + 1, last + step)), "tiles")
         last += step
-    return Tiles(table, last, leaf, frame)
+    return Tiles(table, last, leaf, frame, by)

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkplume.operators.spatial import Grid, train_test_split
+from sparkplume.operators.spatial import CELL_SIZE, Grid, train_test_split
 from sparkplume.plans.prepare import dataset_points
 from sparkplume.session import materialize
 
 GRID = Grid(0.0, 0.0, 25000.0, 40, 40)
+FINE = Grid(0.0, 0.0, CELL_SIZE, 125, 125)  # the same extent in cells of five miles
 AREA = [(100000.0, 50000.0), (900000.0, 150000.0), (800000.0, 950000.0), (450000.0, 600000.0), (150000.0, 900000.0)]
 
 

@@ -5,6 +5,8 @@ Searches are a window over all pairs here; that is the plain meaning, fit for th
 
 from __future__ import annotations
 
+from sparkplume.plans.oracle_kriging import fit_ctes, krige_ctes
+
 ND = "(CAST(0.004 AS DOUBLE) * (1 / CAST(3 AS DOUBLE)))"
 LO = "CAST(0.004 AS DOUBLE)"
 HI = "CAST(0.01 AS DOUBLE)"
@@ -171,7 +173,7 @@ def _sql(final: str, *needs: str) -> str:
     for name in needs:
         add(name)
     body = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in ordered)
-    return f"WITH {body}\n{final}" if ordered else final
+    return f"WITH {'RECURSIVE ' if 'steps AS' in final else ''}{body}\n{final}" if ordered else final
 
 
 STATS = """min_by(system_name, row_id) AS system_name, min_by(size, row_id) AS size, min_by(mrl, row_id) AS mrl,
@@ -208,6 +210,16 @@ def _scores(cls) -> str:
         FROM (SELECT run_id, {cls('observed')} AS oc, {cls('predicted')} AS pc FROM pairs) GROUP BY run_id"""
 
 
+def _ranks(digits: int, by: str = "") -> str:
+    """``ranked`` from ``met``: places by scores that count as equal where they agree in so many digits."""
+    places = ", ".join(
+        f"row_number() OVER ({by} ORDER BY CAST(format('{{:.{digits - 1}e}}', {m}) AS DOUBLE), run_id) AS {m}_rank" for m in ("rmse", "mae")
+    )
+    return f"""ranked AS MATERIALIZED (
+            SELECT *, (rmse_rank + mae_rank) / CAST(2 AS DOUBLE) AS ave_rank
+            FROM (SELECT *, {places} FROM met))"""
+
+
 def _sweep_ranked(train: str, test: str, runs: str, zonal: bool) -> str:
     """Metrics and ranks of a sweep in one statement: every cell, every pair, every run."""
     if zonal:
@@ -233,10 +245,7 @@ def _sweep_ranked(train: str, test: str, runs: str, zonal: bool) -> str:
             FROM (SELECT run_id, t.system_id, t.z, avg(value) AS value
                   FROM zone JOIN ras USING (cell_id) JOIN {test} t ON t.system_id = zone.system_id GROUP BY ALL)
             GROUP BY run_id),
-        ranked AS MATERIALIZED (
-            SELECT *, (rmse_rank + mae_rank) / CAST(2 AS DOUBLE) AS ave_rank
-            FROM (SELECT *, row_number() OVER (ORDER BY CAST(format('{{:.11e}}', rmse) AS DOUBLE), run_id) AS rmse_rank,
-                            row_number() OVER (ORDER BY CAST(format('{{:.11e}}', mae) AS DOUBLE), run_id) AS mae_rank FROM met))"""
+        {_ranks(12)}"""
 
 
 RANKED_OUT = """SELECT run_id, n, round(rmse, 12) AS rmse, round(mae, 12) AS mae, rmse_rank, mae_rank, ave_rank FROM {}"""
@@ -245,18 +254,40 @@ RANKED_OUT = """SELECT run_id, n, round(rmse, 12) AS rmse, round(mae, 12) AS mae
 SIMPSON = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
 
 
-def _bins(lags: str) -> str:
+def _bins(lags: str, points: str = "points") -> str:
     return f"""
         SELECT lag, CAST(floor(d / lag) AS INT) AS bin, count(*) AS n_pairs, (floor(d / lag) + CAST(0.5 AS DOUBLE)) * lag AS h,
                sum((z1 - z2) * (z1 - z2)) / (2 * count(*)) AS gamma
         FROM (SELECT a.z AS z1, b.z AS z2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
-              FROM points a JOIN points b ON a.system_id < b.system_id), (SELECT CAST(unnest({lags}) AS DOUBLE) AS lag)
+              FROM {points} a JOIN {points} b ON a.system_id < b.system_id), (SELECT CAST(unnest({lags}) AS DOUBLE) AS lag)
         WHERE d < 12 * lag GROUP BY ALL"""
 
 
 GAMMA2 = "(1.5 * least({h} / 200000, 1) - 0.5 * pow(least({h} / 200000, 1), 3))"
 
 
+KRIGE_RUNS = """
+    SELECT method, model, CAST(NULL AS DOUBLE) AS power, lag, distance, f_pts, num_points, type FROM (
+      SELECT * FROM (VALUES ('OK', 'Spherical'), ('OK', 'Circular'), ('OK', 'Exponential'), ('OK', 'Gaussian'), ('OK', 'Linear'),
+                            ('UK', 'LinearDrift'), ('UK', 'QuadDrift')) a(method, model),
+                    (VALUES (8000), (16000), (20000), (24000), (NULL)) b(lag),
+                    (SELECT 'fixed' AS type, d AS distance, f AS f_pts, NULL AS num_points
+                     FROM (SELECT unnest([16000, 40250, 80500, 161000]) AS d), (SELECT unnest([6, 12, 24, 50]) AS f)
+                     UNION ALL SELECT 'variable', NULL, NULL, unnest([12, 25, 50, 100])) c)
+    WHERE NOT (model IN ('Exponential', 'Gaussian') AND coalesce(lag, 0) > 18000)"""
+RUN_NAME = """CASE
+                WHEN method = 'NN' THEN 'NatN_Int'
+                WHEN method = 'IDW' AND type = 'variable' THEN concat('V_p', CAST(CAST(floor(power) AS INT) AS VARCHAR), '_np', CAST(num_points AS VARCHAR))
+                WHEN method = 'IDW' THEN concat('F_p', CAST(CAST(floor(power) AS INT) AS VARCHAR), '_d', CAST(CAST(floor(distance / 1000) AS INT) AS VARCHAR), 'km_np', CAST(f_pts AS VARCHAR))
+                ELSE concat(CASE model WHEN 'Spherical' THEN 'Sp' WHEN 'Circular' THEN 'Cir' WHEN 'Exponential' THEN 'Ex'
+                                       WHEN 'Gaussian' THEN 'Ga' WHEN 'QuadDrift' THEN 'Qu' ELSE 'Ln' END,
+                            CASE WHEN type = 'variable' THEN 'V' ELSE 'F' END, '_lag',
+                            coalesce(CAST(CAST(lag / 1000 AS INT) AS VARCHAR), 'Arc'), 'km_',
+                            CASE WHEN type = 'variable' THEN concat('np', CAST(num_points AS VARCHAR))
+                                 ELSE concat('d', CAST(CAST(floor(distance / 1000) AS INT) AS VARCHAR), 'km_np', CAST(f_pts AS VARCHAR)) END)
+                END"""
+
+
 def oracle_sql() -> dict[str, str]:
     g = lambda h: GAMMA2.format(h=h).replace("1.5", "CAST(1.5 AS DOUBLE)").replace("0.5", "CAST(0.5 AS DOUBLE)")
     out: dict[str, str] = {}
@@ -371,30 +402,12 @@ def oracle_sql() -> dict[str, str]:
                   round(avg(abs(z - value)), 12) AS mae, CAST(1 AS BIGINT) AS rmse_rank, CAST(1 AS DOUBLE) AS ave_rank
            FROM sibson JOIN test_cells ON "row" = trow AND col = tcol WHERE value IS NOT NULL""", "sibson", "test_cells")
 
-    krige_runs = """
-        SELECT method, model, CAST(NULL AS DOUBLE) AS power, lag, distance, f_pts, num_points, type FROM (
-          SELECT * FROM (VALUES ('OK', 'Spherical'), ('OK', 'Circular'), ('OK', 'Exponential'), ('OK', 'Gaussian'), ('OK', 'Linear'),
-                                ('UK', 'LinearDrift'), ('UK', 'QuadDrift')) a(method, model),
-                        (VALUES (8000), (16000), (20000), (24000), (NULL)) b(lag),
-                        (SELECT 'fixed' AS type, d AS distance, f AS f_pts, NULL AS num_points
-                         FROM (SELECT unnest([16000, 40250, 80500, 161000]) AS d), (SELECT unnest([6, 12, 24, 50]) AS f)
-                         UNION ALL SELECT 'variable', NULL, NULL, unnest([12, 25, 50, 100])) c)
-        WHERE NOT (model IN ('Exponential', 'Gaussian') AND coalesce(lag, 0) > 18000)"""
-    all_runs = f"""{krige_runs}
+    all_runs = f"""{KRIGE_RUNS}
         UNION ALL SELECT 'IDW', NULL, p, NULL, r, m, k, kind FROM sweep_runs
         UNION ALL SELECT 'NN', NULL, NULL, NULL, NULL, NULL, NULL, NULL"""
     out["run_grid"] = _sql(
-        f""", named AS (SELECT *, CASE
-                WHEN method = 'NN' THEN 'NatN_Int'
-                WHEN method = 'IDW' AND type = 'variable' THEN concat('V_p', CAST(CAST(floor(power) AS INT) AS VARCHAR), '_np', CAST(num_points AS VARCHAR))
-                WHEN method = 'IDW' THEN concat('F_p', CAST(CAST(floor(power) AS INT) AS VARCHAR), '_d', CAST(CAST(floor(distance / 1000) AS INT) AS VARCHAR), 'km_np', CAST(f_pts AS VARCHAR))
-                ELSE concat(CASE model WHEN 'Spherical' THEN 'Sp' WHEN 'Circular' THEN 'Cir' WHEN 'Exponential' THEN 'Ex'
-                                       WHEN 'Gaussian' THEN 'Ga' WHEN 'QuadDrift' THEN 'Qu' ELSE 'Ln' END,
-                            CASE WHEN type = 'variable' THEN 'V' ELSE 'F' END, '_lag',
-                            coalesce(CAST(CAST(lag / 1000 AS INT) AS VARCHAR), 'Arc'), 'km_',
-                            CASE WHEN type = 'variable' THEN concat('np', CAST(num_points AS VARCHAR))
-                                 ELSE concat('d', CAST(CAST(floor(distance / 1000) AS INT) AS VARCHAR), 'km_np', CAST(f_pts AS VARCHAR)) END)
-                END AS out_name FROM ({all_runs}))
+        f""", named AS (SELECT *, {RUN_NAME}
+                AS out_name FROM ({all_runs}))
             SELECT d.dataset, method, model, type, power, CAST(lag AS DOUBLE) AS lag_dist, CAST(num_points AS BIGINT) AS num_points,
                    CAST(distance AS DOUBLE) AS distance, CAST(f_pts AS BIGINT) AS f_pts, out_name,
                    concat(method, '_', out_name, coalesce('_' || CAST(power AS VARCHAR), '')) AS run_id
@@ -412,6 +425,47 @@ def oracle_sql() -> dict[str, str]:
                                               ELSE sum(z / pow(d, p)) / sum(1 / pow(d, p)) END, 12) AS value
            FROM ranked_pairs JOIN sweep_runs
              ON (kind = 'variable' AND rnk <= k) OR (kind = 'fixed' AND (d <= r OR rnk <= m)) GROUP BY ALL""", "ranked_pairs", "sweep_runs")
+    key = "contaminant || '_' || water_type"
+    fine = f"""points4 AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5(concat(CAST(system_id AS VARCHAR), '|42')), system_id) * 10
+                      <= count(*) OVER (PARTITION BY dataset) * 9 AS is_train
+            FROM (SELECT {key} AS dataset, system_id, avg(value) AS z FROM filtered GROUP BY 1, 2) JOIN inside USING (system_id)),
+        fine AS MATERIALIZED (
+            SELECT r * 125 + c AS cell_id, r AS frow, c AS fcol, (c + CAST(0.5 AS DOUBLE)) * CAST(8046.7 AS DOUBLE) AS cx,
+                   (r + CAST(0.5 AS DOUBLE)) * CAST(8046.7 AS DOUBLE) AS cy FROM range(125) a(r), range(125) b(c)),
+        reads AS MATERIALIZED ({{reads}}),
+        near4 AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY dataset, cell_id ORDER BY d, system_id) AS rnk
+            FROM (SELECT p.dataset, cell_id, p.system_id, z, sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy)) AS d
+                  FROM (SELECT DISTINCT dataset, cell_id FROM reads) w JOIN fine USING (cell_id) JOIN points4 p ON p.dataset = w.dataset AND is_train)),
+        ras4 AS MATERIALIZED (
+            SELECT dataset, run_id, cell_id, CASE WHEN count(*) FILTER (d = 0) > 0 THEN avg(z) FILTER (d = 0)
+                                                  ELSE sum(z / pow(d, p)) / sum(1 / pow(d, p)) END AS value
+            FROM near4 JOIN sweep_runs ON (kind = 'variable' AND rnk <= k) OR (kind = 'fixed' AND (d <= r OR rnk <= m)) GROUP BY ALL),
+        pairs4 AS MATERIALIZED (
+            SELECT dataset, run_id, system_id, any_value(p.z) AS observed, avg(value) AS predicted
+            FROM reads JOIN ras4 USING (dataset, cell_id) JOIN points4 p USING (dataset, system_id) GROUP BY ALL),
+        met AS MATERIALIZED (
+            SELECT dataset, run_id, count(*) AS n, sqrt(avg((observed - predicted) * (observed - predicted))) AS rmse,
+                   avg(abs(observed - predicted)) AS mae FROM pairs4 GROUP BY ALL),
+        {_ranks(12, 'PARTITION BY dataset')}"""
+    own_cell = "frow = floor(y / CAST(8046.7 AS DOUBLE)) AND fcol = floor(x / CAST(8046.7 AS DOUBLE))"
+    out["idw_sweep_datasets"] = _sql(
+        ", " + fine.replace("{reads}", f"SELECT dataset, system_id, cell_id FROM points4 JOIN fine ON {own_cell} WHERE NOT is_train")
+        + """ SELECT dataset, run_id, 'ok' AS status, n, round(rmse, 12) AS rmse, round(mae, 12) AS mae, rmse_rank, mae_rank, ave_rank
+            FROM ranked""", "filtered", "inside", "sweep_runs")
+    around_points = f"""SELECT dataset, system_id, cell_id FROM (
+            SELECT dataset, system_id, cell_id, {own_cell} AS own,
+                   sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)) <= CAST(8046.7 AS DOUBLE) AS held FROM points4, fine WHERE NOT is_train)
+            QUALIFY held OR (own AND NOT bool_or(held) OVER (PARTITION BY dataset, system_id))"""
+    out["zonal_classes_datasets"] = _sql(
+        ", " + fine.replace("{reads}", around_points)
+        + f""", top5 AS (SELECT dataset, run_id FROM ranked
+                         QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY ave_rank, run_id) <= 5),
+            cls AS (SELECT dataset, run_id, {_class2('observed')} AS o, {_class2('predicted')} AS p FROM pairs4 JOIN top5 USING (dataset, run_id))
+            SELECT dataset, run_id, round(avg(CASE WHEN o = p THEN 1 ELSE 0 END), 12) AS accuracy,
+                   round(avg(CASE WHEN p = o THEN 1 ELSE 0 END) FILTER (o > 0), 12) AS recall FROM cls GROUP BY ALL""",
+        "filtered", "inside", "sweep_runs")
     out["extract_nearest_cell"] = _sql("SELECT run_id, system_id, round(predicted, 12) AS prediction FROM pairs", "pairs")
     out["zonal_mean"] = _sql(
         """SELECT run_id, system_id, round(avg(value), 12) AS prediction
@@ -431,13 +485,13 @@ def oracle_sql() -> dict[str, str]:
         """SELECT method, dataset, log_id, round(rmse, 12) AS rmse FROM run_log
            QUALIFY row_number() OVER (PARTITION BY method, dataset ORDER BY rmse, log_id) BETWEEN 2 AND 5""", "run_log")
     first = _sweep_ranked("train", "test", "sweep_runs", False)
-    second = _sweep_ranked("train2", "test2", "top15", True)
+    second = _sweep_ranked("train2", "test2", "top75", True)
     for name in ("zone", "near", "ras", "met", "ranked"):
         second = second.replace(f"{name} AS MATERIALIZED", f"{name}2 AS MATERIALIZED").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"FROM {name})", f"FROM {name}2)")
     second = second.replace("JOIN ras USING", "JOIN ras2 USING").replace("zone.system_id", "zone2.system_id")
     out["replay_top_runs"] = _sql(
         f""", {first},
-            top15 AS MATERIALIZED (SELECT s.* FROM sweep_runs s JOIN (SELECT run_id FROM ranked ORDER BY ave_rank, run_id LIMIT 15) USING (run_id)),
+            top75 AS MATERIALIZED (SELECT s.* FROM sweep_runs s JOIN (SELECT run_id FROM ranked ORDER BY ave_rank, run_id LIMIT 75) USING (run_id)),
             train2 AS MATERIALIZED (SELECT * FROM split2 WHERE is_train), test2 AS MATERIALIZED (SELECT * FROM split2 WHERE NOT is_train),
             {second} {RANKED_OUT.format('ranked2')}""", "cells", "train", "test", "sweep_runs", "split2")
     out["failed_runs"] = _sql(
@@ -514,32 +568,36 @@ def oracle_sql() -> dict[str, str]:
 
     out["semivariogram_bins"] = _sql(
         f"SELECT lag, bin, n_pairs, round(h, 12) AS h, round(gamma, 12) AS gamma FROM ({_bins('[8000, 16000, 20000, 24000, 8046.7]')})", "points")
-    u = "(h / a)"
-    v = "least(h / a, 1)"
-    shapes = {
-        "Spherical": f"CASE WHEN {u} < 1 THEN CAST(1.5 AS DOUBLE) * {u} - CAST(0.5 AS DOUBLE) * pow({u}, 3) ELSE 1 END",
-        "Circular": f"CASE WHEN {u} < 1 THEN 1 - 2 / pi() * acos({v}) + 2 / pi() * {v} * sqrt(1 - {v} * {v}) ELSE 1 END",
-        "Exponential": f"1 - exp(-3 * {u})",
-        "Gaussian": f"1 - exp(-3 * {u} * {u})",
-        "Linear": v,
-    }
-    shaped = " UNION ALL ".join(f"SELECT lag, '{m}' AS model, a, w, CAST({f} AS DOUBLE) AS f, gamma AS y FROM cand" for m, f in shapes.items())
     out["fit_semivariograms"] = _sql(
-        f""", cand AS (SELECT b.*, n_pairs / (h * h) AS w, i * lag AS a FROM ({_bins('[8000, 16000, 20000, 24000, 8046.7]')}) b, range(1, 13) t(i)),
-             rows AS ({shaped}),
-             eq AS (SELECT lag, model, a, sum(w) AS sw, sum(w * f) AS sf, sum(w * f * f) AS sff, sum(w * y) AS sy, sum(w * f * y) AS sfy
-                    FROM rows GROUP BY lag, model, a),
-             free AS (SELECT *, CASE WHEN sw * sff - sf * sf > CAST(1e-9 AS DOUBLE) * sw * sff
-                                     THEN (sw * sfy - sf * sy) / (sw * sff - sf * sf) END AS c FROM eq),
-             base AS (SELECT *, (sy - c * sf) / sw AS c0 FROM free),
-             kept AS (SELECT lag, model, a, sy / sw AS mean_y, CASE WHEN c0 < 0 THEN sfy / sff ELSE c END AS c, greatest(c0, 0) AS c0 FROM base),
-             sol AS (SELECT lag, model, a, mean_y, CASE WHEN c IS NULL OR c < 0 THEN mean_y ELSE c0 END AS nugget,
-                            CASE WHEN c IS NULL OR c < 0 THEN 0 ELSE c END AS sill FROM kept),
-             score AS (SELECT lag, model, a, nugget, sill,
-                              round(sum(w * pow(y - nugget - sill * f, 2)) / sum(w * pow(y - mean_y, 2)), 9) AS misfit
-                       FROM rows JOIN sol USING (lag, model, a) GROUP BY ALL)
-            SELECT lag, model, a, round(nugget, 10) AS nugget, round(sill, 10) AS sill, round(misfit, 8) AS misfit FROM score
-            QUALIFY row_number() OVER (PARTITION BY lag, model ORDER BY misfit, a) = 1""", "points")
+        f""", {fit_ctes(_bins('[8000, 16000, 20000, 24000, 8046.7]'))}
+            SELECT lag, model, a, round(nugget, 10) AS nugget, round(sill, 10) AS sill, round(misfit, 8) AS misfit FROM fits""", "points")
+    around = "SELECT cell_id, rnk, d, x - cx AS x, y - cy AS y, z FROM ranked_pairs WHERE rnk <= {}"
+    one = "SELECT '{m}' AS model, '{r}' AS run_id, CAST(24000 AS DOUBLE) AS lag, 'variable' AS type, {k} AS num_points, NULL AS distance, NULL AS f_pts"
+    named = {"Spherical": "Sp", "Circular": "Cir", "Exponential": "Ex", "Gaussian": "Ga", "Linear": "Ln"}
+    for name, k, runs in (
+        ("krige_ordinary", 12, {m: f"OK_{s}V_lag24km_np12" for m, s in named.items()}),
+        ("krige_linear_drift", 12, {"LinearDrift": "UK_LnV_lag24km_np12"}),
+        ("krige_quadratic_drift", 25, {"QuadDrift": "UK_QuV_lag24km_np25"}),
+    ):
+        chosen = " UNION ALL ".join(one.format(m=m, r=r, k=k) for m, r in runs.items())
+        out[name] = _sql(
+            f""", {krige_ctes(chosen, around.format(k), _bins('[24000]', 'train'))}
+            SELECT run_id, cell_id, round(value, 8) AS value, round(variance, 8) AS variance, 'ok' AS status FROM solved""", "ranked_pairs", "train")
+
+    for name, method in (("ok_sweep_metrics", "OK"), ("uk_sweep_metrics", "UK")):
+        settings = f"""
+            SELECT concat(method, '_', {RUN_NAME}) AS run_id, model, CAST(coalesce(lag, 25000) AS DOUBLE) AS lag, type, num_points, distance, f_pts
+            FROM ({KRIGE_RUNS}) WHERE method = '{method}'"""
+        wanted = """
+            SELECT cell_id, rnk, d, x - cx AS x, y - cy AS y, z FROM ranked_pairs
+            WHERE (rnk <= 100 OR d <= 161000) AND ("row", col) IN (SELECT (trow, tcol) FROM test_cells)"""
+        out[name] = _sql(
+            f""", {krige_ctes(settings, wanted, _bins('[8000, 16000, 20000, 24000, 25000]', 'train'))},
+            met AS (SELECT run_id, count(*) AS n, sqrt(avg((z - value) * (z - value))) AS rmse, avg(abs(z - value)) AS mae
+                    FROM solved JOIN test_cells ON cell_id = trow * 40 + tcol GROUP BY run_id),
+            {_ranks(9)}
+            SELECT run_id, 'ok' AS status, n, round(rmse, 12) AS rmse, round(mae, 12) AS mae, ave_rank FROM ranked""",
+            "ranked_pairs", "train", "test_cells")
 
     pair = """two AS (SELECT a.cell_id, a.z AS z1, b.z AS z2, a.d AS d1, b.d AS d2,
                       sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d12
@@ -551,6 +609,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT cell_id, round(w1 * z1 + (1 - w1) * z2, 10) AS value,
                    round(greatest(w1 * {g('d1')} + (1 - w1) * {g('d2')} + mu, 0) * s, 10) AS variance, 'ok' AS status FROM m, s""",
         "ranked_pairs", "train")
+    u = "(h / a)"
+    v = "least(h / a, 1)"
+    shapes = {
+        "Spherical": f"CASE WHEN {u} < 1 THEN CAST(1.5 AS DOUBLE) * {u} - CAST(0.5 AS DOUBLE) * pow({u}, 3) ELSE 1 END",
+        "Circular": f"CASE WHEN {u} < 1 THEN 1 - 2 / pi() * acos({v}) + 2 / pi() * {v} * sqrt(1 - {v} * {v}) ELSE 1 END",
+        "Exponential": f"1 - exp(-3 * {u})",
+        "Gaussian": f"1 - exp(-3 * {u} * {u})",
+        "Linear": v,
+    }
     def models(h: str) -> str:
         f = " ".join(f"WHEN '{m}' THEN {e}" for m, e in shapes.items()).replace("h / a", f"({h}) / 150000")
         return f"(CASE WHEN {h} > 0 THEN CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * CASE model {f} END ELSE 0 END)"

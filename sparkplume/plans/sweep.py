@@ -110,12 +110,12 @@ def evaluate(raster: DataFrame, test: DataFrame, grid: Grid, buffer: float | Non
 
 
 def sweep_and_rank(
-    train: DataFrame, test: DataFrame, grid: Grid, runs: DataFrame, buffer: float | None = BUFFER
+    train: DataFrame, test: DataFrame, grid: Grid, runs: DataFrame, buffer: float | None = BUFFER, digits: int = 12
 ) -> DataFrame:
-    """Ranked runs with RMSE and MAE at the test points."""
+    """Ranked runs with RMSE and MAE at the test points; scores that agree in ``digits`` digits count as equal."""
     cells = materialize(evaluation_cells(test, grid, buffer), "cells")
     metrics = E.error_metrics(evaluate(sweep(train, grid, runs, cells), test, grid, buffer))
-    return E.rank_runs(E.score_runs(runs, metrics), by=["method"], digits=12)
+    return E.rank_runs(E.score_runs(runs, metrics), by=["method"], digits=digits)
 
 
 def replay(
