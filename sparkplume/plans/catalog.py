@@ -22,6 +22,7 @@ from sparkplume.operators.variogram import MODELS, fit_semivariogram, semivariog
 from sparkplume.plans import bindings as B
 from sparkplume.plans import datasets as D
 from sparkplume.plans import prepare as PP
+from sparkplume.plans import resume as RS
 from sparkplume.plans import runs as R
 from sparkplume.plans import sweep as W
 from sparkplume.session import materialize, shared_folder
@@ -679,6 +680,31 @@ def krige_quadratic_drift(spark, sf):
     return _krige(spark, sf, ["QuadDrift"], 25)
 
 
+def _some_krige_runs(spark: SparkSession) -> DataFrame:
+    """Two models over the 12 nearest, and two over a radius with six places at least."""
+    rows = [("OK", m, "variable", None, 24000.0, 12, None, None) for m in ("Spherical", "Linear")]
+    rows += [("OK", m, "fixed", None, 24000.0, None, 80500.0, 6) for m in ("Spherical", "Exponential")]
+    return materialize(R.with_run_id(R.with_run_name(spark.createDataFrame(rows, R.RUNS))), "runs")
+
+
+@query
+def krige_fixed(spark, sf):
+    """Fixed search alone: all places within 80.5 km, six at least."""
+    train = materialize(B.train_test(spark, sf)[0], "train")
+    runs = _some_krige_runs(spark).where("type = 'fixed'")
+    return rounded(W.sweep(train, GRID, runs).select("run_id", "cell_id", "value", "variance", "status"), 8)
+
+
+@query
+def krige_raster_resumed(spark, sf):
+    """A sweep that stopped after its first run goes on; values and variances are read back."""
+    train = materialize(B.train_test(spark, sf)[0], "train")
+    runs, folder = _some_krige_runs(spark), _fresh(spark, "sweep")
+    RS.sweep_to(folder, train, GRID, runs.where("model = 'Linear'"))
+    RS.sweep_to(folder, train, GRID, runs, batch=1)
+    return rounded(RS.read_sweep(spark, folder).select("run_id", "row", "col", "value", "variance", "status"), 8)
+
+
 def _plain_model(points: DataFrame) -> dict:
     """Spherical model without nugget, range 200 km, with the variance of the data as its sill."""
     sill = points.agg(F.var_pop("z")).first()[0]

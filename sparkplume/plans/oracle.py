@@ -584,6 +584,24 @@ def oracle_sql() -> dict[str, str]:
             f""", {krige_ctes(chosen, around.format(k), _bins('[24000]', 'train'))}
             SELECT run_id, cell_id, round(value, 8) AS value, round(variance, 8) AS variance, 'ok' AS status FROM solved""", "ranked_pairs", "train")
 
+    both_ways = " UNION ALL ".join(
+        f"SELECT 'OK_{named[m]}{w}' AS run_id, '{m}' AS model, CAST(24000 AS DOUBLE) AS lag, {rest}"
+        for w, rest, models in (
+            ("V_lag24km_np12", "'variable' AS type, 12 AS num_points, NULL AS distance, NULL AS f_pts", ("Spherical", "Linear")),
+            ("F_lag24km_d80km_np6", "'fixed' AS type, NULL AS num_points, 80500 AS distance, 6 AS f_pts", ("Spherical", "Exponential")),
+        )
+        for m in models
+    )
+    reached = krige_ctes(both_ways, around.format("12 OR d <= 80500"), _bins("[24000]", "train"))
+    out["krige_fixed"] = _sql(
+        f""", {reached}
+        SELECT run_id, cell_id, round(value, 8) AS value, round(variance, 8) AS variance, 'ok' AS status FROM solved
+        WHERE run_id LIKE 'OK__%F_lag%'""", "ranked_pairs", "train")
+    out["krige_raster_resumed"] = _sql(
+        f""", {reached}
+        SELECT run_id, cell_id // 40 AS "row", cell_id % 40 AS col, round(value, 8) AS value, round(variance, 8) AS variance, 'ok' AS status
+        FROM solved""", "ranked_pairs", "train")
+
     for name, method in (("ok_sweep_metrics", "OK"), ("uk_sweep_metrics", "UK")):
         settings = f"""
             SELECT concat(method, '_', {RUN_NAME}) AS run_id, model, CAST(coalesce(lag, 25000) AS DOUBLE) AS lag, type, num_points, distance, f_pts
