@@ -5,7 +5,7 @@ import itertools
 import compare
 import corpus_pipeline
 import pytest
-from fixtures import nothing
+from fixtures import docs, nothing
 
 import __spark_entry__ as entry
 from sparkplume.llm import decontaminate, pii, quality, queries
@@ -81,3 +81,26 @@ def test_registered(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     assert compare.differences(queries.QUERIES[name](spark, SF), compare.connect(SF), queries.ORACLE[name]) == []
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids, null and empty texts, copies, repeated rows, a long text and clashing columns, stage by stage."""
+    before = docs(spark)
+    columns, given = before.columns, before.collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, SF)
+        assert after.columns == columns
+        found = after.collect()
+        assert {r.id for r in found} <= {r.id for r in given}
+        own = {r.id: r for r in found}
+        if name == "minhash_near_dedup":
+            assert len({r.doc_id for r in found if r.doc_id is not None}) == len([r for r in found if r.doc_id is not None])
+            assert sum(r.doc_id is None for r in found) == sum(r.doc_id is None for r in given)
+            assert {1, 6, 7, 8} <= {r.doc_id for r in found} and 2 not in {r.doc_id for r in found}
+        elif name == "benchmark_decontamination":
+            assert all(r.id in own for r in given if not (r.text or "").strip())
+        elif name == "pii_redaction":
+            assert len(found) == len(given) and all((own[r.id].text is None) == (r.text is None) for r in given)
+    tokens = corpus_pipeline.tokenize(spark, before, SF).collect()
+    assert len(tokens) == len(given)
+    assert all(r.n_tokens == 0 for r in tokens if r.doc_id in (6, 7))
