@@ -19,13 +19,7 @@ def con():
 
 def test_names():
     assert set(SQL) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(SQL) == {
-        "krige_ordinary",
-        "krige_linear_drift",
-        "krige_quadratic_drift",
-        "ok_sweep_metrics",
-        "uk_sweep_metrics",
-    }
+    assert set(catalog.QUERIES) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
