@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-At most ``EXAMPLES`` labelled rows of each class (a documented bound; picked by a hash of the id) are the examples. Terms
-are the words whose presence depends on the label beyond chance (chi-square, corrected for the number of words tried),
-without those that always come with the same other word, as the words of a copied passage do.
-The index holds, for every term, the examples that contain it with their weights, grouped into blocks of examples, and
-the largest weight per block. A text's cosine with any example of a block is at most the sum of its weights times those
-maxima, so blocks are visited from the largest bound down and the search ends, without loss, when no bound exceeds the
-K-th best cosine found.
+At most ``EXAMPLES`` labelled rows of each class (a documented bound; picked by a hash of the id) are the examples. Every
+word of theirs is indexed. A word that a text holds n times weighs (1 + ln n) * idf * relevance there, where relevance is the
+chi-square of word and label among the examples (at least ``FLOOR``): plain TF-IDF is ruled by the topic of a text, while a
+text is toxic by few words of it. Texts are vectors of unit length; words that no example holds count in the length.
+The index holds, for every word, the examples that contain it with their weights, grouped into blocks of examples, and
+the largest weight per block; the DENSE words that most examples hold are columns of each block. A text's cosine with any
+example of a block is at most the sum of its weights times those maxima, so a block whose bound is below the K-th best cosine
+found is passed over without loss.
 
 The nearest examples vote, weighted by closeness. Votes become scores by a monotone calibration fitted on the examples
 themselves, each left out of its own vote, and weighted to the labels' true shares. The nearest ids are the evidence.
 Labels, language, source and ids are never inputs of a score; only the index, of bounded size, is broadcast.
 
-Defined results: texts without a term of the index, empty and null ones among them, get the rate of toxic labels among
-examples without one. With no labels of one class every score is the share of label 1 (0 if there are none). Labels that
+Defined results: texts without a word of the index, empty and null ones among them, get the rate of toxic labels among
+examples without a neighbour (the share of label 1, if every example has one). With no labels of one class every score is the share of label 1 (0 if there are none). Labels that
 are null or of a null id are not used; equal cosines go to the example of the smaller id. Every input row gives a row;
 other columns are ignored.
 """
@@ -31,10 +32,12 @@ from sparkplume.llm.language import held_out
 from sparkplume.llm.quality import bounded_sample, judged
 
 EXAMPLES = 2048
-BLOCK = 64
+BLOCK = 128
+DENSE = 256
+GROUP = 256  # texts compared at a time
 K = 15
-TOGETHER = 0.6  # share of rows with either of two words that hold both
-CHANCE = 0.01  # expected count of words that pass the test by chance
+FLOOR = 1e-6
+TIE = 12  # digits that decide between cosines
 
 COUNTED = "doc_id long, word binary, n binary"
 SCORED = "doc_id long, score double, evidence array<long>"
@@ -63,104 +66,126 @@ class Index:
     def __init__(self, ids: np.ndarray, label: np.ndarray, word: list, n: list, share: float):
         self.share = share
         self.ids, self.label = ids, label.astype(np.float64)
-        self.term = self._terms(word) if 0 < label.sum() < len(label) else np.empty(0, dtype=np.uint64)
-        if len(self.term) == 0:
+        every = np.concatenate([*word, np.empty(0, dtype=np.uint64)])
+        self.term, number = np.unique(every, return_inverse=True)
+        if len(self.term) == 0 or not 0 < label.sum() < len(label):
+            self.term = np.empty(0, dtype=np.uint64)
             return
-        every = np.concatenate(word)
-        held = np.isin(every, self.term)
-        limits = np.concatenate(([0], np.cumsum([len(w) for w in word])))
-        row = np.repeat(np.arange(len(word)), np.diff(limits))[held]
-        number = np.searchsorted(self.term, every[held])
-        df = np.bincount(number, minlength=len(self.term))
-        self.idf = np.log((1 + len(ids)) / (1 + df)) + 1
-        value = self._unit(row, number, np.concatenate(n)[held], len(ids))
-        # postings ordered by term, block, example
+        rows, row = len(ids), np.repeat(np.arange(len(word)), [len(w) for w in word])
+        df = np.bincount(number)
+        self.unknown = (np.log(1 + rows) + 1) * FLOOR
+        self.weight = (np.log((1 + rows) / (1 + df)) + 1) * self._relevance(number, row, df)
+        value = self._unit(row, self.weight[number], np.concatenate(n), rows)
+        self._post(number, row, value, df)
+        self._calibrate(number, row, value)
+
+    def _relevance(self, number, row, df) -> np.ndarray:
+        """Chi-square of each word's presence and the label."""
+        rows, toxic = len(self.ids), self.label.mean()
+        expected = df * toxic
+        spread = expected * (1 - toxic) * (1 - df / rows)
+        off = np.bincount(number, self.label[row], len(df)) - expected
+        return np.maximum(np.where(spread > 0, off**2 / np.maximum(spread, 1e-12), 0), FLOOR)
+
+    def _post(self, number, row, value, df) -> None:
+        self.blocks = -(-len(self.ids) // BLOCK)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        self.column = np.full(len(df), -1, dtype=np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)))
+        wide = self.column[number] >= 0
+        self.dense[row[wide], self.column[number[wide]]] = value[wide]
+        self.dense_max = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
+        number, row, value = number[~wide], row[~wide], value[~wide]
+        # postings ordered by word, block, example
         order = np.lexsort((row, number))
-        self.post_row, self.post_value = row[order], value[order]
-        self.blocks = -(-len(ids) // BLOCK)
+        self.post_place, self.post_value = (row[order] % BLOCK).astype(np.int16), value[order]
         cell = number[order] * self.blocks + row[order] // BLOCK
-        self.cell_first = np.searchsorted(cell, np.arange(len(self.term) * self.blocks + 1))
+        self.cell_first = np.searchsorted(cell, np.arange(len(df) * self.blocks + 1)).astype(np.int32)
         filled, start = np.unique(cell, return_index=True)
-        self.max_block = filled % self.blocks
-        self.max_value = np.maximum.reduceat(self.post_value, start)
-        self.max_first = np.searchsorted(filled // self.blocks, np.arange(len(self.term) + 1))
-        self._calibrate(*self._query_parts(every[held], np.concatenate(n)[held], row, len(ids)))
-
-    def _terms(self, word: list) -> np.ndarray:
-        every, place = np.unique(np.concatenate(word), return_inverse=True)
-        row = np.repeat(np.arange(len(word)), [len(w) for w in word])
-        one = np.bincount(place, self.label[row], len(every))
-        all_ = np.bincount(place, minlength=len(every)).astype(np.float64)
-        toxic, rows = self.label.sum(), len(word)
-        expected = all_ * toxic / rows
-        scale = expected * (1 - toxic / rows) * (1 - all_ / rows)
-        chi = np.where(scale > 0, (one - expected) ** 2 / np.maximum(scale, 1e-12), 0)
-        passed = np.flatnonzero(chi >= 2 * np.log(max(len(every), 2) / CHANCE))
-        # words that come and go together stand in one copied passage: many rows, but a single piece of evidence
-        order = np.argsort(place, kind="stable")
-        by_word, first = row[order], np.searchsorted(place[order], np.arange(len(every) + 1))
-        by_row = np.searchsorted(row, np.arange(rows + 1))
-        alone = []
-        for t in passed.tolist():
-            mine = by_word[first[t] : first[t + 1]]
-            other, both = np.unique(place[A.runs(by_row[mine], np.diff(by_row)[mine])], return_counts=True)
-            alike = both / (len(mine) + all_[other] - both)
-            alone.append(alike[other != t].max(initial=0) < TOGETHER)
-        return every[passed[np.array(alone, dtype=bool)]]
-
-    def _unit(self, row, number, n, rows) -> np.ndarray:
-        value = (1 + np.log(n)) * self.idf[number]
-        return value / np.sqrt(np.maximum(np.bincount(row, value**2, rows), 1e-12))[row]
-
-    def _query_parts(self, word, n, row, rows):
+        self.max_block = (filled % self.blocks).astype(np.int16)
+        self.max_value = np.maximum.reduceat(self.post_value, start) if len(start) else np.empty(0)
+        self.max_first = np.searchsorted(filled // self.blocks, np.arange(len(df) + 1))
+
+    @staticmethod
+    def _unit(row, weight, n, rows) -> np.ndarray:
+        value = (1 + np.log(n)) * weight
+        return value / np.sqrt(np.maximum(np.bincount(row, value**2, rows), 1e-300))[row]
+
+    def query(self, word, n, row, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, numbers and weights of the words of texts that the index holds."""
         place = np.minimum(np.searchsorted(self.term, word), len(self.term) - 1)
         held = self.term[place] == word
-        row, number = row[held], place[held]
-        return row, number, self._unit(row, number, n[held], rows), rows
+        value = self._unit(row, np.where(held, self.weight[place], self.unknown), n, rows)
+        return row[held], place[held], value[held]
 
     def nearest(self, row, number, value, rows, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the K nearest examples of each row (-1 where there are fewer); exact.
 
-        ``own``: row i is example i and is left out of its own result.
+        ``own``: row i is example i and is left out of its own result. Words come in the order of their rows.
         """
-        best = np.zeros((rows, K))
-        place = np.full((rows, K), -1)
+        best, place = np.zeros((rows, K)), np.full((rows, K), -1)
+        first = np.searchsorted(row, np.arange(rows + 1))
+        for low in range(0, rows, GROUP):
+            high = min(low + GROUP, rows)
+            part = slice(first[low], first[high])
+            skip = np.arange(low, high) if own else None
+            best[low:high], place[low:high] = self._nearest(row[part] - low, number[part], value[part], high - low, skip)
+        return best, place
+
+    def _nearest(self, row, number, value, rows, skip):
+        wide = self.column[number] >= 0
+        query = np.zeros((rows, self.dense.shape[1]))
+        query[row[wide], self.column[number[wide]]] = value[wide]
+        row, number, value = row[~wide], number[~wide], value[~wide]
+        first = np.searchsorted(row, np.arange(rows + 1))
         length = np.diff(self.max_first)[number]
         at = A.runs(self.max_first[number], length)
-        bound = np.bincount(
+        bound = query @ self.dense_max.T + np.bincount(
             np.repeat(row, length) * self.blocks + self.max_block[at],
             np.repeat(value, length) * self.max_value[at],
             rows * self.blocks,
         ).reshape(rows, self.blocks)
-        first = np.searchsorted(row, np.arange(rows + 1))
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(self.blocks):
-            block = order[:, turn]
+        score = np.zeros((rows, self.blocks, BLOCK))
+        top = np.zeros((rows, K))  # best cosines so far
+
+        def visit(block: int, live: np.ndarray) -> None:
+            terms = A.runs(first[live], np.diff(first)[live])
+            cell = number[terms] * self.blocks + block
+            many = self.cell_first[cell + 1] - self.cell_first[cell]
+            some = many > 0
+            many, terms = many[some], terms[some]
+            post = A.runs(self.cell_first[cell[some]].astype(np.int64), many)
+            owner = np.repeat(np.arange(len(live)), np.diff(first)[live])[some]
+            found = np.bincount(
+                np.repeat(owner, many) * BLOCK + self.post_place[post],
+                np.repeat(value[terms], many) * self.post_value[post],
+                len(live) * BLOCK,
+            ).reshape(len(live), BLOCK)
+            found = found + query[live] @ self.dense[block * BLOCK : (block + 1) * BLOCK].T
+            if skip is not None:
+                found[block * BLOCK + np.arange(BLOCK) == skip[live][:, None]] = 0
+            score[live, block] = found
+            top[live] = np.partition(np.concatenate((top[live], found), axis=1), BLOCK, axis=1)[:, BLOCK:]
+
+        best_block = bound.argmax(axis=1)
+        for block in np.unique(best_block).tolist():
+            visit(block, np.flatnonzero(best_block == block))
+        for block in range(self.blocks):
             # equal bounds are visited too, for the smaller id
-            live = np.flatnonzero((bound[np.arange(rows), block] > 0) & (bound[np.arange(rows), block] >= best[:, -1] - 1e-12))
-            if len(live) == 0:
-                break
-            for low in range(0, len(live), 256):
-                part = live[low : low + 256]
-                terms = A.runs(first[part], np.diff(first)[part])
-                owner = np.repeat(np.arange(len(part)), np.diff(first)[part])
-                cell = number[terms] * self.blocks + block[part][owner]
-                many = np.diff(self.cell_first)[cell]
-                post = A.runs(self.cell_first[cell], many)
-                score = np.bincount(
-                    np.repeat(owner, many) * BLOCK + self.post_row[post] % BLOCK,
-                    np.repeat(value[terms], many) * self.post_value[post],
-                    len(part) * BLOCK,
-                ).reshape(len(part), BLOCK)
-                example = block[part][:, None] * BLOCK + np.arange(BLOCK)
-                if own:
-                    score[example == part[:, None]] = 0
-                score = np.concatenate((best[part], score), axis=1)
-                example = np.concatenate((place[part], np.where(score[:, K:] > 0, example, -1)), axis=1)
-                # examples are numbered in the order of their ids
-                top = np.lexsort((np.where(example < 0, len(self.ids), example), -np.round(score, 12)), axis=1)[:, :K]
-                best[part] = np.take_along_axis(score, top, axis=1)
-                place[part] = np.take_along_axis(example, top, axis=1)
+            live = (bound[:, block] > 0) & (bound[:, block] >= top.min(axis=1) - 1e-9) & (best_block != block)
+            if live.any():
+                visit(block, np.flatnonzero(live))
+        # examples are numbered in the order of their ids
+        score = score.reshape(rows, -1)
+        asker, example = np.nonzero((score > 0) & (score >= top.min(axis=1)[:, None] - 1e-9))
+        cosine = score[asker, example]
+        order = np.lexsort((example, -np.round(cosine, TIE), asker))
+        turn = np.arange(len(asker)) - np.searchsorted(asker, asker)
+        kept = turn < K
+        best, place = np.zeros((rows, K)), np.full((rows, K), -1)
+        best[asker[kept], turn[kept]] = cosine[order][kept]
+        place[asker[kept], turn[kept]] = example[order][kept]
         return best, place
 
     def _votes(self, best, place) -> np.ndarray:
@@ -169,8 +194,8 @@ class Index:
         total = weight.sum(axis=1)
         return np.where(total > 0, (weight * self.label[place]).sum(axis=1) / np.maximum(total, 1e-12), -1.0)
 
-    def _calibrate(self, row, number, value, rows) -> None:
-        vote = self._votes(*self.nearest(row, number, value, rows, own=True))
+    def _calibrate(self, number, row, value) -> None:
+        vote = self._votes(*self.nearest(row, number, value, len(self.ids), own=True))
         toxic = self.label.mean()
         weight = np.where(self.label > 0, self.share / toxic, (1 - self.share) / (1 - toxic))
         level, mean, mass = [], [], []
@@ -190,8 +215,7 @@ class Index:
         if len(self.term) == 0:
             return np.full(rows, self.share), [[]] * rows
         word, n, first = counted(column)
-        parts = self._query_parts(word, n, np.repeat(np.arange(rows), np.diff(first)), rows)
-        best, place = self.nearest(*parts)
+        best, place = self.nearest(*self.query(word, n, np.repeat(np.arange(rows), np.diff(first)), rows), rows)
         vote = self._votes(best, place)
         some = self.level >= 0
         score = np.full(rows, self.rate[~some][0] if not some.all() else self.share)

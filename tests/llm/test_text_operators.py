@@ -357,15 +357,28 @@ def test_block_max_search_is_exact():
     words = [word[i:j] for i, j in zip(first, first[1:])]
     counts = [n[i:j] for i, j in zip(first, first[1:])]
     index = toxicity.Index(np.arange(900), np.array([r[3] for r in made]), words, counts, 0.2)
+    assert set(index.term.tolist()) == set(word.tolist())  # every word of the examples
     row = np.repeat(np.arange(900), np.diff(first))
-    parts = index._query_parts(word, n, row, 900)
-    best, place = index.nearest(*parts)
+    best, place = index.nearest(*index.query(word, n, row, 900), 900)
     dense = np.zeros((900, len(index.term)))
-    dense[parts[0], parts[1]] = parts[2]
+    dense[row, np.searchsorted(index.term, word)] = (1 + np.log(n)) * index.weight[np.searchsorted(index.term, word)]
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
     cosine = dense @ dense.T
     want = -np.sort(-cosine, axis=1)[:, : toxicity.K]
     assert np.allclose(best, want, atol=1e-9)
+    assert np.allclose(best[:, 0], 1)  # each example finds itself, or one that is equal in its words
     assert all(abs(cosine[i, p] - b) < 1e-9 for i in range(900) for p, b in zip(place[i], best[i]) if p >= 0)
+    one, _ = index.nearest(*index.query(np.append(word[: first[1]], np.uint64(7)), np.append(n[: first[1]], 3), np.zeros(first[1] + 1, dtype=int), 1), 1)
+    assert 0.9 < one[0, 0] < 1  # a word that no example holds lengthens the text's vector only
+
+
+def test_equal_examples_vote_in_the_order_of_their_ids():
+    word, n, first = toxicity.counted(pa.array(["snarl at the old gate"] * 40 + ["walk to the old gate"] * 40))
+    words, counts = [word[i:j] for i, j in zip(first, first[1:])], [n[i:j] for i, j in zip(first, first[1:])]
+    index = toxicity.Index(np.arange(100, 180), np.array([1] * 40 + [0] * 40), words, counts, 0.5)
+    scores, evidence = index.scores(pa.array(["Snarl at the old gate", "walk to the old gate", None, "", "zzz"]))
+    assert evidence == [[100, 101, 102], [140, 141, 142], [], [], []]
+    assert scores[0] > 0.99 and scores[1] < 0.01 and scores[2] == scores[3] == scores[4] == 0.5
 
 
 def test_language_of_held_out_rows(spark):
