@@ -1,12 +1,15 @@
 """Personal data: generators propose overlapping spans, boosted trees score them, calibrated thresholds select.
 
 Base spans come from four patterns with their checks (parts of an address up to 255, Luhn, count of digits) and always
-stay. Wider generators propose more: addresses whose sign is spelled ``(at)``, numbers in phone or card shape
-without the prefix or with other separators, matches of the base patterns that failed a check. Trees score each proposal by its
+stay. Wider generators propose more: addresses whose sign is spelled ``(at)``, host numbers with dots in brackets, numbers in
+phone or card shape without the prefix or with other separators, matches of the base patterns that failed a check, and parts of
+these: a phone or card followed by another number is one match of its base pattern that fails. Trees score each proposal by its
 format and context. They are fitted on at most ``TRAIN_DOCS`` documents (a documented bound; picked by a hash of the id) and
 20 proposals for each of these (a second bound; beyond it kinds and labels take turns, each in the order of a hash of the place):
-base spans, and base spans rewritten the way the wider generators see them, against all other proposals. On the half of
-the proposals that was not used for fitting, the lowest threshold per kind at which PRECISION of what it selects is right is kept; a
+base spans, base spans rewritten the way the wider generators see them, and base spans with a number set behind them, against all
+other proposals that are no base span even alone, those of wrong length beside such a number and those of spoiled base spans (a part above 255, a wrong check
+digit, a price in place of a domain) among them. On the half of
+the proposals that was not used for fitting, the lowest threshold per kind at which PRECISION of what it selects is right is kept, halfway to the next lower score; a
 kind without such a threshold selects nothing. A selected span that overlaps a base span is dropped, and of overlapping selected
 spans the best one stays.
 
@@ -46,7 +49,9 @@ DIGIT = re.compile(r"[0-9]")
 SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)+", re.IGNORECASE
 )
-NUMBER = re.compile(r"[(+]?[0-9][0-9 ().\-/]{6,28}[0-9]")
+BRACKETED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\.| ?[(\[](?:dot|\.)[)\]] ?)[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+AROUND = 40  # characters kept beside a span in an altered text
+NUMBER = re.compile(r"(?<!\w)[(+]?[0-9][0-9 ().\-/]{6,28}[0-9](?!\w)")
 WORDS = {
     "email": ("mail", "contact"),
     "ip": ("ip", "host", "server", "address"),
@@ -104,7 +109,7 @@ def base_matches(text: str) -> tuple[list[Span], list[Span]]:
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 good.append((m.start(), 2, m.end()))
-            elif 12 <= len(digits) <= 21:
+            elif len(digits) >= 12:
                 bad.append((m.start(), 2, m.end()))
         if "+" in text:
             for m in PHONE.finditer(text):
@@ -112,12 +117,38 @@ def base_matches(text: str) -> tuple[list[Span], list[Span]]:
     return sorted(good), bad
 
 
+def parts_of(text: str, start: int, end: int, least: int, most: int, first: bool) -> list[tuple[int, int]]:
+    """Stretches of whole groups of digits that hold ``least`` to ``most`` of them; ``first``: from the start only."""
+    groups = [m.span() for m in PART.finditer(text, start, end)]
+    found = []
+    for i in range(1 if first else len(groups)):
+        n = 0
+        for low, high in groups[i : i + most]:
+            n += high - low
+            if n > most:
+                break
+            if n >= least:
+                found.append((start if first else groups[i][0], high))
+    return found
+
+
 def proposals(text: str, base: list[Span], failed: list[Span]) -> list[Span]:
     """Overlapping spans of the wider generators, without those that are base spans."""
-    found = set(failed)
-    if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
+    found = set()
+    for start, kind, end in failed:
+        if KINDS[kind] != "card" or end - start <= 41:  # 21 digits and the separators between them
+            found.add((start, kind, end))
+        if KINDS[kind] == "phone":
+            found |= {(start, kind, high) for _, high in parts_of(text, start, end, 10, 15, True)}
+        if KINDS[kind] == "card":
+            spans = parts_of(text, start, end, 14, 19, False)
+            found |= {(low, kind, high) for low, high in spans if luhn(_digits(text[low:high]))}
+    folded = text.casefold() if "(" in text or "[" in text else ""
+    if "at)" in folded or "at]" in folded:
         found |= {(m.start(), 0, m.end()) for m in SPELLED.finditer(text)}
     if DIGIT.search(text):
+        if any(mark in folded for mark in ("dot)", "dot]", ".)", ".]")):
+            found |= {(m.start(), 1, m.end()) for m in BRACKETED.finditer(text) if all(map(_small, PART.findall(m.group())))}
         for m in NUMBER.finditer(text):
             n = len(_digits(m.group()))
             if 9 <= n <= 15:
@@ -172,7 +203,49 @@ def rewritten(text: str, span: Span) -> str:
         step = (".", "/", "  ")[pick]
         digits = _digits(form)
         return step.join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    return form
+    return form.replace(".", ("[.]", "(dot)", " [dot] ")[pick])
+
+
+def alone(form: str, kind: int) -> bool:
+    return (0, kind, len(form)) in base_matches(form)[0]
+
+
+def altered(text: str, span: Span) -> list[tuple[list[float], int]]:
+    """Features and labels of proposals in texts made from a base span: a number set behind it, or the span spoiled."""
+    start, kind, end = span
+    before, form, after = text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]
+    mark = zlib.crc32(form.encode())
+    quad = ".".join(str(b) for b in mark.to_bytes(4, "big"))
+    numbers = (quad, f"{mark:010d}{mark % 1000000:06d}", f"{mark:010d}"[: 3 + mark % 6])
+    texts: list[tuple[str, str]] = []  # what stands before the span, and from its start on
+    spoiled = ""
+    if KINDS[kind] in ("card", "phone"):
+        texts += [(before, f"{form} {number}{after}") for number in numbers]
+    if KINDS[kind] == "card":
+        texts += [(f"{before}{number} ", form + after) for number in numbers[1:]]
+        spoiled = form[:-1] + str((int(form[-1]) + 1 + mark % 8) % 10)
+    if KINDS[kind] == "ip":
+        spoiled = f"{form.rsplit('.', 1)[0]}.{256 + mark % 700}"
+    if KINDS[kind] == "email":
+        words = re.findall(r"[^\W\d_]+", before + " " + after, re.ASCII) or ["here"]
+        spoiled = f"{words[0]} (at) {mark % 900}.{mark % 97:02d}"  # a price
+    right_texts = len(texts)
+    if spoiled:
+        texts.append((before, spoiled + after))
+    out = []
+    if KINDS[kind] == "email":  # names without numbers too
+        local, domain = form.split("@")
+        out.append((features(text, span, f"{DIGIT.sub('', local) or 'name'} (at) {DIGIT.sub('', domain)}"), 1))
+    for n, (head, tail) in enumerate(texts):
+        made = head + tail
+        own = (len(head), kind, len(made) - len(after))
+        if n < right_texts:
+            own = (len(head), kind, len(head) + len(form))
+        base, failed = base_matches(made)
+        for s in proposals(made, base, failed):  # what does not meet the span is not known to be right or wrong
+            if s[0] < own[2] and s[2] > own[0] and all(s[2] <= b[0] or s[0] >= b[2] for b in base):
+                out.append((features(made, s), int(s == own and n < right_texts)))
+    return out
 
 
 class Selector:
@@ -194,7 +267,9 @@ class Selector:
             last = np.concatenate((s[1:] < s[:-1], [True]))  # equal scores are selected together
             fine = np.flatnonzero(last & (right >= PRECISION * count) & (count >= LEAST))
             if len(fine):
-                self.limit[kind] = s[fine[-1]]
+                low = fine[-1]
+                below = s[low + 1] if low + 1 < len(s) else 0.0
+                self.limit[kind] = (s[low] + below) / 2
 
     def select(self, text: str, base: list[Span], failed: list[Span]) -> list[Span]:
         offered = proposals(text, base, failed)
@@ -217,8 +292,16 @@ def _example_batches(batches):
             for s in base:
                 x += [features(text, s), features(text, s, rewritten(text, s))]
                 y += [1, 1]
-                place += [(doc, *s)] * 2
-            covered = [s for s in proposals(text or "", base, failed) if all(s[2] <= b[0] or s[0] >= b[2] for b in base)]
+                made = altered(text, s)
+                x += [m[0] for m in made]
+                y += [m[1] for m in made]
+                place += [(doc, *s)] * (2 + len(made))
+            # a part of a failed match that alone would be a base span may be right: it is no example
+            covered = [
+                s
+                for s in proposals(text or "", base, failed)
+                if all(s[2] <= b[0] or s[0] >= b[2] for b in base) and not alone(text[s[0] : s[2]], s[1])
+            ]
             x += [features(text, s) for s in covered]
             y += [0] * len(covered)
             place += [(doc, *s) for s in covered]

@@ -372,6 +372,53 @@ def test_block_max_search_is_exact():
     assert 0.9 < one[0, 0] < 1  # a word that no example holds lengthens the text's vector only
 
 
+def test_spans_that_base_patterns_miss_are_found(spark):
+    """Planted forms of each kind, held out of training: phones and cards run on into other numbers, spelled signs and dots."""
+    r = random.Random(21)
+    digit = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digit(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def phone():
+        return f"+1 ({digit(3)}) 555-{digit(4)}"
+
+    def ip():
+        return ".".join(str(r.randint(1, 255)) for _ in range(4))
+
+    made = []
+    for k in range(900):
+        item = [card, phone, ip, lambda: f"{prose(k, 1)}{k}@mail{k % 7}.example.com"][k % 4]()
+        made.append((k, f"{prose(k, 9)} {item} {prose(k + 1, 9)} {digit(16) if k % 3 == 0 else ''}"))
+    selector = pii.train(spark.createDataFrame(made, "doc_id long, text string"))
+    planted = {kind: 0 for kind in pii.KINDS}
+    wrong = 0
+    for k in range(200):
+        forms = {"phone": (phone(), " " + ip()), "card": (card(), " " + digit(5))}
+        forms |= {"ip": (ip().replace(".", "[.]"), ""), "email": (f"{prose(k, 1)}{k} (at) mail{k % 5}.example.com", "")}
+        for kind, (form, behind) in forms.items():
+            text = f"{prose(k + 2, 8)} {form}{behind} {prose(k + 3, 8)}"
+            base, failed = pii.base_matches(text)
+            added = set(selector.select(text, base, failed)) - set(base)
+            start = text.index(form)
+            right = (start, pii.KINDS.index(kind), start + len(form))
+            planted[kind] += right in added
+            wrong += len(added - {right})
+    assert min(planted.values()) >= 180, planted
+    assert wrong <= 16
+    for clean in ("version 1.2.3 of 2024", "order 1234567 at (at) noon", "three rolls (at) 12.50 each", "@handle met us", "9807915762804490 is no card"):
+        assert selector.select(clean, *pii.base_matches(clean)) == []
+
+
+def test_parts_of_a_failed_match():
+    text = "+1 (826) 555-4081 190.137.223.204"
+    base, failed = pii.base_matches(text)
+    assert base == [(18, 1, 33)] and (0, 3, 17) in pii.proposals(text, base, failed)
+    long_ = "1 " * 20000  # groups without end are searched in linear time
+    assert pii.base_matches(long_)[0] == [] and len(pii.proposals(long_, *pii.base_matches(long_))) < 200000
+
+
 def test_equal_examples_vote_in_the_order_of_their_ids():
     word, n, first = toxicity.counted(pa.array(["snarl at the old gate"] * 40 + ["walk to the old gate"] * 40))
     words, counts = [word[i:j] for i, j in zip(first, first[1:])], [n[i:j] for i, j in zip(first, first[1:])]
