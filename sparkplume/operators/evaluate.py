@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkplume.functions import scalars as S
 from sparkplume.operators.ordering import ROWS_PER_RANGE, running_total
+from sparkplume.session import materialize
 
 
 def pair_obs_pred(observed: DataFrame, predicted: DataFrame, key: str = "system_id", value: str = "z") -> DataFrame:
@@ -54,9 +55,11 @@ def rank_runs(
     def key(score: str):
         return F.col(score) if digits is None else F.format_string(f"%.{digits - 1}e", F.col(score)).cast("double")
 
-    ranked = runs.withColumns({f"_{c}": F.when(F.col(c).isNotNull(), key(c)) for c in ("rmse", "mae")})
+    ranked = materialize(runs, "runs")
+    rows = ranked.count()  # a row stays a row in both rankings
+    ranked = ranked.withColumns({f"_{c}": F.when(F.col(c).isNotNull(), key(c)) for c in ("rmse", "mae")})
     for order, rank in (("_rmse", "rmse_rank"), ("_mae", "mae_rank")):
-        ranked = running_total(ranked, [order, name], by, name=rank, rows_per_range=rows_per_range)
+        ranked = running_total(ranked, [order, name], by, name=rank, rows_per_range=rows_per_range, rows=rows)
     return ranked.withColumn("ave_rank", (F.col("rmse_rank") + F.col("mae_rank")) / 2).drop("_rmse", "_mae")
 
 

@@ -24,15 +24,19 @@ def running_total(
     weight: str | None = None,
     name: str = "running",
     rows_per_range: int = ROWS_PER_RANGE,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the sum of ``weight`` (default 1) over rows up to and including this one within ``by``.
 
     Ascending, NULLs last; rows that agree in all of ``order`` come in any order. NULL is a group of its own.
-    ``rows_per_range`` sets the size of a task and nothing else.
+    ``rows_per_range`` sets the size of a task and nothing else. ``rows``: the number of rows where it is known, which
+    spares writing ``df`` to count it.
     """
     w = F.col(weight) if weight else F.lit(1).cast("long")
-    df = materialize(df, "ordered")
-    ranges = max(1, -(-df.count() // rows_per_range))
+    if rows is None:
+        df = materialize(df, "ordered")
+        rows = df.count()
+    ranges = max(1, -(-rows // rows_per_range))
     sort = [F.col(c).asc_nulls_last() for c in order]
     dealt = df.repartitionByRange(ranges, *[F.col(c).asc_nulls_last() for c in by], *sort)
     dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
