@@ -8,6 +8,7 @@ square of its neighbours in memory, which a fixed radius over crowded places sho
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,17 +20,19 @@ from sparkplume.operators.spatial import Grid, make_grid, usable
 from sparkplume.session import materialize
 
 SCHEMA = "run_id string, target_id long, value double, variance double, status string"
+COLUMNS = {"run_id": object, "target_id": "int64", "value": float, "variance": float, "status": object}
 DRIFT_ORDER = {"LinearDrift": 1, "QuadDrift": 2}
 STACK_DOUBLES = 4_000_000  # size of one stack of systems
 
 
-def merge_places(points: DataFrame) -> DataFrame:
-    """Points at one location become one with their mean; equal locations would make systems singular."""
+def merge_places(points: DataFrame, by: str | None = None) -> DataFrame:
+    """Points at one location (of one group) become one with their mean; equal locations would make systems singular."""
+    group = [] if by is None else [by]
     return (
-        usable(points)
-        .groupBy("x", "y")
+        usable(points, *group)
+        .groupBy(*group, "x", "y")
         .agg(F.min("system_id").alias("system_id"), F.avg("z").alias("z"))
-        .select("system_id", "x", "y", "z")
+        .select("system_id", "x", "y", "z", *group)
     )
 
 
@@ -155,8 +158,32 @@ def _terms(run: dict) -> int:
     return (1, 3, 6)[DRIFT_ORDER.get(run["model"], 0)]
 
 
-def _as_dicts(runs: Sequence[Row]) -> list[dict]:
-    return [r.asDict() if isinstance(r, Row) else dict(r) for r in runs]
+@dataclass(frozen=True)
+class Groups:
+    """Targets numbered through groups of ``size`` cells; a run belongs to the group that its field ``by`` names."""
+
+    by: str
+    size: int
+
+
+def _by_group(runs: Sequence[Row], groups: Groups | None) -> dict[int, list[dict]]:
+    """The runs of each group; without groups all are those of group 0."""
+    out: dict[int, list[dict]] = {}
+    for r in runs:
+        plain = r.asDict() if isinstance(r, Row) else dict(r)
+        out.setdefault(0 if groups is None else plain[groups.by], []).append(plain)
+    return out
+
+
+def _krige_groups(
+    ids: np.ndarray, parts: list[tuple], runs: dict[int, list[dict]], groups: Groups | None
+) -> Iterator[pd.DataFrame]:
+    """The targets of each group with the runs of that group; a group without runs gives no rows."""
+    number = np.zeros(len(ids), dtype=np.int64) if groups is None else ids // groups.size
+    for group in np.unique(number):
+        at = np.flatnonzero(number == group)
+        if int(group) in runs:
+            yield _krige_batch(ids[at], [parts[i] for i in at], runs[int(group)])
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -170,31 +197,31 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("value", "variance")})
 
 
-def krige(neighbors: DataFrame, runs: Sequence[Row]) -> DataFrame:
+def krige(neighbors: DataFrame, runs: Sequence[Row], groups: Groups | None = None) -> DataFrame:
     """Predict at each target for each run from its sorted ``neighbors`` array (see ``knn``).
 
     A run holds ``run_id, model, a, nugget, sill`` and either type ``variable`` with ``num_points`` or
     type ``fixed`` with ``distance, f_pts``; for the latter the array must reach over the radius. The
-    array crosses to Python once for all runs.
+    array crosses to Python once for all runs. With ``groups`` a target has the runs of its own group.
     """
-    plain = _as_dicts(runs)
+    plain = _by_group(runs, groups)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, parts = batch["target_id"].to_numpy(), []
             for tx, ty, d, x, y, z in zip(batch["tx"], batch["ty"], batch["d"], batch["x"], batch["y"], batch["z"]):
                 parts.append((np.asarray(d), np.asarray(x) - tx, np.asarray(y) - ty, np.asarray(z)))
-            if len(ids):
-                yield _krige_batch(ids, parts, plain)
+            yield from _krige_groups(ids, parts, plain, groups)
 
     n = F.col("neighbors")
     flat = neighbors.select("target_id", "tx", "ty", *[n[c].alias(c) for c in ("d", "x", "y", "z")])
     return _clean(_spread(flat).mapInPandas(solve, SCHEMA))
 
 
-def krige_radius(pairs: DataFrame, runs: Sequence[Row]) -> DataFrame:
-    """As ``krige`` from rows ``target_id, tx, ty, d, id, x, y, z``, one group per target."""
-    plain = _as_dicts(runs)
+def krige_radius(pairs: DataFrame, runs: Sequence[Row], groups: Groups | None = None) -> DataFrame:
+    """As ``krige`` from rows ``target_id, tx, ty, d, id, x, y, z``, one task group per target."""
+    plain = _by_group(runs, groups)
+    empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in COLUMNS.items()})
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["d", "id"])
@@ -204,25 +231,33 @@ def krige_radius(pairs: DataFrame, runs: Sequence[Row]) -> DataFrame:
             g["y"].to_numpy() - g["ty"].iloc[0],
             g["z"].to_numpy(),
         )
-        return _krige_batch(g["target_id"].to_numpy()[:1], [part], plain)
+        return next(_krige_groups(g["target_id"].to_numpy()[:1], [part], plain, groups), empty)
 
     return _clean(_spread(pairs).groupBy("target_id").applyInPandas(solve, SCHEMA))
 
 
-def krige_sweep(points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFrame | None = None) -> DataFrame:
-    """``run_id, target_id, value, variance, status`` of all runs, fixed and variable."""
-    points = materialize(merge_places(points), "places")
+def krige_sweep(
+    points: DataFrame, grid: Grid, runs: Sequence[Row], cells: DataFrame | None = None, by: str | None = None
+) -> DataFrame:
+    """``run_id, target_id, value, variance, status`` of all runs, fixed and variable.
+
+    ``by`` numbers groups of points, cells and runs: a run is a row of one group, with that group's model, and all
+    groups share one search. Targets are numbered on through the groups, ``cells`` must then be given.
+    """
+    groups = None if by is None else Groups(by, grid.size)
+    points = materialize(merge_places(points, by), "places")
     cells = cells if cells is not None else make_grid(points.sparkSession, grid)
     cells = materialize(cells, "cells")
     parts = []
     variable = [r for r in runs if r["type"] == "variable"]
     if variable:
         k = max(int(r["num_points"]) for r in variable)
-        parts.append(krige(materialize(knn(grid_targets(cells), points, k), "neighbors"), variable))
+        neighbors = materialize(knn(grid_targets(cells, grid, by), points, k, by=by), "neighbors")
+        parts.append(krige(neighbors, variable, groups))
     fixed = [r for r in runs if r["type"] == "fixed"]
     if fixed:
         pairs = radius_neighbors(
-            points, max(r["distance"] for r in fixed), max(int(r["f_pts"]) for r in fixed), grid, cells
+            points, max(r["distance"] for r in fixed), max(int(r["f_pts"]) for r in fixed), grid, cells, by
         )
-        parts.append(krige_radius(pairs, fixed))
+        parts.append(krige_radius(pairs, fixed, groups))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -155,16 +155,21 @@ def radius_rows(
 
 
 def radius_neighbors(
-    points: DataFrame, radius: float, min_points: int, grid: Grid, cells: DataFrame | None = None
+    points: DataFrame,
+    radius: float,
+    min_points: int,
+    grid: Grid,
+    cells: DataFrame | None = None,
+    by: str | None = None,
 ) -> DataFrame:
     """All points within the radius of each cell and, where they are too few, the nearest ``min_points``.
 
     Result: ``target_id, tx, ty, d, id, x, y, z``. The two sources do not overlap: the nearest points
-    contribute only those beyond the radius.
+    contribute only those beyond the radius. With ``by``, as in ``radius_rows``, groups meet only themselves.
     """
     points = materialize(points, "points")
-    targets = grid_targets(cells if cells is not None else make_grid(points.sparkSession, grid))
+    targets = grid_targets(cells if cells is not None else make_grid(points.sparkSession, grid), grid, by)
     beyond = (
-        neighbor_rows(knn(targets, points, min_points)).where(F.col("d") > radius).drop("rank")
+        neighbor_rows(knn(targets, points, min_points, by=by)).where(F.col("d") > radius).drop("rank")
     )
-    return radius_rows(points, radius, grid, cells).unionByName(beyond)
+    return radius_rows(points, radius, grid, cells, by).unionByName(beyond)

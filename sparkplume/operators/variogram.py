@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkplume.operators.spatial import usable
 from sparkplume.operators.tiles import BOX, build_tiles
@@ -20,13 +19,13 @@ MODELS = ("Spherical", "Circular", "Exponential", "Gaussian", "Linear")
 NODE = ("tile", "n", "m", "q", *BOX, "level", "inner", "place")
 
 
-def _nodes(points: DataFrame, leaf: int) -> tuple[DataFrame, list] | None:
-    """Tiles and places as one table of nodes with their parent, and the nodes of the first level.
+def _nodes(points: DataFrame, leaf: int, by: str | None = None) -> DataFrame | None:
+    """Tiles and places as one table of nodes with their parent; groups have nodes of their own.
 
     A node has count, mean and sum of squared deviations of z, and the box of its points. ``inner``
     tiles have tiles below them; the other tiles have places below them, one per location.
     """
-    tiles = build_tiles(points, leaf, ("avg(z) m", "var_pop(z) * count(1) q"))
+    tiles = build_tiles(points, leaf, ("avg(z) m", "var_pop(z) * count(1) q"), by)
     if tiles is None:
         return None
     table = tiles.reachable().selectExpr(
@@ -43,8 +42,15 @@ def _nodes(points: DataFrame, leaf: int) -> tuple[DataFrame, list] | None:
             "0 AS level", "false AS inner", "true AS place",
         )
     )
-    nodes = materialize(table.unionByName(places), "nodes")
-    return nodes, nodes.where("level = 1").select(*NODE).collect()  # at most 16 rows
+    return materialize(table.unionByName(places), "nodes")
+
+
+def _first_pairs(nodes: DataFrame, by: str | None) -> DataFrame:
+    """Pairs of nodes of the first level, each once: at most 16 nodes, or so many per group, which meet only each other."""
+    group = F.lit(0) if by is None else F.col("tile.g")
+    top = nodes.where("level = 1").select(group.alias("g"), F.struct(*NODE).alias("node"))
+    sides = [top.select("g", F.col("node").alias(s)) for s in "ab"]
+    return sides[0].join(sides[1], "g").where("a.tile <= b.tile").selectExpr("a", "b", "a.tile = b.tile AS same")
 
 
 def _judge(pairs: DataFrame, lags: Sequence[float], n_lags: int) -> DataFrame:
@@ -93,47 +99,51 @@ def _open(pairs: DataFrame, nodes: DataFrame, both: bool) -> DataFrame:
     )
 
 
-def _sums(pairs: DataFrame, lags: Sequence[float], n_lags: int) -> DataFrame:
+def _sums(pairs: DataFrame, lags: Sequence[float], n_lags: int, by: str | None = None) -> DataFrame:
     """Pairs of points and squared differences per joint bin, from the moments of the nodes."""
+    group = [] if by is None else [by]
     return (
         pairs.selectExpr(
+            *[f"a.tile.g AS {c}" for c in group],
             *[f"int(least(floor(near / {lag!r}D), {n_lags})) AS b{i}" for i, lag in enumerate(lags)],
             "CASE WHEN same THEN a.n * (a.n - 1) div 2 ELSE a.n * b.n END AS n",
             "CASE WHEN same THEN a.n * a.q ELSE a.n * b.n * (a.m - b.m) * (a.m - b.m) + b.n * a.q + a.n * b.q END AS d2",
         )
-        .groupBy(*[f"b{i}" for i in range(len(lags))])
+        .groupBy(*group, *[f"b{i}" for i in range(len(lags))])
         .agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"))
     )
 
 
-def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS, leaf: int = LEAF) -> DataFrame:
+def semivariogram(
+    points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS, leaf: int = LEAF, by: str | None = None
+) -> DataFrame:
     """``lag, bin, n_pairs, h, gamma`` for every lag distance; h is the middle of the bin.
 
     Pairs of tiles stand for all pairs of their points. As soon as every distance between two tiles
     falls in one bin, their counts, means and variances give the exact contribution; otherwise the
     larger tile is opened. A crowded place or town is thus one node for all that is far from it, and
     for itself, and point pairs are formed only between small tiles that a bin limit cuts.
+
+    With ``by``, a column of whole numbers, every group of points has bins of its own, named by that column; all groups
+    go through the same steps together. A group of fewer than two points has none.
     """
+    group = [] if by is None else [by]
     lags = sorted({float(lag) for lag in lags})
     spark = points.sparkSession
-    built = _nodes(materialize(usable(points).select("x", "y", "z"), "sites"), leaf)
+    sites = usable(points, *group).select("x", "y", "z", *group).na.drop("any")
+    nodes = _nodes(materialize(sites, "sites"), leaf, by)
     parts = []
-    if built is not None:
-        nodes, top = built
-        # the nodes below a struct of the same shape as the ones joined later
-        node_type = nodes.select(F.struct(*NODE).alias("s")).schema["s"].dataType
-        first = [(tuple(p), tuple(r), i == j) for i, p in enumerate(top) for j, r in enumerate(top) if i <= j]
-        start = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type), T.StructField("same", T.BooleanType())])
-        pairs = materialize(_judge(spark.createDataFrame(first, start), lags, n_lags), "node_pairs")
+    if nodes is not None:
+        pairs = materialize(_judge(_first_pairs(nodes, by), lags, n_lags), "node_pairs")
         while True:
-            parts.append(_sums(pairs.where("status = 'done'"), lags, n_lags))
+            parts.append(_sums(pairs.where("status = 'done'"), lags, n_lags, by))
             last_step = _judge(_open(pairs.where("status = 'finish'"), nodes, both=True), lags, n_lags)
-            parts.append(_sums(last_step, lags, n_lags))
+            parts.append(_sums(last_step, lags, n_lags, by))
             todo = pairs.where("status = 'open'")
             if todo.isEmpty():
                 break
             pairs = materialize(_judge(_open(todo, nodes, both=False), lags, n_lags), "node_pairs")
-    columns = ", ".join(f"b{i} int" for i in range(len(lags)))
+    columns = ", ".join([*(f"{c} long" for c in group), *(f"b{i} int" for i in range(len(lags)))])
     joint = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], f"{columns}, n long, d2 double"))
     by_lag = F.explode(
         F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"b{i}").alias("bin")) for i, lag in enumerate(lags)])
@@ -141,10 +151,10 @@ def semivariogram(points: DataFrame, lags: Sequence[float], n_lags: int = N_LAGS
     return (
         joint.withColumn("_b", by_lag)
         .where(F.col("_b.bin") < n_lags)
-        .groupBy(F.col("_b.lag").alias("lag"), F.col("_b.bin").alias("bin"))
+        .groupBy(*group, F.col("_b.lag").alias("lag"), F.col("_b.bin").alias("bin"))
         .agg(F.sum("n").alias("n_pairs"), F.try_divide(F.sum("d2"), 2 * F.sum("n")).alias("gamma"))
         .where("n_pairs > 0")
-        .selectExpr("lag", "bin", "n_pairs", "(bin + 0.5D) * lag AS h", "gamma")
+        .selectExpr(*group, "lag", "bin", "n_pairs", "(bin + 0.5D) * lag AS h", "gamma")
     )
 
 
@@ -167,8 +177,10 @@ def shape(model: str, h: Column, a: Column) -> Column:
     return F.when(u < 1.0, rise).otherwise(1.0)
 
 
-def fit_semivariogram(bins: DataFrame, models: Sequence[str] = MODELS, n_lags: int = N_LAGS) -> DataFrame:
-    """``lag, model, a, nugget, sill, misfit``: best of the candidate ranges 1..n_lags lags.
+def fit_semivariogram(
+    bins: DataFrame, models: Sequence[str] = MODELS, n_lags: int = N_LAGS, by: str | None = None
+) -> DataFrame:
+    """``lag, model, a, nugget, sill, misfit``: best of the candidate ranges 1..n_lags lags, for every group of bins.
 
     For a given range the model is linear in nugget and sill, so their weighted least-squares solution
     is closed-form; weights are pairs over squared distance. Works on bins only, a few rows per lag.
@@ -180,9 +192,10 @@ def fit_semivariogram(bins: DataFrame, models: Sequence[str] = MODELS, n_lags: i
     shapes = F.explode(
         F.array(*[F.struct(F.lit(m).alias("model"), shape(m, F.col("h"), F.col("a")).alias("f")) for m in models])
     )
-    rows = rows.withColumn("_m", shapes).select("lag", F.col("_m.model").alias("model"), "a", "w", F.col("_m.f").alias("f"), F.col("gamma").alias("y"))
+    group = [] if by is None else [by]
+    rows = rows.withColumn("_m", shapes).select(*group, "lag", F.col("_m.model").alias("model"), "a", "w", F.col("_m.f").alias("f"), F.col("gamma").alias("y"))
     w, f, y = F.col("w"), F.col("f"), F.col("y")
-    key = ["lag", "model", "a"]
+    key = [*group, "lag", "model", "a"]
     sums = rows.groupBy(*key).agg(
         F.sum(w).alias("sw"),
         F.sum(w * f).alias("sf"),
@@ -216,4 +229,4 @@ def fit_semivariogram(bins: DataFrame, models: Sequence[str] = MODELS, n_lags: i
         .withColumn("misfit", F.round(F.coalesce(F.try_divide(F.col("rss"), F.col("tss")), F.lit(1.0)), 9))
     )
     best = F.min_by(F.struct("a", "nugget", "sill", "misfit"), F.struct("misfit", "a"))
-    return scored.groupBy("lag", "model").agg(best.alias("_b")).select("lag", "model", "_b.*")
+    return scored.groupBy(*group, "lag", "model").agg(best.alias("_b")).select(*group, "lag", "model", "_b.*")

@@ -617,6 +617,45 @@ def oracle_sql() -> dict[str, str]:
             SELECT run_id, 'ok' AS status, n, round(rmse, 12) AS rmse, round(mae, 12) AS mae, ave_rank FROM ranked""",
             "ranked_pairs", "train", "test_cells")
 
+    part_of = "list_position(['PFOA_GW', 'PFOA_SW', 'PFOS_GW', 'PFOS_SW'], dataset) - 1"
+    reads = fine.split("near4 AS")[0].replace("{reads}", f"SELECT dataset, system_id, cell_id FROM points4 JOIN fine ON {own_cell} WHERE NOT is_train")
+
+    def swept(method: str) -> str:
+        """Metrics and ranks of a kriging method's sweep of all datasets."""
+        settings = f"""
+            SELECT concat(method, '_', {RUN_NAME}) AS run_id, model, CAST(coalesce(lag, 8046.7) AS DOUBLE) AS lag, type, num_points, distance, f_pts
+            FROM ({KRIGE_RUNS}) WHERE method = '{method}'"""
+        near = f"""
+            SELECT part * 15625 + cell_id AS cell_id, rnk, d, x - cx AS x, y - cy AS y, z FROM (
+                SELECT *, row_number() OVER (PARTITION BY part, cell_id ORDER BY d, system_id) AS rnk FROM (
+                    SELECT {part_of} AS part, cell_id, cx, cy, p.x, p.y, p.z, p.system_id,
+                           sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy)) AS d
+                    FROM (SELECT DISTINCT dataset, cell_id FROM reads) JOIN fine USING (cell_id) JOIN points4 p USING (dataset) WHERE p.is_train))
+            WHERE rnk <= 100 OR d <= 161000"""
+        bins = f"""
+            SELECT part, lag, CAST(floor(d / lag) AS INT) AS bin, count(*) AS n_pairs, (floor(d / lag) + CAST(0.5 AS DOUBLE)) * lag AS h,
+                   sum((z1 - z2) * (z1 - z2)) / (2 * count(*)) AS gamma
+            FROM (SELECT {part_of.replace('dataset', 'a.dataset')} AS part, a.z AS z1, b.z AS z2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
+                  FROM points4 a JOIN points4 b ON a.dataset = b.dataset AND a.system_id < b.system_id WHERE a.is_train AND b.is_train),
+                 (SELECT CAST(unnest([8000, 16000, 20000, 24000, 8046.7]) AS DOUBLE) AS lag)
+            WHERE d < 12 * lag GROUP BY part, lag, floor(d / lag)"""
+        return f""", {reads} {krige_ctes(settings, near, bins, 15625)},
+            met AS MATERIALIZED (
+                SELECT dataset, run_id, count(*) AS n, sqrt(avg((z - value) * (z - value))) AS rmse, avg(abs(z - value)) AS mae
+                FROM solved JOIN (SELECT r.*, p.z, ({part_of}) * 15625 + cell_id AS number FROM reads r JOIN points4 p USING (dataset, system_id))
+                     r ON r.number = solved.cell_id GROUP BY ALL),
+            {_ranks(9, 'PARTITION BY dataset')}"""
+
+    scores = "SELECT dataset, run_id, 'ok' AS status, n, round(rmse, {0}) AS rmse, round(mae, {0}) AS mae, ave_rank FROM "
+    for name, method, digits in (("ok_sweep_datasets", "OK", 12), ("uk_sweep_datasets", "UK", 6)):
+        out[name] = _sql(f"{swept(method)} {scores.format(digits)} ranked", "filtered", "inside")
+    again = _ranks(9, "PARTITION BY dataset").replace("ranked AS", "replayed AS").replace("FROM met", "FROM chosen")
+    out["krige_replay_datasets"] = _sql(
+        f"""{swept('UK')},
+            chosen AS (SELECT * FROM met WHERE dataset <> 'PFOA_GW' AND run_id IN (
+                SELECT run_id FROM ranked WHERE dataset = 'PFOA_GW' ORDER BY ave_rank, run_id LIMIT 75)),
+            {again} {scores.format(6)} replayed""", "filtered", "inside")
+
     pair = """two AS (SELECT a.cell_id, a.z AS z1, b.z AS z2, a.d AS d1, b.d AS d2,
                       sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d12
                       FROM ranked_pairs a JOIN ranked_pairs b ON a.cell_id = b.cell_id AND a.rnk = 1 AND b.rnk = 2)"""

@@ -23,32 +23,37 @@ def _shape(h: str) -> str:
     return f"CASE shape {cases} END"
 
 
-def fit_ctes(bins: str) -> str:
-    """``fits(lag, model, a, nugget, sill, misfit)`` from a query of bins: weighted least squares for every candidate range."""
+def fit_ctes(bins: str, by: str = "") -> str:
+    """``fits(lag, model, a, nugget, sill, misfit)`` from a query of bins: weighted least squares for every candidate range.
+
+    ``by`` names a column of the bins whose values have fits of their own.
+    """
+    key = f"{by}, lag" if by else "lag"
     shaped = " UNION ALL ".join(
-        f"SELECT lag, '{m}' AS model, a, w, CAST({e.format(h='h', a='a')} AS DOUBLE) AS f, gamma AS y FROM cand" for m, e in SHAPES.items()
+        f"SELECT {key}, '{m}' AS model, a, w, CAST({e.format(h='h', a='a')} AS DOUBLE) AS f, gamma AS y FROM cand" for m, e in SHAPES.items()
     )
     return f"""cand AS (SELECT b.*, n_pairs / (h * h) AS w, i * lag AS a FROM ({bins}) b, range(1, 13) t(i)),
         shaped AS ({shaped}),
-        eq AS (SELECT lag, model, a, sum(w) AS sw, sum(w * f) AS sf, sum(w * f * f) AS sff, sum(w * y) AS sy, sum(w * f * y) AS sfy
-               FROM shaped GROUP BY lag, model, a),
+        eq AS (SELECT {key}, model, a, sum(w) AS sw, sum(w * f) AS sf, sum(w * f * f) AS sff, sum(w * y) AS sy, sum(w * f * y) AS sfy
+               FROM shaped GROUP BY {key}, model, a),
         free AS (SELECT *, CASE WHEN sw * sff - sf * sf > CAST(1e-9 AS DOUBLE) * sw * sff
                                 THEN (sw * sfy - sf * sy) / (sw * sff - sf * sf) END AS c FROM eq),
         base AS (SELECT *, (sy - c * sf) / sw AS c0 FROM free),
-        kept AS (SELECT lag, model, a, sy / sw AS mean_y, CASE WHEN c0 < 0 THEN sfy / sff ELSE c END AS c, greatest(c0, 0) AS c0 FROM base),
-        sol AS (SELECT lag, model, a, mean_y, CASE WHEN c IS NULL OR c < 0 THEN mean_y ELSE c0 END AS nugget,
+        kept AS (SELECT {key}, model, a, sy / sw AS mean_y, CASE WHEN c0 < 0 THEN sfy / sff ELSE c END AS c, greatest(c0, 0) AS c0 FROM base),
+        sol AS (SELECT {key}, model, a, mean_y, CASE WHEN c IS NULL OR c < 0 THEN mean_y ELSE c0 END AS nugget,
                        CASE WHEN c IS NULL OR c < 0 THEN 0 ELSE c END AS sill FROM kept),
-        score AS (SELECT lag, model, a, nugget, sill,
+        score AS (SELECT {key}, model, a, nugget, sill,
                          round(sum(w * pow(y - nugget - sill * f, 2)) / sum(w * pow(y - mean_y, 2)), 9) AS misfit
-                  FROM shaped JOIN sol USING (lag, model, a) GROUP BY ALL),
-        fits AS MATERIALIZED (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lag, model ORDER BY misfit, a) = 1)"""
+                  FROM shaped JOIN sol USING ({key}, model, a) GROUP BY ALL),
+        fits AS MATERIALIZED (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY {key}, model ORDER BY misfit, a) = 1)"""
 
 
-def krige_ctes(settings: str, near: str, bins: str) -> str:
+def krige_ctes(settings: str, near: str, bins: str, size: int | None = None) -> str:
     """``solved(run_id, cell_id, value, variance)``.
 
     ``settings``: a query of (run_id, model, lag, type, num_points, distance, f_pts); ``near``: a query of
-    (cell_id, rnk, d, x, y, z), places relative to the cell.
+    (cell_id, rnk, d, x, y, z), places relative to the cell. With ``size``, cells are numbered on through datasets of so many
+    cells, and the bins have the number of the dataset as ``part``.
     """
 
     def terms(model: str) -> str:
@@ -57,7 +62,8 @@ def krige_ctes(settings: str, near: str, bins: str) -> str:
 
     drift = f"CASE model WHEN 'LinearDrift' THEN {terms('LinearDrift')} WHEN 'QuadDrift' THEN {terms('QuadDrift')} ELSE {terms('none')} END"
     gamma = f"CASE WHEN h > 0 THEN nu + (1 - nu) * {_shape('h')} ELSE 0 END"
-    return f"""{fit_ctes(bins)},
+    own = "" if size is None else f"AND f.part = c.cell_id // {size}"
+    return f"""{fit_ctes(bins, '' if size is None else 'part')},
         settings AS MATERIALIZED ({settings}),
         near AS MATERIALIZED ({near}),
         places AS MATERIALIZED (SELECT cell_id, list({{'x': x, 'y': y, 'd': d, 'z': z}} ORDER BY rnk) AS nb FROM near GROUP BY cell_id),
@@ -69,7 +75,7 @@ def krige_ctes(settings: str, near: str, bins: str) -> str:
             SELECT c.cell_id, c.model, c.lag, c.n, a, CASE WHEN c.model LIKE '%Drift' THEN 'Linear' ELSE c.model END AS shape,
                    CASE WHEN nugget + sill > 0 THEN nugget / (nugget + sill) ELSE 0 END AS nu, nugget + sill AS total
             FROM (SELECT DISTINCT cell_id, model, lag, n FROM used) c
-            JOIN fits f ON f.lag = c.lag AND f.model = CASE WHEN c.model LIKE '%Drift' THEN 'Linear' ELSE c.model END),
+            JOIN fits f ON f.lag = c.lag AND f.model = CASE WHEN c.model LIKE '%Drift' THEN 'Linear' ELSE c.model END {own}),
         scaled AS MATERIALIZED (
             SELECT f.*, list_transform(nb[:n], lambda v: {{'x': v.x / nb[n].d, 'y': v.y / nb[n].d, 'px': v.x, 'py': v.y, 'd': v.d, 'z': v.z}}) AS nb
             FROM fitted f JOIN places USING (cell_id)),

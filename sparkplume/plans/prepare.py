@@ -9,6 +9,7 @@ from sparkplume.functions import scalars as S
 from sparkplume.operators import prepare as P
 from sparkplume.operators.spatial import clip_points, train_test_split
 from sparkplume.session import materialize
+from sparkplume.sources.tables import file_position
 
 
 def dataset_points(samples: DataFrame, systems: DataFrame, contaminant: str, water_type: str) -> DataFrame:
@@ -56,10 +57,10 @@ def prepared_points(
 def samples_from_file(raw: DataFrame, order: str | None = None) -> DataFrame:
     """The columns of a sample file under the names the operators use, with the date parsed.
 
-    ``order`` names a column that numbers the rows. Without one the position in the file is used,
-    which decides which row of a system is its first.
+    ``order`` names a column that numbers the rows. Without one, ``raw`` must come straight from a file and rows go by their
+    place in it (``file_position``), which decides which row of a system is its first.
     """
-    position = F.col(order) if order else F.monotonically_increasing_id()
+    position = F.col(order) if order else file_position()
     return raw.select(
         position.alias("row_id"),
         F.col("PWSID").alias("system_id"),

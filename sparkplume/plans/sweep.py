@@ -34,16 +34,20 @@ def sweep_runs(spark, method: str) -> DataFrame:
     return with_run_id(skip_long_lags(param_grid(single(spark), method)))
 
 
-def fit_for_runs(points: DataFrame, runs: DataFrame, grid: Grid) -> DataFrame:
-    """Kriging runs with ``a, nugget, sill``. The default lag is the cell size; drift models use the linear shape."""
+def fit_for_runs(points: DataFrame, runs: DataFrame, grid: Grid, by: str | None = None) -> DataFrame:
+    """Kriging runs with ``a, nugget, sill``. The default lag is the cell size; drift models use the linear shape.
+
+    With ``by``, a column of whole numbers in both, a run has the model fitted to the points of its own group.
+    """
+    group = [] if by is None else [by]
     lags = [r[0] for r in runs.select(F.coalesce("lag_dist", F.lit(grid.cell)).alias("lag")).distinct().collect()]
-    fits = fit_semivariogram(semivariogram(points, lags))
+    fits = fit_semivariogram(semivariogram(points, lags, by=by), by=by)
     shape = F.when(F.col("model").isin(*UNIVERSAL_MODELS), "Linear").otherwise(F.col("model"))
     keyed = runs.withColumn("_lag", F.coalesce("lag_dist", F.lit(grid.cell))).withColumn("_shape", shape)
     fits = fits.select(
-        F.col("lag").alias("_lag"), F.col("model").alias("_shape"), "a", "nugget", "sill"
+        *group, F.col("lag").alias("_lag"), F.col("model").alias("_shape"), "a", "nugget", "sill"
     )
-    return keyed.join(fits, ["_lag", "_shape"], "left").drop("_lag", "_shape")
+    return keyed.join(fits, [*group, "_lag", "_shape"], "left").drop("_lag", "_shape")
 
 
 def sweep(
@@ -63,32 +67,33 @@ def sweep(
         mine = runs.where(F.col("method") == method)
         if method == "IDW":
             out = idw_sweep(points, grid, run_rows(mine), cells)
-            parts.append(_full(out))
+            parts.append(full_raster(out))
         elif method == "NN":
             rows = natural_neighbor(points, grid, cells=cells).withColumn(
                 "run_id", F.explode(F.array(*[F.lit(r["run_id"]) for r in run_rows(mine)]))
             )
-            parts.append(_full(rows.select("run_id", "cell_id", "row", "col", "value")))
+            parts.append(full_raster(rows.select("run_id", "cell_id", "row", "col", "value")))
         else:
             fitted = run_rows(fit_for_runs(points, mine, grid))
             ready = [r for r in fitted if r["a"] is not None]
             if ready:
-                parts.append(_full(raster_rows(krige_sweep(points, grid, ready, cells), grid)))
+                parts.append(full_raster(raster_rows(krige_sweep(points, grid, ready, cells), grid)))
             lost = [r["run_id"] for r in fitted if r["a"] is None]
             if lost:
                 empty = cells if cells is not None else make_grid(points.sparkSession, grid)
                 empty = empty.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in lost])))
                 empty = empty.withColumns({"value": F.lit(None).cast("double"), "status": F.lit("model not fitted")})
-                parts.append(_full(empty))
+                parts.append(full_raster(empty))
     return reduce(DataFrame.unionByName, parts, points.sparkSession.createDataFrame([], RASTER))
 
 
-def _full(raster: DataFrame) -> DataFrame:
+def full_raster(raster: DataFrame, *keep: str) -> DataFrame:
+    """The columns of ``RASTER``, with what a method does not have as NULL, after the columns to ``keep``."""
     if "variance" not in raster.columns:
         raster = raster.withColumn("variance", F.lit(None).cast("double"))
     if "status" not in raster.columns:
         raster = raster.withColumn("status", F.when(F.col("value").isNull(), "no data").otherwise("ok"))
-    return raster.select("run_id", "cell_id", "row", "col", "value", "variance", "status")
+    return raster.select(*keep, "run_id", "cell_id", "row", "col", "value", "variance", "status")
 
 
 def evaluation_cells(test: DataFrame, grid: Grid, buffer: float | None) -> DataFrame:

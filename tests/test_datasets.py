@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from sparkplume.operators.natural import natural_neighbor
 from sparkplume.operators.neighbors import knn
 from sparkplume.operators.prepare import first_per_key, system_stats
 from sparkplume.operators.spatial import Grid, convex_hull, make_grid
+from sparkplume.operators.variogram import fit_semivariogram, semivariogram
 from sparkplume.plans import datasets as D
 from sparkplume.plans import sweep as W
 from sparkplume.plans.runs import run_rows
@@ -101,3 +103,73 @@ def test_first_row_without_an_order(spark):
     stats = df.selectExpr("k AS system_id", "o AS row_id", "v AS state", "double(v) AS value", "current_date() AS collection_date")
     got = {r.system_id: r.state for r in system_stats(stats, ["system_id"], ["state"]).collect()}
     assert got == {"a": 1, "b": 4}
+
+
+@pytest.mark.parametrize("leaf", [2, 500])
+def test_semivariograms_of_groups(spark, leaf):
+    """Each group has the bins and fits that it has alone; single points, and rows without a group, have none."""
+    df = points(spark).withColumn("part", F.expr("cast(array_position(array('A', 'B', 'C'), dataset) AS long)"))
+    lags = [8000.0, 20000.0]
+    bins = semivariogram(df, lags, leaf=leaf, by="part").cache()
+    fits = {(r.part, r.lag, r.model): r for r in fit_semivariogram(bins, by="part").collect()}
+    got = {(r.part, r.lag, r.bin): r for r in bins.collect()}
+    assert {part for part, *_ in got} == {1, 2}
+    alone = 0
+    for part in (1, 2):
+        own = semivariogram(df.where(F.col("part") == part), lags, leaf=leaf).cache()
+        for r in own.collect():
+            alone += 1
+            mine = got[part, r.lag, r.bin]
+            assert (mine.n_pairs, mine.h) == (r.n_pairs, r.h) and mine.gamma == pytest.approx(r.gamma, rel=1e-9)
+        for r in fit_semivariogram(own).collect():
+            mine = fits[part, r.lag, r.model]
+            assert mine.a == r.a and (mine.nugget, mine.sill) == pytest.approx((r.nugget, r.sill), rel=1e-6, abs=1e-9)
+    assert alone == len(got) and len(fits) == 20
+    assert semivariogram(df.where("false"), lags, by="part").count() == 0
+
+
+@pytest.mark.parametrize("method", ["OK", "UK"])
+def test_kriging_of_datasets_equals_each_alone(spark, method):
+    """Values, variances and status by cell, fixed and variable; a dataset of one place cannot be fitted and says so."""
+    df = points(spark)
+    some = "num_points = 12 OR (distance = 40250 AND f_pts = 6)"
+    runs = W.sweep_runs(spark, method).where(f"({some}) AND coalesce(lag_dist, 0) IN (0, 16000)").cache()
+    held = make_grid(spark, GRID).where("cell_id % 41 = 0")
+    cells = held.withColumn("dataset", F.explode(F.array(*map(F.lit, "ABC")))).select("dataset", "cell_id")
+    got = {(r.dataset, r.run_id, r.cell_id): r for r in D.sweep_datasets(df, GRID, runs, cells).collect()}
+    assert len(got) == 3 * runs.count() * held.count()
+    assert {r.status for k, r in got.items() if k[0] == "C"} == {"model not fitted"}
+    assert all(r.value is None for k, r in got.items() if k[0] == "C")
+    for name in "AB":
+        for r in W.sweep(df.where(F.col("dataset") == name), GRID, runs, held).collect():
+            mine = got[name, r.run_id, r.cell_id]
+            assert (mine.row, mine.col, mine.status) == (r.row, r.col, r.status)
+            if r.value is not None:
+                assert (mine.value, mine.variance) == pytest.approx((r.value, r.variance), rel=1e-6, abs=1e-7)
+    assert all(r.value is not None for k, r in got.items() if k[0] == "A")  # those of B lie on a line
+
+
+def test_methods_in_one_sweep(spark):
+    """Runs of several methods go through together; natural neighbours take one dataset."""
+    df = points(spark)
+    cells = make_grid(spark, GRID).where("cell_id = 45").selectExpr("'A' AS dataset", "cell_id")
+    both = W.sweep_runs(spark, "IDW").where("num_points = 12 AND power = 2").unionByName(
+        W.sweep_runs(spark, "OK").where("num_points = 12 AND lag_dist = 8000")
+    )
+    rows = D.sweep_datasets(df, GRID, both, cells).collect()
+    assert len(rows) == both.count() == 6 and all(np.isfinite(r.value) for r in rows)
+    assert sum(r.variance is None for r in rows) == 1
+    with pytest.raises(ValueError, match="NN"):
+        D.sweep_datasets(df, GRID, W.sweep_runs(spark, "NN"), cells)
+
+
+def test_replay_takes_the_best_of_one_dataset(spark):
+    df = points(spark).where("dataset IS NOT NULL")
+    train, test = df.where("system_id % 5 <> 0"), df.where("system_id % 5 = 0")
+    runs = W.sweep_runs(spark, "IDW").where("power = 2").cache()
+    ranked = D.rank_datasets(D.sweep_pairs(train, test, GRID, runs, None), runs, test).cache()
+    again = D.replay_datasets(ranked, "A", 5, train, test, GRID, None).collect()
+    best = [r.run_id for r in E.top_runs(ranked.where("dataset = 'A'"), 5, by=["method"]).collect()]
+    assert sorted((r.dataset, r.run_id) for r in again) == sorted(("B", b) for b in best)
+    swept = {r.run_id: r.rmse for r in ranked.where("dataset = 'B'").collect()}
+    assert all(r.rmse == pytest.approx(swept[r.run_id], rel=1e-12) for r in again)

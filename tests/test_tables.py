@@ -10,6 +10,7 @@ from sparkplume.operators import evaluate as E
 from sparkplume.operators import prepare as P
 from sparkplume.plans import bindings as B
 from sparkplume.plans import runs as R
+from sparkplume.plans.prepare import samples_from_file
 from sparkplume.plans.sweep import class_scores, sweep_runs
 from sparkplume.sources import tables as IO
 
@@ -153,3 +154,28 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "In(contaminant, [PFOA,PFOS])" in plan and "In(water_type, [GW,SW])" in plan
     assert "ReadSchema: struct<contaminant:string,water_type:string,value:double>" in plan
+
+
+def test_rows_of_split_files_keep_their_order(spark, tmp_path):
+    """Files by name, then rows by line, although Spark reads the larger file first and cuts it into many blocks."""
+    head = "\t".join(f.name for f in IO.SAMPLE_SCHEMA)
+    line = "{}\tname {}\tS\tGW\tPFOA\t0.004\tug/L\t1\tX\t{}\t1/2/2024"
+    number = 0
+    for name, rows in (("a.txt", 40), ("b.txt", 3000), ("c.txt", 500)):
+        lines = [line.format(f"s{(number + k) % 37}", number + k, number + k) for k in range(rows)]
+        number += rows
+        (tmp_path / name).write_text("\n".join([head, *lines]) + "\n", encoding="iso-8859-1")
+    small = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        read = samples_from_file(IO.read_samples(spark, str(tmp_path)))
+        assert read.rdd.getNumPartitions() > 20
+        ordered = [r.value for r in read.orderBy("row_id").select("value").collect()]
+        first = P.first_per_key(read.select("system_id", "row_id", "system_name"), ["system_id"], "row_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert ordered == [float(k) for k in range(number)]
+    assert {r.system_id: r.system_name for r in first} == {f"s{k}": f"name {k}" for k in range(37)}
