@@ -99,9 +99,9 @@ def _open(pairs: DataFrame, nodes: DataFrame, both: bool) -> DataFrame:
     )
 
 
-def _sums(pairs: DataFrame, lags: Sequence[float], n_lags: int, by: str | None = None) -> DataFrame:
-    """Pairs of points and squared differences per joint bin, from the moments of the nodes."""
-    group = [] if by is None else [by]
+def _sums(pairs: DataFrame, lags: Sequence[float], n_lags: int) -> DataFrame:
+    """Pairs of points and squared differences per joint bin, and per group if tiles have one, from the moments of the nodes."""
+    group = [c for c in pairs.select("a.tile.*").columns if c == "g"]
     return (
         pairs.selectExpr(
             *[f"a.tile.g AS {c}" for c in group],
@@ -136,14 +136,14 @@ def semivariogram(
     if nodes is not None:
         pairs = materialize(_judge(_first_pairs(nodes, by), lags, n_lags), "node_pairs")
         while True:
-            parts.append(_sums(pairs.where("status = 'done'"), lags, n_lags, by))
+            parts.append(_sums(pairs.where("status = 'done'"), lags, n_lags))
             last_step = _judge(_open(pairs.where("status = 'finish'"), nodes, both=True), lags, n_lags)
-            parts.append(_sums(last_step, lags, n_lags, by))
+            parts.append(_sums(last_step, lags, n_lags))
             todo = pairs.where("status = 'open'")
             if todo.isEmpty():
                 break
             pairs = materialize(_judge(_open(todo, nodes, both=False), lags, n_lags), "node_pairs")
-    columns = ", ".join([*(f"{c} long" for c in group), *(f"b{i} int" for i in range(len(lags)))])
+    columns = ", ".join([*("g long" for _ in group), *(f"b{i} int" for i in range(len(lags)))])
     joint = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], f"{columns}, n long, d2 double"))
     by_lag = F.explode(
         F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"b{i}").alias("bin")) for i, lag in enumerate(lags)])
@@ -151,7 +151,7 @@ def semivariogram(
     return (
         joint.withColumn("_b", by_lag)
         .where(F.col("_b.bin") < n_lags)
-        .groupBy(*group, F.col("_b.lag").alias("lag"), F.col("_b.bin").alias("bin"))
+        .groupBy(*[F.col("g").alias(c) for c in group], F.col("_b.lag").alias("lag"), F.col("_b.bin").alias("bin"))
         .agg(F.sum("n").alias("n_pairs"), F.try_divide(F.sum("d2"), 2 * F.sum("n")).alias("gamma"))
         .where("n_pairs > 0")
         .selectExpr(*group, "lag", "bin", "n_pairs", "(bin + 0.5D) * lag AS h", "gamma")
