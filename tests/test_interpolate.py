@@ -162,6 +162,58 @@ def test_crowded_town_forms_no_point_pairs(spark, monkeypatch):
     assert V.semivariogram(df.where("false"), [40.0]).count() == 0
 
 
+def test_spread_places_form_no_rows_of_pairs(spark, monkeypatch):
+    """Evenly spread places and narrow bins, where a limit cuts every pair of small tiles: the rows are pairs of blocks."""
+    import sparkplume.operators.variogram as V
+
+    rng = np.random.default_rng(14)
+    xy = np.vstack([rng.uniform(0, 1000, (1200, 2)), rng.integers(0, 40, (300, 2)) * 25.0])  # distances on the limits too
+    z = rng.normal(5, 1, 1500)
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(xy, z))], FIELDS)
+    seen = []
+    original = V._sums
+
+    def counting(pairs, lags, n_lags):
+        seen.append(pairs.count())
+        return original(pairs, lags, n_lags)
+
+    monkeypatch.setattr(V, "_sums", counting)
+    got = {(r["lag"], r["bin"]): r for r in V.semivariogram(df, [25.0, 40.0]).collect()}
+    assert sum(seen) < 1000
+    i, j = np.triu_indices(1500, 1)
+    h = np.hypot(xy[i, 0] - xy[j, 0], xy[i, 1] - xy[j, 1])
+    for lag in (25.0, 40.0):
+        for b in range(12):
+            m = np.floor(h / lag) == b
+            r = got.pop((lag, b))
+            assert r["n_pairs"] == m.sum() and abs(r["gamma"] - ((z[i] - z[j])[m] ** 2).mean() / 2) < 1e-9
+    assert not got
+
+
+@pytest.mark.parametrize("pack,copies", [(1, 1), (7, 3), (64, 1)])
+def test_blocks_meet_like_their_points(monkeypatch, pack, copies):
+    """A lattice with distances exactly on the limits beside a town; places that hold several points."""
+    import sparkplume.operators.variogram as V
+
+    monkeypatch.setattr(V, "PACK", pack)
+    rng = np.random.default_rng(15)
+    limits, bins = V._limits([0.1, 8046.7], 4)
+    assert (np.diff(limits) > 0).all() and (np.floor(np.sqrt(limits) / 0.1) > np.floor(np.sqrt(np.nextafter(limits, 0)) / 0.1))[:4].all()
+    limits = V._limits([3.0, 5.0], 6)[0]
+    sides = []
+    for shift in (0, 6):
+        xy = np.vstack([rng.permutation(144)[:60, None] // [12, 1] % 12 + shift, 4 + rng.uniform(0, 0.01, (60, 2))]).astype(float)
+        sides.append((xy, rng.normal(0, 1, (len(xy), copies))))
+    boxes = [V._Boxes(*xy.T, np.full(len(xy), float(copies)), z.mean(1), z.var(1) * copies) for xy, z in sides]
+    (xa, za), (xb, zb) = [(np.repeat(xy, copies, 0), z.ravel()) for xy, z in sides]
+    for one, (x1, z1), (x2, z2) in ((True, (xa, za), (xa, za)), (False, (xa, za), (xb, zb))):
+        n, d2 = V._block_pair(boxes[0], None if one else boxes[1], limits)
+        i, j = np.triu_indices(len(x1), 1) if one else np.indices((len(x1), len(x2))).reshape(2, -1)
+        k = np.searchsorted(limits, ((x1[i] - x2[j]) ** 2).sum(1), side="right")
+        assert (n == np.bincount(k, minlength=len(limits) + 1)[:-1]).all()
+        assert np.allclose(d2, np.bincount(k, weights=(z1[i] - z2[j]) ** 2, minlength=len(limits) + 1)[:-1])
+
+
 def test_fit_recovers_a_known_model(spark):
     h = np.arange(0.5, 12)
     gamma = 0.2 + 0.8 * np.where(h < 6, 1.5 * h / 6 - 0.5 * (h / 6) ** 3, 1)
