@@ -9,6 +9,8 @@ of a crowded tile.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from sparkplume.operators.spatial import Grid, disc_cells, make_grid, usable
 from sparkplume.operators.tiles import BOX, build_tiles, literal
 from sparkplume.session import materialize
 
+PAIRS_PER_TASK = 10_000_000  # of a cell and a point in its disc
+
+
 def knn(targets: DataFrame, points: DataFrame, k: int, leaf: int | None = None, by: str | None = None) -> DataFrame:
     """The k nearest points of each target, ordered by distance, then by id.
 
@@ -132,14 +137,27 @@ def grid_target(grid: Grid, by: str | None = None):
     return F.col("cell_id") if by is None else F.col(by) * F.lit(grid.size) + F.col("cell_id")
 
 
+def _spread(points: DataFrame, radius: float, grid: Grid, by: str | None) -> DataFrame:
+    """Deal points over tasks by the cells of their discs: a few bytes of points are very many pairs.
+
+    A task has points of neighbouring rows of the grid, and of one group where it can, so that its sums are of few cells.
+    """
+    cells = min(math.pi * (radius / grid.cell + 1) ** 2, grid.size)
+    tasks = math.ceil(points.count() * cells / PAIRS_PER_TASK)
+    group = [] if by is None else [by]
+    return points.repartitionByRange(max(1, tasks), *group, "y", "x", "system_id")
+
+
 def radius_rows(
     points: DataFrame, radius: float, grid: Grid, cells: DataFrame | None = None, by: str | None = None
 ) -> DataFrame:
     """One row per cell and point within ``radius``. Work grows with the points times the disc's cells.
 
-    With ``by``, a column of whole numbers in ``points`` and ``cells``, a cell meets the points of its own group.
+    ``points`` are counted, so they should be written already. With ``by``, a column of whole numbers in ``points`` and
+    ``cells``, a cell meets the points of its own group.
     """
-    pairs = disc_cells(usable(points, *([] if by is None else [by])), radius, grid).select(
+    points = _spread(usable(points, *([] if by is None else [by])), radius, grid, by)
+    pairs = disc_cells(points, radius, grid).select(
         grid_target(grid, by).alias("target_id"),
         grid.center_x(F.col("col")).alias("tx"),
         grid.center_y(F.col("row")).alias("ty"),

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkplume.operators.neighbors import grid_targets, knn, neighbor_rows, radius_neighbors
 from sparkplume.operators.spatial import Grid, disc_cells, make_grid
@@ -129,3 +130,27 @@ def test_stray_point_far_away(spark):
     for t, x, y in ((1, 0.0, 0.0), (2, 0.0145, 0.0145)):
         want = sorted((((px - x) ** 2 + (py - y) ** 2) ** 0.5, i) for i, px, py, _ in near)[:3]
         assert got[t] == [i for _, i in want]
+
+
+def test_tasks_of_a_scatter_follow_its_pairs(spark, monkeypatch):
+    """Few bytes of points in one partition, with many cells each: the pairs are dealt over tasks, and are the same."""
+    import sparkplume.operators.neighbors as N
+
+    rng = np.random.default_rng(21)
+    rows = [(g, i, float(x), float(y), 1.0) for g in (0, 1) for i, (x, y) in enumerate(rng.uniform(0, 1000, (300, 2)))]
+    rows += [(1, 1000 + i, 500.0, 500.0, 2.0) for i in range(300)] + [(1, 9, None, 1.0, 1.0), (0, None, 5.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "part long, system_id long, x double, y double, z double").coalesce(1)
+    grid = Grid(0.0, 0.0, 20.0, 50, 50)
+    monkeypatch.setattr(N, "PAIRS_PER_TASK", 50_000, raising=False)
+    pairs = N.radius_rows(df, 300.0, grid, by="part")
+    held = [r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(held) > 5 and max(held) < sum(held) / 4
+    expected = {}
+    centre = (np.arange(50) + 0.5) * 20
+    for g, i, x, y, z in rows:
+        if x is not None:
+            d = np.hypot(centre[None, :] - x, centre[:, None] - y)
+            for r, c in zip(*np.nonzero(d <= 300.0)):
+                expected[g * 2500 + r * 50 + c, i] = expected.get((g * 2500 + r * 50 + c, i), 0) + 1
+    got = {(r.target_id, r.id): r.n for r in pairs.groupBy("target_id", "id").agg(F.count("*").alias("n")).collect()}
+    assert got == expected
