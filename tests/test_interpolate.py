@@ -78,6 +78,57 @@ def test_batches_and_single_systems_agree_at_any_size(name):
             assert row.value == pytest.approx(value, rel=1e-9, abs=1e-9)
 
 
+def crowded(n=900, count=5):
+    """Places of a block, and targets whose neighbourhoods of several hundred places overlap."""
+    rng = np.random.default_rng(11)
+    x, y, z = rng.uniform(-100, 100, (3, n))
+    tx, ty = rng.uniform(-15, 15, (2, count))
+    own, parts = [], []
+    for i in range(count):
+        d = np.hypot(x - tx[i], y - ty[i])
+        mine = np.flatnonzero(d <= 80)
+        mine = mine[np.argsort(d[mine])]
+        own.append(mine)
+        parts.append((d[mine], x[mine] - tx[i], y[mine] - ty[i], z[mine]))
+    return parts, K.Places(x, y, z, tx, ty, own)
+
+
+@pytest.mark.parametrize("nugget", [1.0, 0.3, 0.0])
+def test_shared_systems_equal_the_direct_solution(nugget):
+    """Two radii and all models; whatever the iteration leaves out is solved directly."""
+    parts, places = crowded()
+    runs = [
+        dict(run_id=f"{m}{r}", model=m, type="fixed", distance=r, f_pts=6, a=50.0, nugget=nugget, sill=1.0)
+        for m in (*ORDINARY_MODELS, "LinearDrift", "QuadDrift")
+        for r in (60.0, 80.0)
+    ]
+    ids = np.arange(len(parts))
+    got, alone = K._krige_batch(ids, parts, runs, places), K._krige_batch(ids, parts, runs)
+    assert list(got["status"]) == list(alone["status"])
+    for c in ("value", "variance"):
+        assert np.allclose(got[c], alone[c], rtol=1e-8, atol=1e-8, equal_nan=True)
+
+
+def test_large_systems_of_covariances_are_not_solved_directly(monkeypatch):
+    parts, places = crowded()
+    runs = [
+        dict(run_id=m, model=m, type="fixed", distance=80.0, f_pts=6, a=50.0, nugget=0.5, sill=0.5)
+        for m in ("Spherical", "Circular", "Exponential", "Gaussian")
+    ]
+    monkeypatch.setattr(K, "_solve_stack", None)
+    got = K._krige_batch(np.arange(len(parts)), parts, runs, places)
+    assert len(got) == 20 and set(got["status"]) == {"ok"}
+
+
+def test_collinear_places_of_a_large_drift_are_singular():
+    parts, places = crowded()
+    line = K.Places(places.x, 0 * places.y, places.z, places.tx, 0 * places.ty, places.own)
+    parts = [(d, x, 0 * y, z) for d, x, y, z in parts]
+    runs = [dict(run_id="q", model="QuadDrift", type="fixed", distance=80.0, f_pts=6, a=50.0, nugget=1.0, sill=0.1)]
+    got, alone = (K._krige_batch(np.arange(len(parts)), parts, runs, p) for p in (line, None))
+    assert list(got["status"]) == list(alone["status"])
+
+
 def test_places_are_merged(spark):
     df = spark.createDataFrame([(3, 1.0, 1.0, 2.0), (2, 1.0, 1.0, 4.0), (5, 2.0, 2.0, 9.0)], FIELDS)
     assert sorted(tuple(r) for r in K.merge_places(df).collect()) == [(2, 1.0, 1.0, 3.0), (5, 2.0, 2.0, 9.0)]

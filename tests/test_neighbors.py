@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkplume.operators.neighbors import grid_targets, knn, neighbor_rows, radius_neighbors
+from sparkplume.operators.neighbors import grid_targets, knn, neighbor_rows, radius_blocks, radius_neighbors
 from sparkplume.operators.spatial import Grid, disc_cells, make_grid
 
 
@@ -89,6 +89,25 @@ def test_radius_neighbors_equal_brute_force(spark):
             assert got[row * 10 + col] == {p[0] for p, dist in zip(pts, d) if dist <= 120000.0} | set(near)
 
 
+def test_radius_blocks_hold_the_neighbors_once(spark):
+    """The same neighbours as ``radius_neighbors``, in far fewer rows."""
+    df = frame(spark, skewed(900))
+    grid = Grid(0.0, 0.0, 20000.0, 50, 50)
+    pairs = {(r["target_id"], r["id"]) for r in radius_neighbors(df, 120000.0, 6, grid).collect()}
+    targets, places = (d.collect() for d in radius_blocks(df, 120000.0, 6, grid, make_grid(spark, grid)))
+    assert sorted(r["target_id"] for r in targets) == list(range(2500))
+    shared = [(r["block"], r["id"]) for r in places if r["target_id"] < 0]
+    assert len(shared) == len(set(shared)) and 2 * len(places) < len(pairs)
+    block, got = {}, {(r["target_id"], r["id"]) for r in places if r["target_id"] >= 0}
+    for r in places:
+        if r["target_id"] < 0:
+            block.setdefault(r["block"], []).append(r)
+    for t in targets:
+        near = block.get(t["block"], [])
+        got |= {(t["target_id"], r["id"]) for r in near if np.hypot(r["x"] - t["tx"], r["y"] - t["ty"]) <= 120000.0}
+    assert got == pairs
+
+
 def test_disc_cells_equal_brute_force(spark):
     grid = Grid(-3.0, 2.0, 1.5, 8, 9)
     rng = np.random.default_rng(3)
